@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import sharding
+from tessera.llm import mixing, pii, sharding
 from tessera.tables import table
 
+#: Key of the registered query; a real run passes its own secret.
+PII_KEY = "tessera-demo-key"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"), 24)
 
 
-QUERIES = {"op1_sharding": op1_sharding}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op6_mixing": op6_mixing, "op10_pii": op10_pii}
 
 #: SQL that gives the same rows.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}

@@ -25,16 +25,26 @@ def unit_hash(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 12).cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def prefix(df: DataFrame, by: list[str], bucket: str, order: list[Column], weight: Column, out: str, total: str) -> DataFrame:
+def prefix(df: DataFrame, by: list[str], bucket: str, order: list[Column], weight: Column, out: str, total: str, per_group: DataFrame | None = None) -> DataFrame:
     """Adds ``out``, the sum of ``weight`` over the rows of the same ``by`` that come before or
     at the row in the order (bucket, *order), and ``total``, the sum over all rows of ``by``.
 
-    ``bucket`` must grow with the order; no column of ``by`` may be null."""
+    ``bucket`` must grow with the order; no column of ``by`` may be null. Columns of ``per_group``,
+    one row for each group, come along with the offsets, which are few."""
     keys = [*by, bucket]
     df = df.withColumn("_w", weight)
     sums = df.groupBy(*keys).agg(F.sum("_w").alias("_bw"))
     before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(*keys, F.coalesce(F.sum("_bw").over(before), F.lit(0)).alias("_off"), F.sum("_bw").over(Window.partitionBy(*by)).alias(total))
+    if per_group is not None:
+        offsets = offsets.join(per_group, by)
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     ranked = df.withColumn("_in", F.sum("_w").over(inner))
     return ranked.join(offsets, keys).withColumn(out, F.col("_off") + F.col("_in")).drop("_w", "_in", "_off")
+
+
+def attach(df: DataFrame, by: list[str], bucket: str, per_group: DataFrame) -> DataFrame:
+    """Adds the columns of ``per_group``, one row for each group, by way of the buckets, so that
+    a hot group is spread over its buckets in the join."""
+    keys = [*by, bucket]
+    return df.join(df.select(*keys).distinct().join(per_group, by), keys)
