@@ -26,11 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textnum as t
-from tessera.llm.shared import by_runs, components, run_starts, written
+from tessera.llm.shared import UnitLinks, blocked_units, by_runs, classes_of, matrix, run_starts, unit_pairs, written
 
 U = np.uint64
 BLOCK = 512
-PAIRS = 200_000
 
 
 def band_plan(threshold: float, recall: float = 0.9999, most: int = 128) -> tuple[int, int]:
@@ -90,31 +89,6 @@ def _signatures(n: int, bands: int, rows: int, seed: int):
     return run
 
 
-def _matrix(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
-    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
-def _unit_pairs(starts: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of units: all of a unit whose rows have side 0, else those of side 1 with
-    side 2. In portions of about PAIRS pairs."""
-    left, right, n = [], [], 0
-    for a, b in zip(starts[:-1], starts[1:], strict=True):
-        if side[a:b].max() == 0:
-            x, y = np.triu_indices(b - a, 1)
-        else:
-            one, two = np.flatnonzero(side[a:b] == 1), np.flatnonzero(side[a:b] == 2)
-            x, y = np.repeat(one, len(two)), np.tile(two, len(one))
-        left.append(x + a)
-        right.append(y + a)
-        n += len(x)
-        if n >= PAIRS:
-            yield np.concatenate(left), np.concatenate(right)
-            left, right, n = [], [], 0
-    if n:
-        yield np.concatenate(left), np.concatenate(right)
-
-
 def _first_shared(keys: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (keys[x] == keys[y]).argmax(1)
 
@@ -123,15 +97,13 @@ def _candidates(bands: int):
     """Keeps the rows of units that stand in a pair whose first shared band is the unit's."""
 
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = _matrix(table.column("keys"), bands)
+        keys = matrix(table.column("keys"), bands)
         band, side = table.column("band").to_numpy(), table.column("side").to_numpy()
         take = np.zeros(len(band), bool)
-        for x, y in _unit_pairs(run_starts(table.column("unit").to_numpy()), side):
-            for c in range(0, len(x), 50_000):
-                p, q = x[c : c + 50_000], y[c : c + 50_000]
-                good = _first_shared(keys, p, q) == band[p]
-                take[p[good]] = True
-                take[q[good]] = True
+        for p, q in unit_pairs(run_starts(table.column("unit").to_numpy()), side):
+            good = _first_shared(keys, p, q) == band[p]
+            take[p[good]] = True
+            take[q[good]] = True
         yield from table.filter(pa.array(take)).to_batches()
 
     return by_runs("unit", handle)
@@ -142,7 +114,7 @@ def _links(bands: int, threshold: Fraction):
     part of the unit's graph."""
 
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        keys = _matrix(table.column("keys"), bands)
+        keys = matrix(table.column("keys"), bands)
         band, side, node, mult = (table.column(c).to_numpy() for c in ("band", "side", "node", "mult"))
         sets = table.column("grams").combine_chunks()
         grams = [np.frombuffer(sets[i].as_buffer(), np.int64) for i in range(len(sets))]
@@ -150,24 +122,15 @@ def _links(bands: int, threshold: Fraction):
         starts = run_starts(table.column("unit").to_numpy())
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             common = _overlaps(grams[a:b])
-            count = np.zeros(b - a, np.int64)
-            root = np.arange(b - a)
             sizes = np.array([len(g) for g in grams[a:b]])
-            for x, y in _unit_pairs(np.array([0, b - a]), side[a:b]):
-                for c in range(0, len(x), 50_000):
-                    p, q = x[c : c + 50_000], y[c : c + 50_000]
-                    both = common[p, q].astype(np.int64)
-                    good = both * threshold.denominator >= threshold.numerator * (sizes[p] + sizes[q] - both)
-                    p, q = p[good], q[good]
-                    good = (_first_shared(keys[a:b], p, q) == band[a]) & (node[a:b][p] != node[a:b][q])
-                    p, q = p[good], q[good]
-                    np.add.at(count, p, mult[a:b][q])
-                    np.add.at(count, q, mult[a:b][p])
-                    _join(root, p, q)
-            hit = np.flatnonzero(count)
-            least = np.full(b - a, np.iinfo(np.int64).max)
-            np.minimum.at(least, root, node[a:b])
-            for o, v in zip(out, (node[a:b][hit], count[hit], least[root][hit]), strict=True):
+            links = UnitLinks(node[a:b], mult[a:b])
+            for p, q in unit_pairs(np.array([0, b - a]), side[a:b]):
+                both = common[p, q].astype(np.int64)
+                good = both * threshold.denominator >= threshold.numerator * (sizes[p] + sizes[q] - both)
+                p, q = p[good], q[good]
+                first = _first_shared(keys[a:b], p, q) == band[a]
+                links.add(p[first], q[first])
+            for o, v in zip(out, links.rows(), strict=True):
                 o.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["node", "links", "root"])
 
@@ -195,20 +158,6 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return common
 
 
-def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
-    """Gives all nodes that the pairs connect the smallest index among them."""
-    while True:
-        low = np.minimum(root[x], root[y])
-        if (root[x] == low).all() and (root[y] == low).all():
-            return
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        np.minimum.at(root, x, low)
-        np.minimum.at(root, y, low)
-        while (root[root] != root).any():
-            root[:] = root[root]
-
-
 def _grams(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,22 +179,14 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", recall:
     nodes = signed.where("node is not null").groupBy("node").agg(F.count("*").alias("mult"), F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
     nodes = written(nodes, "nodes")
     held = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    size = held.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = held.join(size, "key").withColumn("m", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("r", F.pmod(F.xxhash64("node"), "m").cast("int"))
-    units = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    low, high = F.least("r", "j"), F.greatest("r", "j")
-    units = units.select(F.xxhash64("key", low, high).alias("unit"), "band", "node", F.when(low == high, 0).when(F.col("r") == low, 1).otherwise(2).cast("byte").alias("side"))
+    units = blocked_units(held, BLOCK).drop("key")
     units = units.join(nodes.select("node", "keys", "mult"), "node")
     paired = written(units.repartition("unit").sortWithinPartitions("unit").mapInArrow(_candidates(bands), units.schema), "candidates")
     wanted = paired.select("node").distinct().join(nodes.select("node", "rep"), "node").select(F.col("rep").alias("doc_id")).distinct()
     grams = source.join(wanted, F.coalesce(source["doc_id"], F.lit(-1)) == F.coalesce(wanted["doc_id"], F.lit(-1)), "left_semi").select("text").mapInArrow(_grams(n), "node long, grams binary").dropDuplicates(["node"])
     found = paired.join(grams, "node").repartition("unit").sortWithinPartitions("unit").mapInArrow(_links(bands, Fraction(threshold)), "node long, links long, root long")
     found = written(found, "links")
-    group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    of = nodes.select("node", "mult", "rep").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(group, "node", "left")
-    of = of.withColumn("component", F.coalesce("component", "node"))
-    reps = of.groupBy("component").agg(F.min("rep").alias("class_id"))
-    of = of.join(reps, "component").select("node", "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    of = classes_of(nodes.select("node", "mult", "rep"), found)
     joined = signed.select("doc_id", "node", "carried").join(of, "node", "left")
     out = joined.select("doc_id", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"), "carried")
     return out.drop("carried") if carry is None else out.withColumnRenamed("carried", carry)

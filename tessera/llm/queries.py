@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, ngram_join, pii, sharding
+from tessera.llm import mixing, ngram_join, pii, projection_dedup, sharding
 from tessera.tables import table
 
 #: Key of the registered query; a real run passes its own secret.
@@ -19,6 +19,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op3_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,7 +31,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op6_mixing": op6_mixing, "op10_pii": op10_pii}
+QUERIES = {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_projection_dedup": op3_projection_dedup, "op6_mixing": op6_mixing, "op10_pii": op10_pii}
 
 #: SQL that gives the same rows.
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}

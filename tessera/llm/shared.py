@@ -93,3 +93,83 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def blocked_units(held: DataFrame, block: int) -> DataFrame:
+    """Units of comparison for a frame of (node, key, ...): the nodes of a key, or, where they
+    are more than ``block``, every pair of its blocks. Adds unit, and side: 0 if all rows of the
+    unit are to be compared, else 1 and 2 for its two blocks. Keys of one node are left out."""
+    size = held.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1")
+    cut = held.join(size, "key").withColumn("_m", F.ceil(F.col("_n") / block).cast("int")).withColumn("_r", F.pmod(F.xxhash64("node"), "_m").cast("int"))
+    cut = cut.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+    low, high = F.least("_r", "_j"), F.greatest("_r", "_j")
+    side = F.when(low == high, 0).when(F.col("_r") == low, 1).otherwise(2).cast("byte")
+    return cut.withColumn("unit", F.xxhash64("key", low, high)).withColumn("side", side).drop("_n", "_m", "_r", "_j")
+
+
+def unit_pairs(starts: np.ndarray, side: np.ndarray, portion: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs to compare in the units that begin at ``starts``, in portions."""
+    left, right, n = [], [], 0
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        if side[a:b].max() == 0:
+            x, y = np.triu_indices(b - a, 1)
+        else:
+            one, two = np.flatnonzero(side[a:b] == 1), np.flatnonzero(side[a:b] == 2)
+            x, y = np.repeat(one, len(two)), np.tile(two, len(one))
+        left.append(x + a)
+        right.append(y + a)
+        n += len(x)
+        if n >= portion or b == starts[-1]:
+            x, y = np.concatenate(left), np.concatenate(right)
+            for c in range(0, len(x), portion):
+                yield x[c : c + portion], y[c : c + portion]
+            left, right, n = [], [], 0
+
+
+def matrix(col: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def join_roots(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Gives all indexes that the pairs connect the smallest index among them."""
+    while True:
+        low = np.minimum(root[x], root[y])
+        if (root[x] == low).all() and (root[y] == low).all():
+            return
+        for at in (root[x], root[y], x, y):
+            np.minimum.at(root, at, low)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+class UnitLinks:
+    """Collects the links found in one unit: for each node the multiplicity of its links, and
+    the smallest node of its part of the unit's graph."""
+
+    def __init__(self, node: np.ndarray, mult: np.ndarray) -> None:
+        self.node, self.mult = node, mult
+        self.count, self.root = np.zeros(len(node), np.int64), np.arange(len(node))
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        good = self.node[x] != self.node[y]
+        x, y = x[good], y[good]
+        np.add.at(self.count, x, self.mult[y])
+        np.add.at(self.count, y, self.mult[x])
+        join_roots(self.root, x, y)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        hit = np.flatnonzero(self.count)
+        least = np.full(len(self.node), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.root, self.node)
+        return self.node[hit], self.count[hit], least[self.root][hit]
+
+
+def classes_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """node, class_id, n_links from nodes (node, mult, rep) and links (node, links, root)."""
+    group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    of = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(group, "node", "left")
+    of = of.withColumn("component", F.coalesce("component", "node"))
+    reps = of.groupBy("component").agg(F.min("rep").alias("class_id"))
+    return of.join(reps, "component").select("node", "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
