@@ -1,8 +1,57 @@
-"""Corpus pipeline."""
+"""From raw documents to training shards: language, near-duplicates, test leaks, mixture, shards.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and
+reread as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontamination, langid, mixing, ngram_join, sharding
+from tessera.llm.shared import written
+from tessera.tables import table
+
+SHARDS = 24
+#: A document whose best language is less likely than this is rejected, as is one without letters.
+LANGUAGE_SCORE = 0.34
+
+#: The stages hold a trained network and banded joins, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents in a language that the network knows."""
+    tagged = langid.predict(docs, langid.train(docs))
+    return tagged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near copies."""
+    return ngram_join.keep_one(docs)
+
+
+def test_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents into which no benchmark item leaked."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents as often as the source weights ask."""
+    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Gives every row its shard and slot."""
+    return sharding.shard_documents(docs, SHARDS)
+
+
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("test_leaks", test_leaks), ("mixture", mixture), ("shards", shards)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.ranking import attach, n_buckets, prefix
+from tessera.llm.ranking import attach, carry_back, n_buckets, prefix, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5.0, 2.0, 1.0)
@@ -48,10 +48,9 @@ def source_targets(sizes: DataFrame, cycle: tuple[float, ...], budget: float, ma
     return s.select("_src", F.least(F.col("_cap"), F.max("_level").over(everything) * F.col("_wt")).alias("target"))
 
 
-def mix(docs: DataFrame, quality: DataFrame, keep: list[str] | None = None, cycle: tuple[float, ...] = CYCLE, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 29) -> DataFrame:
-    """Adds size, source_size, target and copies (times the mix takes the document) to the
-    columns ``keep`` (all, if not given). ``quality``: doc_id, quality_weight in 0.25 to 4."""
-    keep = docs.columns if keep is None else keep
+def mix(docs: DataFrame, quality: DataFrame, keep: list[str], cycle: tuple[float, ...] = CYCLE, budget: float = 1.5, max_epochs: float = 2.0, seed: int = 29) -> DataFrame:
+    """The columns ``keep`` with size, source_size, target and copies (times the mix takes the
+    document). ``quality``: doc_id, quality_weight in 0.25 to 4."""
     n = n_buckets(docs.sparkSession)
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
     rows = docs.select(
@@ -87,8 +86,10 @@ def mix_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken, in the columns of ``docs``."""
-    m = mix(docs, quality_weights(labels))
+    """The mix itself: every document as often as it is taken, in the columns of ``docs``. Only
+    keys and sizes are ranked, texts move once."""
+    m = mix(docs.withColumn("_key", row_key(docs)), quality_weights(labels), keep=["_key"])
+    m = carry_back(docs, m, ["copies"])
     return m.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, mixing, ngram_join, pii, projection_dedup, quality, sharding
+from tessera.llm import decontamination, langid, mixing, ngram_join, pii, projection_dedup, quality, sharding
 from tessera.tables import table
 
 #: Key of the registered query; a real run passes its own secret.
@@ -27,6 +27,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leak_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_projection_dedup": op3_projection_dedup, "op6_mixing": op6_mixing, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii}
+QUERIES = {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_projection_dedup": op3_projection_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii}
 
 #: SQL that gives the same rows.
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}

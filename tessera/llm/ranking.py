@@ -48,3 +48,18 @@ def attach(df: DataFrame, by: list[str], bucket: str, per_group: DataFrame) -> D
     a hot group is spread over its buckets in the join."""
     keys = [*by, bucket]
     return df.join(df.select(*keys).distinct().join(per_group, by), keys)
+
+
+def row_key(df: DataFrame) -> Column:
+    """Hash of a whole row."""
+    return F.xxhash64(*df.columns)
+
+
+def carry_back(wide: DataFrame, narrow: DataFrame, cols: list[str]) -> DataFrame:
+    """Adds ``cols`` of ``narrow``, which has one row with ``_key`` = row_key for every row of
+    ``wide``, so that texts are moved once. Rows with equal keys are numbered on both sides; they
+    are alike, so it does not matter which gets which number."""
+    order = Window.partitionBy("_key")
+    left = wide.withColumn("_key", row_key(wide)).withColumn("_nth", F.row_number().over(order.orderBy("_key")))
+    right = narrow.select("_key", *cols).withColumn("_nth", F.row_number().over(order.orderBy(*cols)))
+    return left.join(right, ["_key", "_nth"]).drop("_key", "_nth")

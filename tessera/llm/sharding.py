@@ -14,15 +14,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.ranking import n_buckets, prefix, unit_hash
+from tessera.llm.ranking import carry_back, n_buckets, prefix, row_key
 
 
-def interleave_shards(docs: DataFrame, shards: int, seed: int = 17, keep: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Adds shard (0 to shards - 1, counts at most one apart) and slot (gapless from 0) to the
-    columns ``keep`` (all, if not given)."""
+def places(docs: DataFrame, shards: int, keep: list[str], seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The columns ``keep`` with shard (0 to shards - 1, counts at most one apart) and slot
+    (gapless from 0)."""
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    keep = docs.columns if keep is None else keep
     n = n_buckets(docs.sparkSession)
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     rows = docs.select(
@@ -40,9 +39,15 @@ def interleave_shards(docs: DataFrame, shards: int, seed: int = 17, keep: list[s
     return ranked.withColumn("shard", shard.cast("int")).withColumn("slot", (at - first).cast("long")).select(*[F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)], "shard", "slot")
 
 
+def shard_documents(docs: DataFrame, shards: int = 24, **options) -> DataFrame:
+    """``docs`` with shard and slot; only keys and sources are ranked, texts move once."""
+    keyed = docs.withColumn("_key", row_key(docs))
+    return carry_back(docs, places(keyed, shards, ["_key"], **options), ["shard", "slot"])
+
+
 def shard_digest(docs: DataFrame, shards: int = 24) -> DataFrame:
     """The columns of op1: sizes and check sums of the text beside the place of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = docs.select("doc_id", "text", "source", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    placed = interleave_shards(facts, shards, keep=["doc_id", "size", "text_crc32"])
+    placed = places(facts, shards, ["doc_id", "size", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -1,6 +1,6 @@
 """Words, word hashes and shingles of Arrow text columns, by numpy over whole blocks of bytes.
 
-A word is a run of bytes other than ASCII white space; ASCII capitals count as small letters.
+A word is a run of bytes other than ASCII white space, or other than ASCII signs too; ASCII capitals count as small letters.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ import pyarrow as pa
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: White space and all other ASCII signs but letters and digits.
+SIGNS = np.zeros(256, bool)
+SIGNS[:128] = True
+SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 4 << 20
@@ -52,13 +56,13 @@ def column_blocks(col: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int,
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each row the index of its first word (one more at
     the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-    full = ~SPACE[data]
+    full = ~between[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
     start = np.flatnonzero(full & ~(np.r_[False, full[:-1]] & ~edge[:n]))
