@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontamination, langid, mixing, ngram_join, pii, projection_dedup, quality, sharding, suffix_dedup
+from tessera.llm import decontamination, html_text, langid, mixing, ngram_join, pii, projection_dedup, quality, sharding, suffix_dedup
 from tessera.tables import table
 
 #: Key of the registered query; a real run passes its own secret.
@@ -23,6 +23,10 @@ def op3_projection_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_projection_dedup": op3_projection_dedup, "op5_suffix_dedup": op5_suffix_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii}
+QUERIES = {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_projection_dedup": op3_projection_dedup, "op4_html_text": op4_html_text, "op5_suffix_dedup": op5_suffix_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii}
 
 #: SQL that gives the same rows.
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
