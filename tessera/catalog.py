@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import evidence_queries, statistics_queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Two-way fixed effects with clustered errors on the panel of nations and years."""
+    return statistics_queries.fe_twoway_balanced(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return statistics_queries.QUERIES | evidence_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return statistics_queries.ORACLES | evidence_queries.ORACLES
