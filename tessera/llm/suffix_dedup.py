@@ -10,10 +10,11 @@ between two fixed places share ``size`` bytes, and the earliest of them stays.
 To spread the index over tasks, every string of ``size`` bytes (window) belongs to its anchor, the
 smallest hash among its pieces of PIECE bytes, which equal windows have in common. Successive
 windows with one anchor form a segment. Anchors whose piece stands in one place of the corpus only
-are dropped; equal
-segments are one string with its earliest place; the strings of an anchor always meet in one index,
-with those of many other anchors. Where one anchor has over HOT different strings, as the edges of
-a passage that very many documents quote, they are cut into single windows first, so those split
+are dropped. Equal segments are one string, which goes into the index at its earliest place (all
+its later places lose all its windows); the strings of an anchor always meet in one index, with
+those of many other anchors. In the shuffle by anchor a block of texts sends each string once, so
+a hot anchor brings few rows. Where one anchor has over HOT different strings, as the edges of a
+passage that very many documents quote, they are cut into single windows first, which split
 further by content. Nothing is capped.
 
 Defined results: a null text has no bytes; texts shorter than ``size`` lose nothing; documents of
@@ -28,18 +29,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import textnum as t
-from tessera.llm.shared import by_runs, written
+from tessera.llm.shared import by_runs, run_starts, written
 
 U = np.uint64
 PIECE = 20
 MOST_WINDOWS = 256  # of a segment; longer runs, as in text of one repeated word, are cut
 HOT = 2000
-BUCKETS = 4  # of anchors, for each shuffle partition
-INDEX_ROWS = 12_000  # strings in an index, about 2 MB
+INDEX_ROWS = 8_000  # strings that are read before indexes are made of them
+INDEX_BYTES = 1_200_000  # of an index; the strings of an anchor, up to HOT, come on top
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -61,6 +63,10 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     return t.mix(acc)
 
 
+SEGMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("anchor", "string", "place")], T.StructField("windows", T.IntegerType()), T.StructField("sure", T.BooleanType()), T.StructField("later", T.BooleanType()), T.StructField("key", T.LongType())])
+STRING = T.StructType([*SEGMENT.fields[:6], T.StructField("bytes", T.BinaryType())])
+
+
 def _again(hashes: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, reach: int) -> np.ndarray:
     """Whether the piece of the anchor stands more than once in a segment: its first place in
     the first window is not that in the last, or the last window has it twice."""
@@ -117,54 +123,42 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return t.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)).view(np.int64)
 
 
-def _requests(size: int, buckets: int):
-    """Anchors of a block of text by bucket, twice where they occur more than once in it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, off in t.column_blocks(batch.column(0)):
-                *_, anchor, repeats = anchors(data, off, size, again=True)
-                if not len(anchor):
-                    continue
-                anchor, at, count = np.unique(anchor.view(U), return_inverse=True, return_counts=True)
-                count = count + np.bincount(at, repeats, len(count)).astype(np.int64)
-                anchor = np.repeat(anchor, np.minimum(count, 2))
-                bucket = ((anchor >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
-                cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), pa.array([anchor[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "anchors"])
-
-    return run
-
-
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors that arrive more than once."""
-    held = [np.frombuffer(x.as_buffer(), np.int64) for batch in batches for x in batch.column(1)]
-    if held:
-        anchor, count = np.unique(np.concatenate(held), return_counts=True)
-        anchor = anchor[count > 1]
-        for i in range(0, len(anchor), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[i : i + 100_000])], ["anchor"])
-
-
 def _segments(size: int):
-    """doc_id, version, anchor, string (hash of the segment), place, windows."""
+    """doc_id, version, anchor, string (hash of the segment), place, windows; sure: the block has
+    the anchor's piece in several places; key: the anchor for the block's first segment of each
+    string, else a number of its own, as its string is already on its way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, _, data, off in t.column_blocks(batch.column(2)):
-                row, place, length, anchor, _ = anchors(data, off, size)
-                if len(row):
-                    start = off[row] + place
-                    string = string_hashes(data, start, start + length + size - 1)
-                    at = pa.array(row + i)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor), pa.array(string), pa.array(place), pa.array(length.astype(np.int32))], ["doc_id", "version", "anchor", "string", "place", "windows"])
+            ids = batch.column(0)
+            known = ids.is_valid().to_numpy(zero_copy_only=False)
+            values = ids.fill_null(0).to_numpy()
+            for i, j, data, off in t.column_blocks(batch.column(2)):
+                row, place, length, anchor, again = anchors(data, off, size, again=True)
+                if not len(row):
+                    continue
+                start = off[row] + place
+                string = string_hashes(data, start, start + length + size - 1)
+                # earliest first within the block: null ids, then by id, then by place
+                turn = np.lexsort((place, values[i:j][row], known[i:j][row], string, anchor))
+                row, place, length, anchor, string, again = (x[turn] for x in (row, place, length, anchor, string, again))
+                new = np.r_[True, anchor[1:] != anchor[:-1]]
+                group = np.cumsum(new) - 1
+                sure = ((np.bincount(group) > 1) | (np.bincount(group, again) > 0))[group]
+                later = np.r_[False, ~new[1:] & (string[1:] == string[:-1])]
+                same = np.r_[False, (values[i:j][row][1:] == values[i:j][row][:-1]) & (known[i:j][row][1:] == known[i:j][row][:-1]) & (place[1:] == place[:-1])]
+                run_start = np.maximum.accumulate(np.where(~later, np.arange(len(row)), 0))
+                tied = later & (np.cumsum(~same) == np.cumsum(~same)[run_start])  # no later than the first
+                later &= ~tied
+                own = t.mix(anchor.view(U) + start[turn].astype(U) * U(0x9E3779B97F4A7C15) + values[i:j][row].astype(U)).view(np.int64)
+                at = pa.array(row + i)
+                yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(anchor), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(sure), pa.array(later), pa.array(np.where(later, own, anchor))], SEGMENT.fieldNames())
 
     return run
 
 
-def _strings(size: int, with_text: bool):
-    """For each document with its list of segments: the segments, those of hot anchors cut into
-    single windows, with their bytes or without."""
+def _strings(size: int, single: bool):
+    """The segments of each document's list with their bytes, or, ``single``, their windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,44 +168,47 @@ def _strings(size: int, with_text: bool):
             for i, j, data, off in t.column_blocks(batch.column(2)):
                 pick = slice(of[i], of[j])
                 row = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
-                n = np.where(flat["hot"][pick], flat["windows"][pick], 1)
-                nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                row, anchor, hot = np.repeat(row, n), np.repeat(flat["anchor"][pick], n), np.repeat(flat["hot"][pick], n)
-                place = np.repeat(flat["place"][pick], n) + nth
-                windows = np.where(hot, 1, np.repeat(flat["windows"][pick], n))
+                anchor, place, windows = (flat[c][pick] for c in ("anchor", "place", "windows"))
+                if single:
+                    nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                    row, anchor, place, windows = np.repeat(row, windows), np.repeat(anchor, windows), np.repeat(place, windows) + nth, np.ones(windows.sum(), np.int32)
                 start = off[row] + place
                 end = start + windows + size - 1
+                string = string_hashes(data, start, end)
+                whole = data.tobytes()
                 for c in range(0, len(row), 20_000):
-                    s, e = start[c : c + 20_000], end[c : c + 20_000]
-                    at = pa.array(row[c : c + 20_000] + i)
-                    cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor[c : c + 20_000]), pa.array(string_hashes(data, s, e)), pa.array(place[c : c + 20_000]), pa.array(windows[c : c + 20_000].astype(np.int32)), pa.array(hot[c : c + 20_000])]
-                    names = ["doc_id", "version", "anchor", "string", "place", "windows", "hot"]
-                    if with_text:
-                        whole = data.tobytes()
-                        cols.append(pa.array([whole[a:b] for a, b in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()))
-                        names.append("bytes")
-                    yield pa.RecordBatch.from_arrays(cols, names)
+                    part = slice(c, c + 20_000)
+                    at = pa.array(row[part] + i)
+                    texts = pa.array([whole[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor[part]), pa.array(string[part]), pa.array(place[part]), pa.array(windows[part].astype(np.int32)), texts], STRING.fieldNames())
 
     return run
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes sorted by their first 128 symbols at least; beyond, and at equal ones, any order
-    will do. ``text``: bytes plus 1, 0 as the mark between strings."""
+    """Suffixes sorted by their first 100 symbols at least, by doubling; beyond, and at equal
+    ones, any order will do. ``text``: bytes plus 1, 0 as the mark between strings. Ranks and
+    places are packed in one number each, so that numbers and not references are sorted."""
     n = len(text)
+    bits = max(9, n.bit_length())
+    if 3 * bits > 64:
+        raise ValueError("an index holds up to 2 million symbols")
+    low, shift = U((1 << bits) - 1), U(bits)
+    width = 2 * bits // 9
+    padded = np.r_[text.astype(U), np.zeros(width, U)]
     key = np.zeros(n, U)
-    padded = np.r_[text.astype(U), np.zeros(8, U)]
-    for i in range(7):  # nine bits each
+    for i in range(width):
         key = (key << U(9)) | padded[i : i + n]
-    width = 7
+    here = np.arange(n, dtype=U)
     while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        rank = np.empty(n, U)
-        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]]).astype(U) + U(1)
-        if width >= 112:
+        packed = np.sort((key << shift) | here)
+        order = (packed & low).astype(np.int64)
+        if width >= 100:
             return order
-        key = rank << U(32)
+        packed >>= shift
+        rank = np.empty(n, U)
+        rank[order] = np.cumsum(np.r_[True, packed[1:] != packed[:-1]]).astype(U)
+        key = rank << shift
         if n > width:
             key[: n - width] |= rank[width:]
         width *= 2
@@ -226,6 +223,8 @@ def shared_prefix_classes(text: np.ndarray, size: int) -> tuple[np.ndarray, np.n
     of the interval to where it takes the last. If nothing is known at its right end yet, the
     suffixes that meet there share exactly the length before growth, and the interval goes on."""
     n = len(text)
+    bits = U(n.bit_length())
+    low = (U(1) << bits) - U(1)
     order = suffix_order(text)
     last = text[order - 1]  # for the suffix at 0 this is the closing mark
     to_first = np.empty(n, np.int64)
@@ -241,31 +240,26 @@ def shared_prefix_classes(text: np.ndarray, size: int) -> tuple[np.ndarray, np.n
             one = one[last[one] != 0]
         new_left = [to_first[one]]
         new_right = [new_left[0] + 1]
-        if not single.all():
+        if len(one) < len(left) and not single.all():
             a, w = left[~single], width[~single]
             which = np.repeat(np.arange(len(a)), w)
             row = np.arange(len(which)) + np.repeat(a - (np.cumsum(w) - w), w)
-            symbol = last[row].astype(np.int64)
+            symbol = last[row]
             if length:
                 keep = symbol != 0
                 which, row, symbol = which[keep], row[keep], symbol[keep]
-            if len(a) == 1:
-                by = np.argsort(symbol.astype(np.uint16), kind="stable")
-            else:
-                by = np.argsort((which * 512 + symbol) * np.int64(n) + row)
-            group = (which * 512 + symbol)[by]
-            ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) if len(group) else np.zeros(0, np.int64)
-            begins = np.r_[0, ends[:-1] + 1] if len(ends) else ends
-            new_left.append(to_first[row[by[begins]]])
-            new_right.append(to_first[row[by[ends]]] + 1)
+            if len(row):
+                packed = np.sort((((which.astype(U) << U(9)) | symbol.astype(U)) << bits) | row.astype(U))
+                group, row = packed >> bits, (packed & low).astype(np.int64)
+                change = group[1:] != group[:-1]
+                new_left.append(to_first[row[np.r_[True, change]]])
+                new_right.append(to_first[row[np.r_[change, True]]] + 1)
         left, right = np.concatenate(new_left), np.concatenate(new_right)
         fresh = ~known[right]
         left, right = left[fresh], right[fresh]
-        right, pick = np.unique(right, return_index=True)
-        left = left[pick]
-        known[right] = True
         if not len(left):
             break
+        known[right] = True
     return order, np.cumsum(known[:n]) - 1
 
 
@@ -296,17 +290,30 @@ def earliest(strings: list[bytes], windows: np.ndarray, doc: np.ndarray, place:
 
 
 def _index(size: int):
+    """Spans that strings lose at their earliest place: doc_id, version, begin, finish."""
+
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        starts = run_starts(table.column("unit").to_numpy())
+        upto = np.r_[0, np.cumsum(table.column("windows").to_numpy() + size)][starts]
+        a = 0
+        while a < len(starts) - 1:
+            b = max(a + 1, int(np.searchsorted(upto, upto[a] + INDEX_BYTES, "right")) - 1)
+            yield one(table.slice(starts[a], starts[b] - starts[a]))
+            a = b
+
+    def one(table: pa.Table) -> pa.RecordBatch:
         ids = table.column("doc_id").combine_chunks()
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         values = ids.fill_null(0).to_numpy()
         distinct = np.unique(values[known])
-        doc = np.where(known, np.searchsorted(distinct, values) + 1, 0)
+        doc = np.where(known, np.searchsorted(distinct, values) + 1, 0)  # null ids come first
+        place = table.column("place").to_numpy()
         windows = table.column("windows").to_numpy().astype(np.int64)
-        string, first, n, first_doc, first_place = earliest(table.column("bytes").to_pylist(), windows, doc, table.column("place").to_numpy(), size)
-        at = pa.array(string)
-        of = pa.array(distinct[np.maximum(first_doc - 1, 0)] if len(distinct) else np.zeros(len(first_doc), np.int64), mask=first_doc == 0)
-        yield pa.RecordBatch.from_arrays([table.column("anchor").combine_chunks().take(at), table.column("string").combine_chunks().take(at), pa.array(first), pa.array(n), of, pa.array(first_place)], ["anchor", "string", "skip", "n", "first_doc", "first_place"])
+        string, skip, n, first_doc, first_place = earliest(table.column("bytes").to_pylist(), windows, doc, place, size)
+        begin = place[string] + skip
+        later = (doc[string] > first_doc) | (begin > first_place)
+        at = pa.array(string[later])
+        return pa.RecordBatch.from_arrays([ids.take(at), table.column("version").combine_chunks().take(at), pa.array(begin[later]), pa.array((begin + n + size - 1)[later])], ["doc_id", "version", "begin", "finish"])
 
     return by_runs("unit", handle, rows=INDEX_ROWS)
 
@@ -338,34 +345,43 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, size: int = 100) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as (doc_id, version, text), and for each doc_id and version, the list of spans
-    (begin, finish) to remove; spans may overlap."""
-    spark = docs.sparkSession
-    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), F.col("text"))
-    asked = source.select("text").mapInArrow(_requests(size, buckets), "bucket long, anchors binary")
-    repeated = asked.repartition("bucket").mapInArrow(_repeated, "anchor long")
-    segments = source.mapInArrow(_segments(size), "doc_id long, version long, anchor long, string long, place long, windows int")
-    found = written(segments.join(repeated.hint("shuffle_hash"), "anchor", "left_semi"), "segments")
-    hot = found.groupBy("anchor", "string").agg(F.lit(1).alias("_")).groupBy("anchor").agg(F.count("*").alias("_n")).where(F.col("_n") > HOT)
-    hot = hot.select("anchor", F.lit(True).alias("hot"), F.ceil(F.col("_n") / (HOT // 20)).alias("split"))
-    hot = written(hot, "hot")
-    marked = found.join(hot.select("anchor", "hot"), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    listed = marked.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "version").agg(F.collect_list(F.struct("anchor", "place", "windows", "hot")).alias("segments"))
-    keyed = source.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "version", "text")
+    """``docs`` as (_id, _none, version, doc_id, text), and for each of the first three, the list
+    of spans (begin, finish) to remove; spans may overlap."""
     keys = ["_id", "_none", "version"]
-    with_list = keyed.join(listed, keys).select("doc_id", "version", "text", "segments")
-    row = "doc_id long, version long, anchor long, string long, place long, windows int, hot boolean"
-    places = with_list.mapInArrow(_strings(size, False), row)
-    strings = with_list.mapInArrow(_strings(size, True), row + ", bytes binary")
-    one = strings.groupBy("anchor", "string").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.first("windows").alias("windows"), F.first("hot").alias("hot"), F.first("bytes").alias("bytes"))
-    one = one.join(hot.select("anchor", "split"), "anchor", "left").withColumn("unit", F.when(F.col("hot"), F.xxhash64("anchor", F.pmod("string", "split"))).otherwise(F.col("anchor")))
-    one = one.select("unit", "anchor", "string", "at.doc_id", "at.place", "windows", "bytes").repartition("unit").sortWithinPartitions("unit")
-    first = one.mapInArrow(_index(size), "anchor long, string long, skip long, n long, first_doc long, first_place long")
-    hits = places.join(first, ["anchor", "string"]).withColumn("begin", F.col("place") + F.col("skip"))
-    later = F.when(F.col("doc_id").isNull(), F.col("begin") > F.col("first_place")).otherwise(F.col("first_doc").isNull() | (F.col("doc_id") > F.col("first_doc")) | ((F.col("doc_id") == F.col("first_doc")) & (F.col("begin") > F.col("first_place"))))
-    hits = hits.where(later).select(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_none"), "version", F.struct("begin", (F.col("begin") + F.col("n") + size - 1).alias("finish")).alias("span"))
-    return keyed, hits.groupBy(*keys).agg(F.collect_set("span").alias("spans"))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), F.col("text"))
+    # one shuffle by anchor: what repeats, the earliest place of each string, strings per anchor
+    by_anchor = Window.partitionBy("key")
+    rows = source.mapInArrow(_segments(size), SEGMENT).withColumn("n", F.count("*").over(by_anchor)).withColumn("any", F.max("sure").over(by_anchor)).where("n > 1 or any")
+    first = F.rank().over(Window.partitionBy("key", "string").orderBy(F.col("doc_id").asc_nulls_first(), "place"))
+    rows = rows.withColumn("rep", ~F.col("later") & (first == 1))
+    rows = rows.withColumn("strings", F.count_if("rep").over(by_anchor))
+    found = written(rows.select("doc_id", "version", F.when(F.col("rep"), F.col("anchor")).alias("anchor"), "place", "windows", "rep", (F.col("rep") & (F.col("strings") > HOT)).alias("hot")), "segments")
+    texts = keyed(source)
+
+    def with_text(segments: DataFrame) -> DataFrame:
+        listed = keyed(segments).groupBy(*keys).agg(F.collect_list(F.struct("anchor", "place", "windows")).alias("segments"))
+        return texts.join(listed, keys).select("doc_id", "version", "text", "segments")
+
+    def indexed(strings: DataFrame) -> DataFrame:
+        return strings.select("unit", "doc_id", "version", "place", "windows", "bytes").repartition("unit").sortWithinPartitions("unit").mapInArrow(_index(size), "doc_id long, version int, begin long, finish long")
+
+    plain = with_text(found.where("rep and not hot")).mapInArrow(_strings(size, False), STRING)
+    spans = indexed(plain.withColumn("unit", F.col("anchor")))
+    equal = found.where("not rep").select("doc_id", "version", F.col("place").alias("begin"), (F.col("place") + F.col("windows") + size - 1).alias("finish"))
+    spans = spans.unionByName(equal)
+    if not found.where("hot").isEmpty():
+        single = written(with_text(found.where("hot")).mapInArrow(_strings(size, True), STRING), "windows")
+        least = single.groupBy("anchor", "string").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.first("bytes").alias("bytes"))
+        joined = single.drop("bytes").join(least, ["anchor", "string"])
+        is_first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("place") == F.col("at.place"))
+        strings = joined.where(is_first).withColumn("unit", F.xxhash64("anchor", "string"))
+        late = joined.where(~is_first).select("doc_id", "version", F.col("place").alias("begin"), (F.col("place") + size).alias("finish"))
+        spans = spans.unionByName(indexed(strings)).unionByName(late)
+    return texts, keyed(spans).groupBy(*keys).agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
 
 
 def dedup_digest(docs: DataFrame, size: int = 100) -> DataFrame:
