@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, langid, mixing, ngram_join, sharding
-from tessera.llm.shared import written
+from tessera.llm.shared import fresh
+from tessera.operators.tables import written
 from tessera.tables import table
 
 SHARDS = 24
@@ -23,8 +24,9 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the network knows."""
-    tagged = langid.predict(docs, langid.train(docs))
-    return tagged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    tagged = langid.predict(docs, langid.train(docs), lang_out=lang, score_out=score)
+    return tagged.where((F.col(lang) != langid.UNDETERMINED) & (F.col(score) >= LANGUAGE_SCORE)).drop(lang, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

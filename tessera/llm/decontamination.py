@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnum as t
+from tessera.llm.shared import fresh
 
 PORTION = 8 << 20
 BLOCK = 16
@@ -173,7 +174,7 @@ def _expand(terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return hits, np.repeat(first[terms] - off, n) + np.arange(len(hits))
 
 
-def _marker(index: Index, names: list[str], text_at: int, old_at: int | None, threshold: float, cover: float, n: int):
+def _marker(index: Index, names: list[str], text_at: int, old_at: int | None, threshold: float, cover: float, n: int, out_col: str):
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(LEAKS)
@@ -191,15 +192,17 @@ def _marker(index: Index, names: list[str], text_at: int, old_at: int | None, th
                         best[row, item] = (score, float(question), float(answer))
                 for (row, item), (score, question, answer) in sorted(best.items()):
                     leaks[i + row].append({"item_id": index.ids[item], "score": score, "question_overlap": question, "answer_overlap": answer})
-            yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != old_at], pa.array(leaks, kind)], [*names, "leaks"])
+            yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != old_at], pa.array(leaks, kind)], [*names, out_col])
 
     return run
 
 
-def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, cover: float = 0.6, n: int = 5, text_col: str = "text") -> DataFrame:
-    """``docs`` with leaks, an array of item_id, score, question_overlap, answer_overlap."""
+def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, cover: float = 0.6, n: int = 5, text_col: str = "text", out_col: str = "leaks") -> DataFrame:
+    """``docs`` with leaks, an array of item_id, score, question_overlap, answer_overlap; a column
+    of its name is replaced."""
+    docs = docs.drop(out_col)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("leaks", LEAKS)])
+    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, LEAKS)])
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     portions = max(1, -(-int(total) // PORTION))
@@ -208,9 +211,9 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, co
         part = items if portions == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k)
         index = Index.build([tuple(r) for r in part.collect()], n)
         if index is not None:
-            out = out.mapInArrow(_marker(index, names, names.index(text_col), old, threshold, cover, n), schema)
+            out = out.mapInArrow(_marker(index, names, names.index(text_col), old, threshold, cover, n, out_col), schema)
             old = len(names)
-    return out if old is not None else docs.withColumn("leaks", F.array().cast(LEAKS))
+    return out if old is not None else docs.withColumn(out_col, F.array().cast(LEAKS))
 
 
 def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -221,4 +224,5 @@ def leak_digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents into which no item leaked."""
-    return mark_leaks(docs, benchmark).where(F.size("leaks") == 0).select(*docs.columns)
+    leaks = fresh(docs, "leaks")
+    return mark_leaks(docs, benchmark, out_col=leaks).where(F.size(leaks) == 0).drop(leaks)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textnum as t
 from tessera.llm.ranking import unit_hash
+from tessera.llm.shared import fresh
 
 WINDOW, SPAN = 128, 512
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
@@ -153,12 +154,14 @@ def train(docs: DataFrame, per_language: int = 500, max_languages: int = 200, se
     return fit(windows[keep], target[keep], languages)
 
 
-def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with lang_pred and score."""
+def predict(docs: DataFrame, net: Network | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """The columns of ``docs`` with the language and its probability; columns of these names are
+    replaced."""
     from pyspark.sql import types as T
 
+    docs = docs.drop(lang_out, score_out)
     names = docs.columns
-    plain = docs.select(*names, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    plain = docs.withColumn(fresh(docs, "letters"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,9 +180,9 @@ def predict(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_c
                 ok = letters[i:j][has]
                 lang[i + has[ok]] = np.array(net.languages, object)[mean[ok].argmax(1)]
                 score[i + has[ok]] = mean[ok].max(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], [*names, lang_out, score_out])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     return plain.mapInArrow(run, schema)
 
 

@@ -9,7 +9,8 @@ later ones that fit it, in the same order, to the sum nearest to it. Documents a
 
 Defined results: a null or empty text has size 0; a null source is a source of its own, last in
 order; a source of size 0 has target 0; rows equal in id and text share a key and are taken in
-either order; documents without labels weigh 1; an empty table gives no rows.
+either order; documents without labels weigh 1; an empty table gives no rows. Other columns are
+carried along by mixed_documents.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.ranking import attach, carry_back, n_buckets, prefix, row_key
+from tessera.llm.ranking import attach, carry_back, n_buckets, named_back, prefix, row_key
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5.0, 2.0, 1.0)
@@ -88,9 +89,9 @@ def mix_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The mix itself: every document as often as it is taken, in the columns of ``docs``. Only
     keys and sizes are ranked, texts move once."""
-    m = mix(docs.withColumn("_key", row_key(docs)), quality_weights(labels), keep=["_key"])
-    m = carry_back(docs, m, ["copies"])
-    return m.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    m = mix(docs.select("doc_id", "text", "source", row_key(docs).alias("_key")), quality_weights(labels), keep=["_key"])
+    m = carry_back(docs, m.withColumnRenamed("copies", "_copies"), ["_copies"])
+    return named_back(m.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))), docs.columns, [])
 
 
 ORACLE = r"""

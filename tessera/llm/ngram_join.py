@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textnum as t
-from tessera.llm.shared import UnitLinks, blocked_units, by_runs, classes_of, matrix, run_starts, unit_pairs, written
+from tessera.llm.shared import UnitLinks, blocked_units, by_runs, classes_of, fresh, matrix, named, run_starts, unit_pairs
+from tessera.operators.tables import written
 
 U = np.uint64
 BLOCK = 512
@@ -195,7 +196,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", recall:
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the members of each class that have not its smallest id. Rows without
     words and rows without an id stay; rows equal in id and text stay or go together."""
-    marked = docs.withColumn("_text", F.xxhash64("text"))
-    classes = jaccard_classes(marked, carry="_text", **options)
-    gone = classes.where("node is not null and doc_id <> class_id").select("doc_id", "_text").distinct()
-    return marked.join(gone, ["doc_id", "_text"], "left_anti").select(*docs.columns)
+    mark = fresh(docs, "text_hash")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    classes = jaccard_classes(marked, carry=mark, **options)
+    gone = classes.where("node is not null and doc_id <> class_id").select("doc_id", mark).distinct()
+    return marked.join(gone, ["doc_id", mark], "left_anti").select(*[named(c) for c in docs.columns])

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import fresh
+
 ROUNDS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
@@ -188,12 +190,13 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_found") -> DataFrame:
-    """``docs`` with personal data in ``text_col`` replaced and the number of replaced values."""
-    text = F.col(text_col)
-    found = docs.withColumn("_m", F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), 0)))
-    found = found.withColumn("_new", F.when(F.size("_m") > 0, F.transform("_m", lambda m: pseudonym(m, key))))
+    """``docs`` with personal data in ``text_col`` replaced and the number of replaced values; a
+    column called as the count is replaced."""
+    text, old, new = F.col(text_col), fresh(docs, "found"), fresh(docs, "pseudonyms")
+    found = docs.drop(count_col).withColumn(old, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), 0)))
+    found = found.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
     gaps = F.split(text, ANY, -1)
-    fills = F.zip_with("_new", "_m", lambda n, m: F.coalesce(n, m))
+    fills = F.zip_with(new, old, lambda n, m: F.coalesce(n, m))
     joined = F.array_join(F.zip_with(gaps, fills, lambda g, f: F.concat(g, F.coalesce(f, F.lit("")))), "")
-    hits = F.coalesce(F.size(F.filter("_new", lambda n: n.isNotNull())), F.lit(0))
-    return found.withColumn(text_col, F.when(F.col("_new").isNotNull(), joined).otherwise(text)).withColumn(count_col, F.when(F.col("_new").isNull(), 0).otherwise(hits).cast("int")).drop("_m", "_new")
+    hits = F.size(F.filter(new, lambda n: n.isNotNull()))
+    return found.withColumn(text_col, F.when(F.col(new).isNotNull(), joined).otherwise(text)).withColumn(count_col, F.when(F.col(new).isNull(), 0).otherwise(hits).cast("int")).drop(old, new)

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textnum as t
-from tessera.llm.shared import UnitLinks, blocked_units, by_runs, classes_of, matrix, run_starts, unit_pairs, written
+from tessera.llm.shared import UnitLinks, blocked_units, by_runs, classes_of, matrix, run_starts, unit_pairs
+from tessera.operators.tables import written
 
 WINDOW = 64
 BLOCK = 512

@@ -156,19 +156,20 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled:
     return fit(x[is_positive], x[~is_positive], prior)
 
 
-def score(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` with score."""
+def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:
+    """The columns of ``docs`` with the score; a column of its name is replaced."""
     from pyspark.sql import types as T
 
+    docs = docs.drop(out_col)
     names = docs.columns
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [scorer.score(features(data, off)) for _, _, data, off in t.column_blocks(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out) if out else np.zeros(0))], [*names, out_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())]))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -11,6 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm.shared import named
 
 
 def n_buckets(spark: SparkSession) -> int:
@@ -52,14 +55,21 @@ def attach(df: DataFrame, by: list[str], bucket: str, per_group: DataFrame) -> D
 
 def row_key(df: DataFrame) -> Column:
     """Hash of a whole row."""
-    return F.xxhash64(*df.columns)
+    plain = lambda f: F.map_entries(named(f.name)) if isinstance(f.dataType, T.MapType) else named(f.name)
+    return F.xxhash64(*[plain(f) for f in df.schema.fields])
 
 
 def carry_back(wide: DataFrame, narrow: DataFrame, cols: list[str]) -> DataFrame:
-    """Adds ``cols`` of ``narrow``, which has one row with ``_key`` = row_key for every row of
-    ``wide``, so that texts are moved once. Rows with equal keys are numbered on both sides; they
-    are alike, so it does not matter which gets which number."""
+    """The columns of ``wide`` as w_0, w_1, ... with ``cols`` of ``narrow``, which has one row with
+    ``_key`` = row_key for every row of ``wide``, so that texts are moved once. Rows with equal
+    keys are numbered on both sides; they are alike, so it does not matter which gets which."""
     order = Window.partitionBy("_key")
-    left = wide.withColumn("_key", row_key(wide)).withColumn("_nth", F.row_number().over(order.orderBy("_key")))
+    left = wide.select(*[named(c).alias(f"w_{i}") for i, c in enumerate(wide.columns)], row_key(wide).alias("_key")).withColumn("_nth", F.row_number().over(order.orderBy("_key")))
     right = narrow.select("_key", *cols).withColumn("_nth", F.row_number().over(order.orderBy(*cols)))
     return left.join(right, ["_key", "_nth"]).drop("_key", "_nth")
+
+
+def named_back(joined: DataFrame, names: list[str], cols: list[str]) -> DataFrame:
+    """The columns of carry_back under their own names; one that is called as one of ``cols``
+    makes way for it."""
+    return joined.select(*[F.col(f"w_{i}").alias(c) for i, c in enumerate(names) if c not in cols], *cols)

@@ -6,7 +6,8 @@ every run of consecutive rows has the mixture of the whole, and equal runs are t
 
 Defined results: a null text has size 8 and no bytes to check-sum (text_crc32 0, as of the empty
 text); a null source is a source of its own; rows that are equal in id and text are
-interchangeable; an empty table gives no rows. Other columns are not read.
+interchangeable; an empty table gives no rows. Other columns are carried along; columns that are
+called shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.ranking import carry_back, n_buckets, prefix, row_key
+from tessera.llm.ranking import carry_back, n_buckets, named_back, prefix, row_key
 
 
 def places(docs: DataFrame, shards: int, keep: list[str], seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -41,8 +42,8 @@ def places(docs: DataFrame, shards: int, keep: list[str], seed: int = 17, id_col
 
 def shard_documents(docs: DataFrame, shards: int = 24, **options) -> DataFrame:
     """``docs`` with shard and slot; only keys and sources are ranked, texts move once."""
-    keyed = docs.withColumn("_key", row_key(docs))
-    return carry_back(docs, places(keyed, shards, ["_key"], **options), ["shard", "slot"])
+    keyed = docs.select("doc_id", "text", "source", row_key(docs).alias("_key"))
+    return named_back(carry_back(docs, places(keyed, shards, ["_key"], **options), ["shard", "slot"]), docs.columns, ["shard", "slot"])
 
 
 def shard_digest(docs: DataFrame, shards: int = 24) -> DataFrame:

@@ -1,29 +1,28 @@
-"""Tables written between steps, runs of equal keys in Arrow streams, and connected components."""
+"""Units of comparison, runs of equal keys in Arrow streams, and classes of linked nodes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import components
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; only where that is
-    unset, as in tests on one machine, a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='tessera-')}/tessera-{uuid.uuid4().hex}"
 
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """The frame as a Parquet table in the shared folder: cuts lineage and outlives executors."""
-    path = f"{work_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has, made from ``name``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def by_runs(unit: str, handle: Callable[[pa.Table], Iterator[pa.RecordBatch]], rows: int = 20_000) -> Callable:
@@ -62,39 +61,6 @@ def run_starts(keys: np.ndarray) -> np.ndarray:
     return np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, component (smallest node reachable) for every node of ``edges`` (a, b: long).
-
-    Alternates large-star and small-star steps; each is a minimum by node, which Spark combines
-    before its shuffle, and a join that it can split where a node is hot. Ends when a round
-    changes nothing; the table of each round is written to the shared folder."""
-
-    def tidy(e: DataFrame) -> DataFrame:
-        return e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-
-    def large_star(e: DataFrame) -> DataFrame:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        return tidy(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-
-    def small_star(e: DataFrame) -> DataFrame:
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        return tidy(e.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))))
-
-    mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    e = written(tidy(edges.select("a", "b").where("a is not null and b is not null")), "edges")
-    was = mark(e)
-    for _ in range(rounds):
-        e = written(small_star(large_star(e)), "edges")
-        now = mark(e)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-
-
 def blocked_units(held: DataFrame, block: int) -> DataFrame:
     """Units of comparison for a frame of (node, key, ...): the nodes of a key, or, where they
     are more than ``block``, every pair of its blocks. Adds unit, and side: 0 if all rows of the

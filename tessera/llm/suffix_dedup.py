@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnum as t
-from tessera.llm.shared import by_runs, run_starts, written
+from tessera.llm.shared import by_runs, run_starts
+from tessera.operators.tables import written
 
 U = np.uint64
 PIECE = 20
