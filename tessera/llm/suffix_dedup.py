@@ -41,8 +41,8 @@ U = np.uint64
 PIECE = 20
 MOST_WINDOWS = 256  # of a segment; longer runs, as in text of one repeated word, are cut
 HOT = 2000
-INDEX_ROWS = 8_000  # strings that are read before indexes are made of them
-INDEX_BYTES = 1_200_000  # of an index; the strings of an anchor, up to HOT, come on top
+INDEX_ROWS = 4_000  # strings that are read before indexes are made of them
+INDEX_BYTES = 250_000  # of an index; the strings of an anchor, up to HOT, come on top
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:
@@ -141,7 +141,13 @@ def _segments(size: int):
                 start = off[row] + place
                 string = string_hashes(data, start, start + length + size - 1)
                 # earliest first within the block: null ids, then by id, then by place
-                turn = np.lexsort((place, values[i:j][row], known[i:j][row], string, anchor))
+                by_id = np.lexsort((values[i:j], known[i:j]))
+                if (by_id[1:] < by_id[:-1]).any():
+                    rank = np.empty(j - i, np.int64)
+                    rank[by_id] = np.arange(j - i)
+                    turn = np.argsort(rank[row], kind="stable")
+                    row, place, length, anchor, string, again = (x[turn] for x in (row, place, length, anchor, string, again))
+                turn = np.lexsort((string, anchor))
                 row, place, length, anchor, string, again = (x[turn] for x in (row, place, length, anchor, string, again))
                 new = np.r_[True, anchor[1:] != anchor[:-1]]
                 group = np.cumsum(new) - 1
@@ -151,7 +157,7 @@ def _segments(size: int):
                 run_start = np.maximum.accumulate(np.where(~later, np.arange(len(row)), 0))
                 tied = later & (np.cumsum(~same) == np.cumsum(~same)[run_start])  # no later than the first
                 later &= ~tied
-                own = t.mix(anchor.view(U) + start[turn].astype(U) * U(0x9E3779B97F4A7C15) + values[i:j][row].astype(U)).view(np.int64)
+                own = t.mix(anchor.view(U) + place.astype(U) * U(0x9E3779B97F4A7C15) + values[i:j][row].astype(U) * U(0xD1342543DE82EF95)).view(np.int64)
                 at = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(anchor), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(sure), pa.array(later), pa.array(np.where(later, own, anchor))], SEGMENT.fieldNames())
 
