@@ -137,4 +137,4 @@ def latex_to_code(col: Column) -> Column:
 def prefixed_list(items: Column, prefix: str) -> Column:
     """Trimmed parts of the item that begins with the prefix, split at list marks."""
     first = F.element_at(F.filter(items, lambda x: x.startswith(prefix)), 1)
-    return F.filter(F.transform(F.split(F.substring(first, len(prefix) + 1, 1 << 30), "[、,，;；]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.substring(first, len(prefix) + 1, 1 << 30), "[、,，;；]"), lambda x: F.trim(x)), lambda x: x != "")

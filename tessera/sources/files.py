@@ -196,7 +196,7 @@ def document_record(texts: DataFrame) -> DataFrame:
     """path, title, doi, year, excerpt from texts (path, text, title of the file's metadata): the
     title falls back to the first line of over five characters, then to the file's name."""
     head = F.substring("text", 1, 100_000)
-    line = F.get(F.filter(F.transform(F.split(head, r"\n"), F.trim), lambda x: F.length(x) > 5), F.lit(0))
+    line = F.get(F.filter(F.transform(F.split(head, r"\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 5), F.lit(0))
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), line, F.regexp_extract("path", r"([^/]+)$", 1))
     doi = F.nullif(F.lower(F.regexp_extract(head, r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1)), F.lit(""))
     year = F.nullif(F.regexp_extract(F.substring(head, 1, 5000), r"\b((?:19|20)\d{2})\b", 1), F.lit("")).cast("int")
