@@ -10,9 +10,10 @@ between two fixed places share ``size`` bytes, and the earliest of them stays.
 To spread the index over tasks, every string of ``size`` bytes (window) belongs to its anchor, the
 smallest hash among its pieces of PIECE bytes, which equal windows have in common. Successive
 windows with one anchor form a segment. Anchors whose piece stands in one place of the corpus only
-are dropped. Equal segments are one string, which goes into the index at its earliest place (all
-its later places lose all its windows); the strings of an anchor always meet in one index, with
-those of many other anchors. In the shuffle by anchor a block of texts sends each string once, so
+are dropped. Equal segments are one string with an earliest place; all its later places lose all
+its windows. Strings go into the index at their earliest place, but for one that has its anchor to
+itself and once only, as no other window can equal one of its own; the strings of an anchor always
+meet in one index, with those of many other anchors. In the shuffle by anchor a block of texts sends each string once, so
 a hot anchor brings few rows. Where one anchor has over HOT different strings, as the edges of a
 passage that very many documents quote, they are cut into single windows first, which split
 further by content. Nothing is capped.
@@ -64,7 +65,7 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     return t.mix(acc)
 
 
-SEGMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("anchor", "string", "place")], T.StructField("windows", T.IntegerType()), T.StructField("sure", T.BooleanType()), T.StructField("later", T.BooleanType()), T.StructField("key", T.LongType())])
+SEGMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("anchor", "string", "place")], T.StructField("windows", T.IntegerType()), T.StructField("sure", T.BooleanType()), T.StructField("again", T.BooleanType()), T.StructField("later", T.BooleanType()), T.StructField("key", T.LongType())])
 STRING = T.StructType([*SEGMENT.fields[:6], T.StructField("bytes", T.BinaryType())])
 
 
@@ -126,7 +127,7 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 
 def _segments(size: int):
     """doc_id, version, anchor, string (hash of the segment), place, windows; sure: the block has
-    the anchor's piece in several places; key: the anchor for the block's first segment of each
+    the anchor's piece in several places; again: the segment has; key: the anchor for the block's first segment of each
     string, else a number of its own, as its string is already on its way."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +160,7 @@ def _segments(size: int):
                 later &= ~tied
                 own = t.mix(anchor.view(U) + place.astype(U) * U(0x9E3779B97F4A7C15) + values[i:j][row].astype(U) * U(0xD1342543DE82EF95)).view(np.int64)
                 at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(anchor), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(sure), pa.array(later), pa.array(np.where(later, own, anchor))], SEGMENT.fieldNames())
+                yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(anchor), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(sure), pa.array(again), pa.array(later), pa.array(np.where(later, own, anchor))], SEGMENT.fieldNames())
 
     return run
 
@@ -366,6 +367,8 @@ def repeated_spans(docs: DataFrame, size: int = 100) -> tuple[DataFrame, DataFra
     first = F.rank().over(Window.partitionBy("key", "string").orderBy(F.col("doc_id").asc_nulls_first(), "place"))
     rows = rows.withColumn("rep", ~F.col("later") & (first == 1))
     rows = rows.withColumn("strings", F.count_if("rep").over(by_anchor))
+    # the only string of an anchor whose piece it has once shares no window with anything
+    rows = rows.withColumn("again", F.max("again").over(by_anchor)).where("not rep or strings > 1 or again")
     found = written(rows.select("doc_id", "version", F.when(F.col("rep"), F.col("anchor")).alias("anchor"), "place", "windows", "rep", (F.col("rep") & (F.col("strings") > HOT)).alias("hot")), "segments")
     texts = keyed(source)
 
