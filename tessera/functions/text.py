@@ -130,8 +130,9 @@ def strip_repeated_heading(body: Column, title: Column) -> Column:
 
 
 def latex_to_code(col: Column) -> Column:
-    r"""\( \) and \[ \] formulas as code spans."""
-    return F.regexp_replace(F.regexp_replace(col, r"\\\((.+?)\\\)", "`$1`"), r"(?s)\\\[(.+?)\\\]", "`$1`")
+    r"""Inline formulas as code spans, displayed ones as code blocks."""
+    shown = F.regexp_replace(col, r"(?s)\\\[\s*(.*?)\s*\\\]", "```text\n$1\n```")
+    return F.regexp_replace(shown, r"\\\((.+?)\\\)", "`$1`")
 
 
 def prefixed_list(items: Column, prefix: str) -> Column:

@@ -71,8 +71,10 @@ def least_strength(claims: DataFrame, by: str) -> DataFrame:
 
 
 def main_claim(claims: DataFrame, by: str) -> DataFrame:
-    """The main claim of each group; without one the strongest, first in order of id."""
-    w = Window.partitionBy(by).orderBy(F.when(F.col("type") == "main", 0).otherwise(1), F.desc(rank(F.col("max_strength"))), "claim_id")
+    """One claim (seq, claim_id, type, user_decision) of each group: the first planned as main,
+    else called main, else neither deferred nor rejected, else the first."""
+    choice = F.when(F.col("type") == "main", 0).when(F.col("claim_id") == "main", 1).when(~F.coalesce(F.col("user_decision"), F.lit("")).isin("deferred", "rejected"), 2).otherwise(3)
+    w = Window.partitionBy(by).orderBy(choice, "seq")
     return claims.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 

@@ -12,6 +12,9 @@ STALE = {
     "plan": ["analysis_runs", "proposals"],
     "data": ["analysis_runs", "proposals"],
 }
+# States of a stage that ask for something to be done, and those that block others.
+OPEN = ["not_started", "awaiting_selection", "draft", "stale", "failed", "ready"]
+BLOCKING = ["not_started", "failed", "awaiting_selection", "draft"]
 # Stages in order.
 STAGES = ["direction", "literature", "candidates", "plan", "data", "proposal"]
 
@@ -58,12 +61,47 @@ def stage_status(p: DataFrame) -> DataFrame:
 
 
 def flow(status: DataFrame) -> DataFrame:
-    """project_id, n_done, next_stage: done stages up to the first that is not, and that stage."""
+    """project_id, n_done (completed or confirmed stages), next_stage (the first that asks for
+    something to be done)."""
     done = F.col("status").isin("completed", "confirmed")
-    each = status.groupBy("project_id").agg(F.count_if(done).alias("n_done"), F.min(F.when(~done, F.struct("seq", "stage"))).alias("f"))
+    each = status.groupBy("project_id").agg(F.count_if(done).alias("n_done"), F.min(F.when(F.col("status").isin(OPEN), F.struct("seq", "stage"))).alias("f"))
     return each.select("project_id", "n_done", F.col("f.stage").alias("next_stage"))
 
 
+def lock_reasons(status: DataFrame) -> DataFrame:
+    """project_id, stage, blocker, blocker_status of stages not started that an earlier stage
+    blocks."""
+    earlier = Window.partitionBy("project_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.min(F.when(F.col("status").isin(BLOCKING), F.struct("seq", "stage", "status"))).over(earlier)
+    return status.withColumn("b", first).where("status = 'not_started' and b is not null").select("project_id", "stage", F.col("b.stage").alias("blocker"), F.col("b.status").alias("blocker_status"))
+
+
+def derive_flow(status: DataFrame) -> DataFrame:
+    """project_id, seq, stage, flow, downstream from statuses (project_id, seq, stage, status,
+    confirmed_version, editing, local_stale, data_ok).
+
+    A stage is open while all before it are passed. An edited one is active, a stale one stale,
+    one that is done and confirmed (here, or by later work) confirmed; others are active if open,
+    else locked. Locked and active stages close what follows, but for data whose main model is
+    done. downstream: how many later stages are confirmed or stale."""
+    later = Window.partitionBy("project_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
+    began = F.max((F.col("status") != "not_started").cast("int")).over(later)
+    rows = status.withColumn("later", F.coalesce(began, F.lit(0)) == 1)
+    listed = rows.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("seq", "stage", "status", "confirmed_version", "editing", "local_stale", "data_ok", "later"))).alias("all"))
+
+    def turn(acc, s):
+        lenient = (s["stage"] == "data") & s["data_ok"]
+        done = (s["status"] == "completed") | (lenient & (s["status"] == "failed"))
+        closed = F.when(acc["open"], "active").otherwise("locked")
+        state = F.when(s["editing"], "active").when((s["status"] == "stale") | s["local_stale"], F.when(acc["open"], "stale").otherwise("locked")).when((s["status"] == "confirmed") | (done & ((s["confirmed_version"] > 0) | s["later"])), "confirmed").otherwise(closed)
+        still = acc["open"] & (state != "locked") & ~((state == "active") & ~lenient)
+        return F.struct(still.alias("open"), F.concat(acc["out"], F.array(F.struct(s["seq"].alias("seq"), s["stage"].alias("stage"), state.alias("flow")))).alias("out"))
+
+    start = F.struct(F.lit(True).alias("open"), F.array().cast("array<struct<seq:int,stage:string,flow:string>>").alias("out"))
+    flat = listed.select("project_id", F.explode(F.aggregate("all", start, turn, lambda a: a["out"])).alias("r")).select("project_id", "r.*")
+    return flat.withColumn("downstream", F.count_if(F.col("flow").isin("confirmed", "stale")).over(later))
+
+
 def supersede(plans: DataFrame, parent: str, version: str) -> DataFrame:
     """Only the newest confirmed plan of a parent stays confirmed."""
     top = F.max(F.when(F.col("status") == "confirmed", F.col(version))).over(Window.partitionBy(parent))

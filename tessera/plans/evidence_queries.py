@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import fixed_values as fv
 from tessera.functions import text as tx
-from tessera.operators import gates, landscape, records, workflow
+from tessera.operators import candidates, gates, landscape, records, workflow
 from tessera.tables import table
 
 QUERIES: dict = {}
@@ -80,7 +80,7 @@ def _records(spark: SparkSession, sf_dir: str, every_doi: bool) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     digest = F.md5(F.col("text").cast("binary"))
     doi = F.concat(F.lit("10.1/"), F.substring(digest, 1, 16))
-    return d.select(F.col("doc_id").alias("position"), "source", F.array("source").alias("sources"), (doi if every_doi else F.when(F.col("doc_id") % 2 == 0, doi)).alias("doi"), F.substring("text", 1, 60).alias("title"), F.lit(2020).alias("year"), F.col("n_chars").alias("cited_by"), F.array("lang").alias("concepts"))
+    return d.select(F.col("doc_id").alias("position"), "source", F.array("source").alias("sources"), (doi if every_doi else F.when(F.col("doc_id") % 2 == 0, doi)).alias("doi"), F.substring_index("text", "\n", 1).alias("title"), F.lit(2020).alias("year"), F.col("n_chars").alias("cited_by"), F.array("lang").alias("concepts"))
 
 
 @query("""SELECT min(doc_id) AS "position", '10.1/' || substr(md5(text), 1, 16) AS doi, array_to_string(list_sort(list_distinct(list(source))), ',') AS sources, max(n_chars) AS cited_by, count(*)::BIGINT AS members FROM documents GROUP BY text""")
@@ -97,18 +97,17 @@ def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN a.lang ELSE b.lang END AS lang, coalesce(nullif(a.source, ''), b.source) AS source,
  CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 'updated' WHEN a.doc_id IS NOT NULL THEN 'kept' ELSE 'added' END AS state
-FROM (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS source FROM documents WHERE doc_id % 5 < 3) a FULL JOIN (SELECT doc_id, 'xx' AS lang, source FROM documents WHERE doc_id % 5 > 1) b ON a.doc_id = b.doc_id""")
+FROM (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN '' ELSE source END AS source FROM documents) a FULL JOIN (SELECT page_id * 7 AS doc_id, 'xx' AS lang, url AS source FROM pages) b ON a.doc_id = b.doc_id""")
 def upsert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    stored = d.where("doc_id % 5 < 3").select("doc_id", "lang", F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.col("source")).alias("source"))
-    incoming = d.where("doc_id % 5 > 1").select("doc_id", F.lit("xx").alias("lang"), "source")
+    stored = table(spark, sf_dir, "documents").select("doc_id", "lang", F.when(F.col("lang") == "en", "").otherwise(F.col("source")).alias("source"))
+    incoming = table(spark, sf_dir, "pages").select((F.col("page_id") * 7).alias("doc_id"), F.lit("xx").alias("lang"), F.col("url").alias("source"))
     return records.upsert(stored, incoming, "doc_id", fill=["source"], keep=["lang"])
 
 
 # -- landscape -------------------------------------------------------------------------------------
 
 _STOP = ", ".join(f"'{w}'" for w in fv.STOPWORDS)
-_TERMS = f"""WITH ti AS (SELECT doc_id, lower(substr(text, 1, 80)) AS title FROM documents),
+_TERMS = f"""WITH ti AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS title FROM documents),
 kw AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(title, '[a-z][a-z-]{{3,}}'), lambda w: w NOT IN ({_STOP})))) AS ks FROM ti),
 te AS (SELECT doc_id, unnest(ks) AS term, unnest(range(len(ks))) AS pos FROM kw),
 ct AS (SELECT term, count(*)::BIGINT AS c, min(doc_id * 10000 + pos) AS f FROM te GROUP BY term),
@@ -116,7 +115,7 @@ top AS (SELECT term, c, f FROM ct ORDER BY c DESC, f LIMIT 18)"""
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.substring("text", 1, 80).alias("title"), F.array().cast("array<string>").alias("concepts"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("position"), F.substring_index("text", "\n", 1).alias("title"), F.array().cast("array<string>").alias("concepts"))
     return landscape.keyword_rows(d)
 
 
@@ -213,9 +212,9 @@ def secret_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- workflow --------------------------------------------------------------------------------------
 
 
-@query("SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
+@query("SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1")
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflow.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", "event_id")
+    return workflow.latest(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value"), "user_id", "event_id")
 
 
 @query("SELECT c_custkey AS user_id, (coalesce(max(event_id), 0) + 1)::BIGINT AS next_version FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey")
@@ -268,7 +267,7 @@ def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _status(spark, sf_dir)
 
 
-@query(f"WITH s AS ({_STATE}), a AS (" + " UNION ALL ".join(f"SELECT project_id, {i} AS seq, '{k}' AS stage, {v} AS status FROM s" for i, (k, v) in enumerate(_STAGE_SQL.items())) + "), b AS (SELECT *, status IN ('completed', 'confirmed') AS done FROM a) SELECT project_id, (count(*) FILTER (done))::BIGINT AS n_done, arg_min(stage, seq) FILTER (NOT done) AS next_stage FROM b GROUP BY project_id")
+@query(f"WITH s AS ({_STATE}), a AS (" + " UNION ALL ".join(f"SELECT project_id, {i} AS seq, '{k}' AS stage, {v} AS status FROM s" for i, (k, v) in enumerate(_STAGE_SQL.items())) + "), b AS (SELECT *, status IN ('completed', 'confirmed') AS done FROM a) SELECT project_id, (count(*) FILTER (done))::BIGINT AS n_done, arg_min(stage, seq) FILTER (status IN ('not_started', 'awaiting_selection', 'draft', 'stale', 'failed', 'ready')) AS next_stage FROM b GROUP BY project_id")
 def stage_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.flow(_status(spark, sf_dir))
 
@@ -277,3 +276,23 @@ def stage_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 100).alias("input_tokens"), (F.col("user_id") % 50).alias("output_tokens"))
     return workflow.usage(calls, ["event_type"])
+
+
+_FLOW_SQL = f"""WITH s AS ({_STATE}), a AS (""" + " UNION ALL ".join(f"SELECT project_id, {i} AS seq, '{k}' AS stage, {v} AS status FROM s" for i, (k, v) in enumerate(_STAGE_SQL.items())) + """),
+b AS (SELECT *, first_value(CASE WHEN status IN ('not_started', 'failed', 'awaiting_selection', 'draft') THEN seq END IGNORE NULLS) OVER (PARTITION BY project_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS f FROM a)
+SELECT b.project_id, b.stage, a.stage AS blocker, a.status AS blocker_status FROM b JOIN a ON a.project_id = b.project_id AND a.seq = b.f WHERE b.status = 'not_started'"""
+
+
+@query(_FLOW_SQL)
+def stage_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.lock_reasons(_status(spark, sf_dir))
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, c_nationkey AS set_id, c_custkey % 7 AS n_evidence, c_custkey % 2 = 0 AS identified, CASE c_custkey % 3 WHEN 0 THEN 'feasible_limited_increment' WHEN 1 THEN 'balanced' ELSE 'ambitious' END AS positioning, c_custkey % 6 AS n_risks FROM customer),
+t AS (SELECT *, greatest(10, least(98, 45 + least(4, n_evidence) * 8 + CASE WHEN identified THEN 12 ELSE 0 END + CASE positioning WHEN 'feasible_limited_increment' THEN 8 WHEN 'balanced' THEN 4 ELSE 0 END - least(4, n_risks) * 4))::INT AS score FROM s)
+SELECT set_id, id AS recommended, score FROM (SELECT *, row_number() OVER (PARTITION BY set_id ORDER BY score DESC, id) AS rn FROM t) WHERE rn = 1""")
+def candidate_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(i.alias("id"), F.col("c_nationkey").alias("set_id"), i.alias("seq"), F.sequence(F.lit(0), i % 7).alias("e"), F.when(i % 2 == 0, "x").alias("identification"), F.when(i % 3 == 0, "feasible_limited_increment").when(i % 3 == 1, "balanced").otherwise("ambitious").alias("positioning"), F.sequence(F.lit(0), i % 6).alias("r"))
+    c = c.select("id", "set_id", "seq", "identification", "positioning", F.slice("e", 2, 9).alias("evidence_ids"), F.slice("r", 2, 9).alias("risks"), F.lit("").alias("title"), F.lit("").alias("recommendation_text"))
+    return candidates.recommended(c).select("set_id", F.col("id").alias("recommended"), "score")

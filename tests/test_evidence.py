@@ -187,3 +187,45 @@ def test_streams_equal_batches(spark, tmp_path):
         run(batch.where(F.col("position") % 3 == e), e)
     got = spark.read.parquet(str(tmp_path / "m/merged")).select("position", "members").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, records.merge(batch).select("position", "members").collect()))
+
+
+def test_flow_and_locks(spark):
+    rows = [(1, i, s, st, v, e, ls, ok) for i, (s, st, v, e, ls, ok) in enumerate([("direction", "completed", 1, False, False, False), ("literature", "completed", 0, False, False, False), ("candidates", "stale", 0, False, False, False), ("plan", "draft", 0, False, False, False), ("data", "not_started", 0, False, False, False), ("proposal", "not_started", 0, False, False, False)])]
+    d = spark.createDataFrame(rows, "project_id long, seq int, stage string, status string, confirmed_version int, editing boolean, local_stale boolean, data_ok boolean")
+    got = workflow.derive_flow(d).orderBy("seq").collect()
+    assert [r.flow for r in got] == ["confirmed", "confirmed", "stale", "active", "locked", "locked"] and got[0].downstream == 2
+    assert {(r.stage, r.blocker) for r in workflow.lock_reasons(d).collect()} == {("data", "plan"), ("proposal", "plan")}
+    f = workflow.flow(d).first()
+    assert f.n_done == 2 and f.next_stage == "candidates"
+
+
+def test_candidates_and_validation(spark):
+    from tessera.operators import candidates, validation
+
+    c = spark.createDataFrame([("s", 1, "a", "Alpha study", ["e"] * 9, "iv", "balanced", [], "take Beta now"), ("s", 2, "b", "Beta now and later", [], None, "x", ["r"] * 9, "take Beta now"), ("t", 1, "c", "G", [], None, "x", ["r"] * 9, "none"), ("t", 2, "d", "H", [], "iv", "x", [], "none")], "set_id string, seq int, id string, title string, evidence_ids array<string>, identification string, positioning string, risks array<string>, recommendation_text string")
+    assert {r.set_id: (r.id, r.score) for r in candidates.recommended(c).collect()} == {"s": ("b", 29), "t": ("d", 57)}
+    card = candidates.direction_card(spark.createDataFrame([(1, ["变量：a、b", "地区：EU", "note", " "])], "id int, constraints array<string>")).first()
+    assert (card.variables, card.region, card.keywords, card.other) == (["a", "b"], "EU", [], ["note"])
+    cards = spark.createDataFrame([("p", 0, False, "a b"), ("p", 1, True, "x"), ("p", 2, True, "a")], "project_id string, position int, included boolean, t string")
+    assert [r.position for r in candidates.ranked_cards(cards, F.col("t"), ["A", "b"]).orderBy("place").collect()] == [2, 1, 0]
+    good = {"method_family": "policy_causal", "variables": [("outcome", "y"), ("treatment", "d"), ("unit", "u"), ("time", "t")], "robustness": [("r",)], "claims": [("c",)], "boundary_notes": "n", "binding": {"y": "f"}}
+    schema = "method_family string, variables array<struct<role: string, name: string>>, robustness array<struct<id: string>>, claims array<struct<id: string>>, boundary_notes string, binding map<string, string>"
+    plans = [good, good | {"binding": {"zz": "f"}}, good | {"claims": []}, good | {"variables": [*good["variables"], ("outcome", "1y")]}]
+    got = validation.check_plans(spark.createDataFrame([tuple(p.values()) for p in plans], schema)).collect()
+    assert [r.problems for r in got] == [[], ["binding"], ["claims"], ["variables", "outcome_once"]]
+    assert validation.valid(validation.check_queries(spark.createDataFrame([(["a"],), ([],), (["a"] * 7,), ([" "],)], "queries array<string>"))).count() == 1
+
+
+def test_case_and_readiness(spark):
+    from tessera.plans import cases
+    from tessera.plans.spec import compile_spec
+
+    spec = compile_spec(cases.CASE_ROLES, cases.CASE_BINDING, list(cases.CASE_CHECKS))
+    assert len(cases.COLUMNS) == 21 and spec.robustness[1].args["controls"] == ["log(total_assets)", "leverage", "return_on_assets"]
+    rows = [(u, 2010 + t, float(u * t), int(u < 3 and t >= 3)) for u in range(6) for t in range(8)]
+    d = spark.createDataFrame(rows, "firm long, year long, y double, d int")
+    roles, binding = {"unit": ["u"], "time": ["t"], "outcome": ["o"], "treatment": ["x"]}, {"u": "firm", "t": "year", "o": "log1p(y)", "x": "d"}
+    assert cases.readiness(d, roles, binding, True, True)["status"] == "ready"
+    out = cases.readiness(d, roles, binding | {"o": "nope"}, False, True)
+    assert out["missing"] == ["o"] and out["todo"] == ["confirm the plan", "bind o"]
+    assert "the treatment is not 0 or 1" in cases.readiness(d, roles, binding | {"x": "year"}, True, True)["todo"]
