@@ -31,6 +31,11 @@ _PART = r"[\p{L}\p{N}_]"
 ENGLISH = rf"(?i)(?=[cpidle])(?<!{_PART})" + fv.ENGLISH_CAUSAL.removeprefix(r"\b").removesuffix(r"\b") + f"(?!{_PART})"
 
 
+def once(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def rank(strength: Column) -> Column:
     """Place of a strength in the order, from 0."""
     return F.array_position(F.array(*[F.lit(s) for s in fv.STRENGTHS]), strength).cast("int") - 1
@@ -92,9 +97,10 @@ def causal_words(text: Column, strength: Column | None = None, titles: Sequence[
         if title:
             cleaned = F.replace(cleaned, F.lit(title), F.lit(" "))
     # plain searches first: most texts hold nothing to take out, and they are cheap
-    cleaned = F.when(cleaned.rlike("因果|(?i:causality)"), reduce(lambda c, s: F.regexp_replace(c, s, ""), STRIPS, cleaned)).otherwise(cleaned)
-    english = F.when(cleaned.rlike("[《“「\"]"), F.regexp_replace(cleaned, TITLE_SPANS, " ")).otherwise(cleaned)
-    found = F.array_distinct(F.concat(F.regexp_extract_all(cleaned, F.lit(fv.CHINESE_CAUSAL), 0), F.regexp_extract_all(english, F.lit(ENGLISH), 0)))
+    stripped = lambda t: F.when(t.rlike("因果|(?i:causality)"), reduce(lambda c, s: F.regexp_replace(c, s, ""), STRIPS, t)).otherwise(t)
+    english = lambda t: F.when(t.rlike("[《“「\"]"), F.regexp_replace(t, TITLE_SPANS, " ")).otherwise(t)
+    words = lambda t: F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(fv.CHINESE_CAUSAL), 0), F.regexp_extract_all(english(t), F.lit(ENGLISH), 0)))
+    found = once(once(cleaned, stripped), words)
     return found if strength is None else F.when(strength == "causal_cautious", F.array().cast("array<string>")).otherwise(found)
 
 
