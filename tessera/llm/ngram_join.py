@@ -30,7 +30,7 @@ from tessera.llm.shared import UnitLinks, blocked_units, by_runs, classes_of, fr
 from tessera.operators.tables import written
 
 U = np.uint64
-BLOCK = 128
+BLOCK = 512
 
 
 def band_plan(threshold: float, recall: float = 0.9999, most: int = 128) -> tuple[int, int]:
