@@ -169,7 +169,7 @@ def predict(docs: DataFrame, net: Network | None, text_col: str = "text", lang_o
             lang = np.full(batch.num_rows, UNDETERMINED, object)
             score = np.zeros(batch.num_rows)
             letters = batch.column(len(names)).to_numpy(zero_copy_only=False)
-            for i, j, data, off in t.column_blocks(batch.column(at), 1 << 20):
+            for i, j, data, off in t.column_blocks(batch.column(at)):
                 if net is None or not len(data):
                     continue
                 windows, row, length = windows_of(data, off)

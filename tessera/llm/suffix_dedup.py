@@ -40,6 +40,7 @@ from tessera.operators.tables import written
 
 U = np.uint64
 PIECE = 20
+SEND_BYTES = 2 << 20  # of text whose equal segments are sent once
 MOST_WINDOWS = 256  # of a segment; longer runs, as in text of one repeated word, are cut
 HOT = 2000
 INDEX_ROWS = 4_000  # strings that are read before indexes are made of them
@@ -135,7 +136,7 @@ def _segments(size: int):
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             values = ids.fill_null(0).to_numpy()
-            for i, j, data, off in t.column_blocks(batch.column(2)):
+            for i, j, data, off in t.column_blocks(batch.column(2), SEND_BYTES):
                 row, place, length, anchor, again = anchors(data, off, size, again=True)
                 if not len(row):
                     continue

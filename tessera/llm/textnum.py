@@ -19,7 +19,7 @@ SIGNS[:128] = True
 SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 _M = 0x9E3779B97F4A7C15 | 1
 _POWERS: list[np.ndarray] = []
 
