@@ -157,5 +157,6 @@ def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 600)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    nodes = {x for e in edges if e[0] != e[1] for x in e}
-    assert got == groups(nodes, edges) | {} if 7 in nodes else {n: c for n, c in groups(nodes | {7}, edges).items() if n in nodes}
+    nodes = {x for e in edges for x in e}
+    linked = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {n: c for n, c in groups(nodes, edges).items() if n in linked}
