@@ -9,12 +9,14 @@ threshold, then each block of items likewise; the rest is scored in full and eve
 above the threshold is retrieved. A retrieved item counts as leaked when runs of ``n`` words that
 passage and item share cover enough of its question and enough of its answer.
 
-The answer is what follows "answer:", or the last question mark, else the last line, else the last
-sentence, else the second half. Items come to the driver in portions of at most PORTION bytes of
-text; each portion is one pass over the documents.
+The answer is what follows "answer:", or the last question mark; an item with neither is one part
+and counts by the share of all its words. A question or answer of fewer than ``n`` words has no run
+of its own: it also counts as covered where its words stand in a row within 2 ``n`` words of the
+other part, outside it. Items come to the driver in portions of at most PORTION bytes of text; each
+portion is one pass over the documents.
 
-Defined results: words are runs of letters and digits (ASCII case and signs don't count); items of
-fewer than ``n`` words can't be told from ordinary text and are not searched; null texts have no
+Defined results: words are runs of letters and digits (ASCII case and signs don't count); an item
+of fewer than ``n`` words is leaked wherever all its words stand in a row; null texts have no
 passages; equal items are each reported; repeated rows are each reported. An empty benchmark
 leaves every document clean. Other columns pass through.
 """
@@ -43,16 +45,10 @@ LEAKS = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.Stru
 
 
 def answer_start(text: str) -> int:
-    """Character at which the answer part of an item begins."""
+    """Character at which the answer part of an item begins; the end if it marks none."""
     if m := list(re.finditer(r"(?i)\banswer\s*:", text)):
         return m[-1].end()
-    if "?" in text.rstrip()[:-1]:
-        return text.rstrip()[:-1].rindex("?") + 1
-    body = text.rstrip()
-    for mark in ("\n", ". "):
-        if mark in body[:-1]:
-            return body[:-1].rindex(mark) + 1
-    return len(body) // 2
+    return text.rstrip()[:-1].rfind("?") + 1 or len(text)
 
 
 def item_words(text: str) -> tuple[np.ndarray, int]:
@@ -84,7 +80,7 @@ class Index:
         ready = []
         for key, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             w, a = item_words(text or "")
-            if len(w) >= n:
+            if len(w):
                 ready.append((key, w, a))
         if not ready:
             return None
@@ -100,7 +96,7 @@ class Index:
         blocks, at = np.unique(term * len(ready) + item // BLOCK, return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[terms >> _FILTER_SHIFT] = True
-        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, np.maximum.reduceat(impact, first[:-1]), np.searchsorted(blocks // len(ready), np.arange(len(terms) + 1)), blocks % len(ready), np.maximum.reduceat(impact, at), 2 * max(64, int(size.max())))
+        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, np.maximum.reduceat(impact, first[:-1]), np.searchsorted(blocks // len(ready), np.arange(len(terms) + 1)), blocks % len(ready), np.maximum.reduceat(impact, at), 2 * max(64, int(size.max()) + 2 * n))
 
     def search(self, wh: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(row, first word, end word, item, score) of all passages and items at or above the
@@ -156,14 +152,54 @@ class Index:
 
     def overlap(self, item: int, passage: np.ndarray, n: int) -> tuple[float, float]:
         """Shares of the words of question and answer that stand in runs of n words which item
-        and passage share. A part without words counts as the other does."""
+        and passage share. A part without words counts as the other does; a part of fewer than n
+        words is covered, too, where it stands whole and near the other."""
         words, cut = self.words[item], self.answer[item]
+        if len(words) < n:
+            found = float((_aligned(words, passage, n) >= 0).any())
+            return found, found
         runs = lambda w: t.shingles(w, np.array([0, len(w)]), n)[0]
         covered = np.zeros(len(words), bool)
         for k in np.flatnonzero(np.isin(runs(words), runs(passage))):
             covered[k : k + n] = True
-        whole = covered.mean()
-        return (covered[:cut].mean() if cut else whole), (covered[cut:].mean() if cut < len(words) else whole)
+        if cut in (0, len(words)):
+            return covered.mean(), covered.mean()
+        question, answer = covered[:cut].mean(), covered[cut:].mean()
+        if cut < n and question < 1 and _stands_near(words[:cut], words[cut:], passage, n):
+            question = 1.0
+        if len(words) - cut < n and answer < 1 and _stands_near(words[cut:], words[:cut], passage, n):
+            answer = 1.0
+        return question, answer
+
+
+def _aligned(part: np.ndarray, passage: np.ndarray, n: int) -> np.ndarray:
+    """For each word of the passage its place in ``part``, if it is in a run of n words, or of
+    all words of a shorter part, that both share; else -1."""
+    k, at = min(n, len(part)), np.full(len(passage), -1)
+    if len(passage) < k:
+        return at
+    run, place = np.unique(t.shingles(part, np.array([0, len(part)]), k)[0], return_index=True)
+    there = t.shingles(passage, np.array([0, len(passage)]), k)[0]
+    near = np.minimum(np.searchsorted(run, there), len(run) - 1)
+    for s in np.flatnonzero(run[near] == there):
+        at[s : s + k] = place[near[s]] + np.arange(k)
+    return at
+
+
+def _stands_near(part: np.ndarray, other: np.ndarray, passage: np.ndarray, n: int) -> bool:
+    """Whether a part of fewer than n words stands whole within 2 n words of a shared run of the
+    other part, and not as words of that part itself."""
+    place = _aligned(other, passage, n)
+    for s in np.flatnonzero(_aligned(part, passage, n) == 0):
+        e = s + len(part)
+        if (place[s:e] >= 0).any():
+            continue
+        before, after = place[max(0, s - 2 * n) : s], place[e : e + 2 * n]
+        before, after = before[before >= 0], after[after >= 0]
+        between = len(before) and len(after) and before[-1] < after[0]  # a word that the copy has changed
+        if (len(before) or len(after)) and not between:
+            return True
+    return False
 
 
 def _expand(terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -58,6 +58,17 @@ def test_leaks_are_found_and_clean_texts_left(spark):
     assert decontamination.clean(df, bench.limit(0)).count() == 9 and decontamination.clean(df.limit(0), bench).count() == 0
 
 
+def test_short_answers_and_unmarked_items_leak(spark):
+    long = " ".join(f"u{k}" for k in range(20))
+    items = [(1, "What is the capital city of the country France? Paris"), (2, "Who? The first person to walk on the far moon"), (3, f"{long}. Last sentence here."), (4, "zeta eta theta"), (5, "Is Rome or Oslo the larger city by population? Oslo"), (6, "Name the first king? Charles"), (7, "How many legs has a common house spider? Answer: eight")]
+    docs = [(1, "Question: What is the capital city of the country France? Answer: Paris."), (2, "Who was it? The first person to walk on the far moon"), (3, f"x y {long} z"), (4, "a zeta, eta theta b"), (5, "Is Rome or Oslo the larger city by population? Ask them."), (6, "name the first king - answer: Charles"), (7, "How many legs has a common house spider? (a) six (b) eight")]
+    docs += [(11, "What is the capital city of the country France? It is not said." + " w" * 20 + " Paris"), (13, " ".join(long.split()[:8])), (14, "zeta eta b theta"), (15, "Is Rome or great Oslo the larger city by population?")]
+    pad = " ".join(f"p{k}" for k in range(90))
+    df = spark.createDataFrame([(i, f"{pad} {x} {pad}") for i, x in docs], "doc_id long, text string")
+    got = decontamination.leak_digest(df, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in got.collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (6, 6), (7, 7)]
+
+
 def test_portions_give_the_same(spark, monkeypatch):
     items = [(i, " ".join(f"i{i}w{k}" for k in range(12))) for i in range(30)]
     df = spark.createDataFrame([(i, "x y z " * 50 + items[i][1]) for i in range(30)], "doc_id long, text string")
