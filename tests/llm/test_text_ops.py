@@ -30,6 +30,14 @@ def test_article_without_the_rest(spark):
     assert html_text.main_text(df).count() == 6 and html_text.main_text(df.limit(0)).count() == 0
 
 
+def test_slugs_and_figures_inside_an_article_stay():
+    kept = ['<section id="related-work">a</section>', '<h2 id="search-results">b</h2>', '<h2 id="search">c</h2>', '<div id="form-factor">d</div>', '<section id="share-of-market">e</section>', '<p id="comment-on-method">f</p>', '<p class="ad-hoc">g</p>', "<p>h <math><mi>x</mi></math></p>", "<fieldset><label>i</label></fieldset>", "<figure><svg><text>j</text><text>k</text></svg></figure>", "<dialog open>l</dialog>", '<section id="notice">m</section>']
+    gone = ['<div class="related-posts">no</div>', '<div id="comments">no</div>', '<ul class="x share_buttons">no</ul>', '<div class="ad">no</div>', '<div id="ad-slot-3">no</div>', "<form><label>no</label></form>", "<dialog>no</dialog>", "<math><annotation>no</annotation></math>"]
+    for top in ('<article class="post tag-search">', "<main>"):
+        text = " ".join(b for _, b in html_text.blocks(top + "".join(x + y for x, y in zip(kept, gone + gone, strict=False))))
+        assert text == "a b c d e f g h x i j k l m"
+
+
 @pytest.mark.parametrize("hot", [2000, 10])
 def test_host_suffix_array_removes_shared_runs(spark, monkeypatch, hot):
     monkeypatch.setattr(html_text, "HOT", hot)
