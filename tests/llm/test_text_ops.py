@@ -38,6 +38,18 @@ def test_slugs_and_figures_inside_an_article_stay():
         assert text == "a b c d e f g h x i j k l m"
 
 
+def test_container_is_chosen_by_its_text(spark):
+    story, teaser = "the long story " * 20, '<article class="card">teaser</article>'
+    article = f"<article><p>{story}</p></article>"
+    rows = [(1, f"<main><p>{story}</p>{teaser}</main>"), (2, f"<main><p>{story}</p></main>{teaser}"), (3, f"<div><p>{story}</p>{teaser}</div>"), (4, f"<main>{article}<p>more</p></main><p>x</p>"), (5, f"{article}<main>load</main>"), (6, f"<p>x</p>{article}")]
+    rows += [(7, f"<main><p>{story}</p>{teaser * 60}</main>"), (8, "<main></main><p>only</p>")]
+    df = spark.createDataFrame([(i, f"http://h{i}.com/", x) for i, x in rows], "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.main_text(df).collect()}
+    story = story.strip()
+    assert len(out) == 8 and out[1] == out[3] == f"{story}\nteaser" and out[2] == out[4] == out[5] == out[6] == story
+    assert out[7].startswith(f"{story}\nteaser") and out[8] == "only"
+
+
 @pytest.mark.parametrize("hot", [2000, 10])
 def test_host_suffix_array_removes_shared_runs(spark, monkeypatch, hot):
     monkeypatch.setattr(html_text, "HOT", hot)
