@@ -62,6 +62,13 @@ def test_host_suffix_array_removes_shared_runs(spark, monkeypatch, hot):
     assert shared in out[90] and out[91] == "short"
 
 
+def test_marked_pages_are_evidence_on_their_host(spark):
+    line, article = " ".join(f"s{k}" for k in range(14)), " ".join(f"a{k}" for k in range(40))
+    rows = [(1, "http://h.com/1", f"<div>{line}</div><article>{article}</article>"), (2, "http://h.com/2", f"<div>{line}</div><p>own text</p><p>{article}</p>"), (3, "http://g.com/3", f"<div>{line}</div><p>own</p>")]
+    out = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out == {1: article, 2: f"own text\n{article}", 3: f"{line}\nown"}
+
+
 def test_leaks_are_found_and_clean_texts_left(spark):
     rnd = random.Random(4)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
