@@ -15,6 +15,10 @@ and letter by letter, by a keyed digest of the other half; signs stay in place.
 the same network over the two digits of a mixed-radix number whose radices multiply to the number
 of valid values, so the image is valid without cycle walking.
 
+Cards and IBANs are checked before the text is cut: at every place the length of an IBAN of its
+country and the fixed forms of cards (4-4-4-4 and up to 3 more, 4-6-5, 4-6-4, one run of digits)
+are tried besides the longest match, so a code or currency that follows does not hide them.
+
 Defined results: a null text stays null with 0 finds; a text without finds is returned as it is;
 values that fail their check (13 digits without a Luhn sum, 30 February, 300.1.1.1) stay. No
 shuffle takes place; repeated rows and ids do not matter; other columns are passed through.
@@ -30,14 +34,21 @@ from tessera.llm.shared import fresh
 ROUNDS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
-EDGE, END = r"(?<![\p{L}\p{N}_])(?<!\p{N}[.,:/-])", r"(?![\p{L}\p{N}_])(?![.,:/-]\p{N})"
+EDGE, END = r"(?<![\p{L}\p{N}_])(?<!\p{N}[./-])", r"(?![\p{L}\p{N}_])(?![./-]\p{N})"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 CARD = r"\d(?:[ -]?\d){12,18}"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|\(\d{3}\) ?\d{3}[.-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}"
-ANY = f"{EMAIL}|{EDGE}(?:{IPV4}|{DATE}|{SSN}|{IBAN}|{CARD}|{PHONE}){END}"
+#: Besides the longest match: the forms in which card numbers are written.
+CARDS = (r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,3}", r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}", r"\d{4}[ -]\d{6}[ -]\d{5}", r"\d{4}[ -]\d{6}[ -]\d{4}", r"\d{13,19}")
+#: Countries by the length of their IBANs.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+IBAN_OF = "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
+#: An address may have a port, a prefix or the end of a range behind it, a date its time.
+FIRST = rf"{EMAIL}|(?<![\p{{L}}\p{{N}}_])(?<!\p{{N}}\.){IPV4}(?![\p{{L}}\p{{N}}_])(?!\.\p{{N}})|{EDGE}(?:{DATE})(?:{END}|(?=[Tt]\d{{2}}))|{EDGE}{SSN}{END}"
+LAST = f"{EDGE}(?:{PHONE}){END}"
 #: 1900-01-01 to 2099-12-31 is 73,049 = 17 x 4,297 days.
 DAYS = (17, 4297)
 FIRST_DAY = "1900-01-01"
@@ -125,16 +136,20 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn_sum(d) == 0, _fill(m, F.concat(body, check)))
 
 
+def _iban_holds(m: Column) -> Column:
+    flat = F.regexp_replace(m, " ", "")
+    return (mod97(F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1) & F.length(flat).between(15, 34)
+
+
 def _iban(m: Column, key: str) -> Column:
     flat = F.regexp_replace(m, " ", "")
     country, account = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
-    valid = (mod97(F.concat(account, F.substring(flat, 1, 4))) == 1) & F.length(flat).between(15, 34)
     image = permute_string(account, key, "iban")
     check = F.lpad((98 - mod97(F.concat(image, country, F.lit("00")))).cast("string"), 2, "0")
     new = F.concat(country, check, image)
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
     turn = lambda a, c: F.when(c == " ", F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))).otherwise(F.struct(F.concat(a["out"], F.substring(new, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n")))
-    return F.when(valid, F.aggregate(_chars(m), start, turn, lambda a: a["out"]))
+    return F.when(_iban_holds(m), F.aggregate(_chars(m), start, turn, lambda a: a["out"]))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -189,14 +204,27 @@ def pseudonym(m: Column, key: str) -> Column:
     return F.when(m.contains("@"), _email(m, key)).when(is_(IPV4), _ipv4(m, key)).when(is_(DATE), _date(m, key)).when(is_(SSN), _ssn(m, key)).when(is_("[A-Z].*"), _iban(m, key)).otherwise(F.coalesce(F.when(is_(CARD), _card(m, key)), F.when(is_(PHONE), _phone(m, key))))
 
 
+def checked_numbers(text: Column) -> Column:
+    """Card numbers and IBANs in a text that pass their check, those to be preferred first."""
+    each = lambda form: F.regexp_extract_all(text, F.lit(f"(?={EDGE}({form}){END})"), 1)
+    longest = lambda form: F.regexp_extract_all(text, F.lit(f"{EDGE}(?:{form}){END}"), 0)
+    none = F.array().cast("array<string>")
+    ibans = F.filter(F.array_distinct(F.concat(each(IBAN_OF), longest(IBAN))), _iban_holds)
+    cards = F.filter(F.array_distinct(F.concat(longest(CARD), *[each(c) for c in CARDS])), lambda c: luhn_sum(digits_of(c)) == 0)
+    return F.concat(F.when(text.rlike(r"[A-Z]{2}\d{2} ?[A-Z0-9]"), ibans).otherwise(none), F.when(text.rlike(r"\d(?:[ -]?\d){12}"), cards).otherwise(none))
+
+
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str = "n_found") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced and the number of replaced values; a
     column called as the count is replaced."""
-    text, old, new = F.col(text_col), fresh(docs, "found"), fresh(docs, "pseudonyms")
-    found = docs.drop(count_col).withColumn(old, F.when(text.rlike("[0-9@]"), F.regexp_extract_all(text, F.lit(ANY), 0)))
+    text, numbers, old, new = F.col(text_col), fresh(docs, "numbers"), fresh(docs, "found"), fresh(docs, "pseudonyms")
+    found = docs.drop(count_col).withColumn(numbers, F.when(text.rlike("[0-9@]"), checked_numbers(text)))
+    own = F.concat(F.lit(f"{FIRST}|{EDGE}(?:"), F.array_join(numbers, "|"), F.lit(f"){END}|{LAST}"))
+    by_own = lambda f: F.when(F.size(numbers) > 0, f(own)).otherwise(f(F.lit(f"{FIRST}|{LAST}")))
+    found = found.withColumn(old, F.when(F.col(numbers).isNotNull(), by_own(lambda pattern: F.regexp_extract_all(text, pattern, F.lit(0)))))
     found = found.withColumn(new, F.when(F.size(old) > 0, F.transform(old, lambda m: pseudonym(m, key))))
-    gaps = F.split(text, ANY, -1)
+    gaps = by_own(lambda pattern: F.split(text, pattern, -1))
     fills = F.zip_with(new, old, lambda n, m: F.coalesce(n, m))
     joined = F.array_join(F.zip_with(gaps, fills, lambda g, f: F.concat(g, F.coalesce(f, F.lit("")))), "")
     hits = F.size(F.filter(new, lambda n: n.isNotNull()))
-    return found.withColumn(text_col, F.when(F.col(new).isNotNull(), joined).otherwise(text)).withColumn(count_col, F.when(F.col(new).isNull(), 0).otherwise(hits).cast("int")).drop(old, new)
+    return found.withColumn(text_col, F.when(F.col(new).isNotNull(), joined).otherwise(text)).withColumn(count_col, F.when(F.col(new).isNull(), 0).otherwise(hits).cast("int")).drop(numbers, old, new)

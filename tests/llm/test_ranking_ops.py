@@ -127,6 +127,17 @@ def test_pseudonyms_keep_formats_and_link(spark):
     assert {r.doc_id: r.text for r in pii.pseudonymise(d, "other").collect()}[0] != out[0].text
 
 
+def test_valid_values_beside_other_figures_are_found(spark):
+    card, iban, other = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "5500000000000004"
+    flat = card.replace(" ", "")
+    texts = [(f"{card} 123", 1), (f"{flat} 12", 1), (f"{iban} EUR", 1), (f"{flat},{other}", 2), ("2024-01-02,2024-01-03", 2), ("at 2024-01-02T10:00:00Z.", 1), (f"order 2024 {card}", 1), (f"{card} 123 456 7890", 2), ("host 192.168.0.1:8080", 1), (f"{flat}:123", 1), ("4111 1111 1111 1112 123", 0), (f"{iban[:-1]}3 EUR", 0), ("2024-01-02Two", 0), (f"{card}, {iban} and {card}", 3)]
+    out = {r.id: r for r in pii.pseudonymise(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(texts)], "id long, text string"), "k").collect()}
+    assert [out[i].n_found for i in range(len(texts))] == [n for _, n in texts]
+    for i, (x, n) in enumerate(texts):
+        assert (out[i].text == x) == (n == 0) and all(v not in out[i].text for v in (card, flat, other, "ES91 2100 0418 4502 0005 1332", "2024-01-0", "192.168.0.1") if n)
+    assert out[0].text.endswith(" 123") and out[2].text.endswith(" EUR") and out[5].text.endswith("T10:00:00Z.") and out[8].text.endswith(":8080")
+
+
 def test_permutations_are_undone_and_one_to_one(spark):
     s = spark.createDataFrame([(t,) for t in ("", "7", "abC-19", "9" * 40)], "s string")
     back = s.select("s", pii.permute_string(pii.permute_string(F.col("s"), "k", "t"), "k", "t", back=True).alias("b")).collect()
