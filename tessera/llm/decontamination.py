@@ -13,7 +13,7 @@ The answer is what follows "answer:", or the last question mark; an item with ne
 and counts by the share of all its words. A question or answer of fewer than ``n`` words has no run
 of its own: it also counts as covered where its words stand in a row within 2 ``n`` words of the
 other part, outside it. Items come to the driver in portions of at most PORTION bytes of text; each
-portion is one pass over the documents.
+portion is one pass over the documents, with the term counts and lengths of the whole benchmark.
 
 Defined results: words are runs of letters and digits (ASCII case and signs don't count); an item
 of fewer than ``n`` words is leaked wherever all its words stand in a row; null texts have no
@@ -29,13 +29,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import textnum as t
 from tessera.llm.shared import fresh
+from tessera.operators.tables import written
 
+U = np.uint64
 PORTION = 8 << 20
 BLOCK = 16
 K1, B = 1.2, 0.75
@@ -58,6 +60,17 @@ def item_words(text: str) -> tuple[np.ndarray, int]:
     return t.word_hashes(data, start, end), int(np.searchsorted(start, len(text[: answer_start(text)].encode())))
 
 
+@dataclass
+class Corpus:
+    """Counts over the whole benchmark, with document frequencies of a portion's terms."""
+
+    items: int
+    words: int
+    largest: int
+    terms: np.ndarray  # in order
+    df: np.ndarray
+
+
 @dataclass
 class Index:
     ids: list
@@ -75,8 +88,8 @@ class Index:
     passage: int
 
     @staticmethod
-    def build(items: list[tuple], n: int) -> Index | None:
-        """items: (item_id, text), in any order."""
+    def build(items: list[tuple], n: int, corpus: Corpus | None = None) -> Index | None:
+        """items: (item_id, text), in any order. ``corpus``: of which they are a portion."""
         ready = []
         for key, text in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")):
             w, a = item_words(text or "")
@@ -89,14 +102,16 @@ class Index:
         terms, term = np.unique(np.concatenate([w for _, w, _ in ready]), return_inverse=True)
         pair, tf = np.unique(term * len(ready) + item, return_counts=True)
         term, item = pair // len(ready), pair % len(ready)
-        df = np.bincount(term, minlength=len(terms))
-        weight = np.log(1 + (len(ready) - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
+        if corpus is None:
+            corpus = Corpus(len(ready), int(size.sum()), int(size.max()), terms, np.bincount(term, minlength=len(terms)))
+        df, mean = corpus.df[np.searchsorted(corpus.terms, terms)], corpus.words / corpus.items
+        weight = np.log(1 + (corpus.items - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
         impact = weight / np.bincount(item, weight)[item]
         first = np.searchsorted(term, np.arange(len(terms) + 1))
         blocks, at = np.unique(term * len(ready) + item // BLOCK, return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[terms >> _FILTER_SHIFT] = True
-        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, np.maximum.reduceat(impact, first[:-1]), np.searchsorted(blocks // len(ready), np.arange(len(terms) + 1)), blocks % len(ready), np.maximum.reduceat(impact, at), 2 * max(64, int(size.max()) + 2 * n))
+        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, np.maximum.reduceat(impact, first[:-1]), np.searchsorted(blocks // len(ready), np.arange(len(terms) + 1)), blocks % len(ready), np.maximum.reduceat(impact, at), 2 * max(64, corpus.largest + 2 * n))
 
     def search(self, wh: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(row, first word, end word, item, score) of all passages and items at or above the
@@ -233,6 +248,29 @@ def _marker(index: Index, names: list[str], text_at: int, old_at: int | None, th
     return run
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """portion, term for the distinct words of each item; words, their number, once an item."""
+    for batch in batches:
+        for portion, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            words = item_words(text or "")[0]
+            if len(words):
+                terms = np.unique(words).view(np.int64)
+                once = pa.array([len(words), *[None] * (len(terms) - 1)], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(terms), portion, np.int64)), pa.array(terms), once], ["portion", "term", "words"])
+
+
+def _corpora(items: DataFrame, portion: Column, portions: int) -> Iterator[Corpus]:
+    """What each portion needs to know of all."""
+    held = written(items.select(portion.cast("long").alias("portion"), "text").mapInArrow(_item_terms, "portion long, term long, words long"), "terms")
+    total = held.agg(F.count("words"), F.sum("words"), F.max("words")).first()
+    counted = written(held.groupBy("term").agg(F.count("*").alias("df"), F.collect_set("portion").alias("portions")), "frequencies")
+    for k in range(portions):
+        own = counted.where(F.array_contains("portions", F.lit(k).cast("long"))).select("term", "df").toArrow()
+        terms = own.column("term").to_numpy().view(U)
+        order = np.argsort(terms)
+        yield Corpus(total[0], total[1] or 0, total[2] or 0, terms[order], own.column("df").to_numpy()[order])
+
+
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, cover: float = 0.6, n: int = 5, text_col: str = "text", out_col: str = "leaks") -> DataFrame:
     """``docs`` with leaks, an array of item_id, score, question_overlap, answer_overlap; a column
     of its name is replaced."""
@@ -243,9 +281,10 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, co
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     portions = max(1, -(-int(total) // PORTION))
     out, old = docs, None
-    for k in range(portions):
-        part = items if portions == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == k)
-        index = Index.build([tuple(r) for r in part.collect()], n)
+    portion = F.pmod(F.xxhash64("item_id", "text"), F.lit(portions))
+    for k, corpus in enumerate([None] if portions == 1 else _corpora(items, portion, portions)):
+        part = items if portions == 1 else items.where(portion == k)
+        index = Index.build([tuple(r) for r in part.collect()], n, corpus)
         if index is not None:
             out = out.mapInArrow(_marker(index, names, names.index(text_col), old, threshold, cover, n, out_col), schema)
             old = len(names)

@@ -104,6 +104,18 @@ def test_portions_give_the_same(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in decontamination.leak_digest(df, bench).collect()) == [(i, i) for i in range(30)]
 
 
+def test_portions_give_the_same_scores(spark, monkeypatch):
+    rnd = random.Random(3)
+    word = lambda: rnd.choice("abcdefgh") + rnd.choice("abcdefgh")
+    items = [(i, " ".join(word() for _ in range(rnd.choice([8, 12, 90])))) for i in range(40)] + [(98, ""), (99, None)]
+    docs = [(i, " ".join(word() for _ in range(70)) + " " + x.rsplit(" ", 3)[0]) for i, x in items[:40]]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = lambda: {(r.doc_id, r.item_id): r.score for r in decontamination.leak_digest(df, bench).collect()}
+    whole = found()
+    monkeypatch.setattr(decontamination, "PORTION", 1500)
+    assert found() == pytest.approx(whole) and set(whole) >= {(i, i) for i, x in items[:40] if len(x) > 24}
+
+
 def test_search_equals_full_scoring():
     rnd = random.Random(6)
     items = [(i, " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + rnd.choice("xyz") for _ in range(rnd.randint(5, 30)))) for i in range(70)]
