@@ -172,7 +172,7 @@ def _grams(n: int):
 def jaccard_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", recall: float = 0.9999, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
     """doc_id, node, n_links (other rows whose n-gram sets reach the threshold), class_id
     (smallest id reachable by links, its own included), one row for each row of ``docs``; and its
-    column ``carry``, of type long, if given."""
+    column ``carry``, of type long, if given, with component, which is one for each class."""
     bands, rows = band_plan(float(threshold), recall)
     carried = F.lit(None).cast("long") if carry is None else F.col(carry)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), carried.alias("carried"))
@@ -189,15 +189,30 @@ def jaccard_classes(docs: DataFrame, n: int = 5, threshold: str = "0.8", recall:
     found = written(found, "links")
     of = classes_of(nodes.select("node", "mult", "rep"), found)
     joined = signed.select("doc_id", "node", "carried").join(of, "node", "left")
-    out = joined.select("doc_id", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"), "carried")
-    return out.drop("carried") if carry is None else out.withColumnRenamed("carried", carry)
+    out = joined.select("doc_id", "node", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"), "component", "carried")
+    return out.drop("component", "carried") if carry is None else out.withColumnRenamed("carried", carry)
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the members of each class that have not its smallest id. Rows without
-    words and rows without an id stay; rows equal in id and text stay or go together."""
-    mark = fresh(docs, "text_hash")
+    """One row of each class: of those with its smallest id, the one with the smallest hash of its
+    text. A class keeps one of its rows without an id likewise, as an id can't say that it is a
+    copy of another document. Rows without words stay."""
+    mark, verdict = fresh(docs, "text_hash"), fresh(docs, "verdict")
     marked = docs.withColumn(mark, F.xxhash64("text"))
-    classes = jaccard_classes(marked, carry=mark, **options)
-    gone = classes.where("node is not null and doc_id <> class_id").select("doc_id", mark).distinct()
-    return marked.join(gone, ["doc_id", mark], "left_anti").select(*[named(c) for c in docs.columns])
+    options = {"id_col": "doc_id"} | options
+    key = named(options["id_col"]).cast("long")
+    classes = written(jaccard_classes(marked, carry=mark, **options).where("node is not null").select("doc_id", "component", mark), "classes")
+    rows = classes.groupBy("component", "doc_id", mark).agg(F.count("*").alias("n"))
+    first = rows.groupBy("component", F.col("doc_id").isNull().alias("bare")).agg(F.min(F.struct(F.col("doc_id"), F.col(mark))).alias("first"))
+    judged = rows.join(first, (rows["component"] == first["component"]) & (rows["doc_id"].isNull() == first["bare"]))
+    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"first.{mark}") == F.col(mark))
+    judged = judged.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark"), F.when(~is_first, "gone").when(F.col("n") > 1, "repeated").alias(verdict)).where(F.col(verdict).isNotNull())
+    judged = written(judged, "judged")
+    of = lambda d: (key.eqNullSafe(d["_id"])) & (F.col(mark) == d["_mark"])
+    kept = marked.join(judged, of(judged), "left_anti")
+    repeated = judged.where(F.col(verdict) == "repeated")
+    if not repeated.isEmpty():
+        once = fresh(marked, "key")
+        again = marked.join(repeated, of(repeated), "left_semi").withColumn(once, key)
+        kept = kept.unionByName(again.dropDuplicates([once, mark]).drop(once))
+    return kept.select(*[named(c) for c in docs.columns])

@@ -133,9 +133,9 @@ class UnitLinks:
 
 
 def classes_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """node, class_id, n_links from nodes (node, mult, rep) and links (node, links, root)."""
+    """node, component, class_id, n_links from nodes (node, mult, rep) and links (node, links, root)."""
     group = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of = nodes.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(group, "node", "left")
     of = of.withColumn("component", F.coalesce("component", "node"))
     reps = of.groupBy("component").agg(F.min("rep").alias("class_id"))
-    return of.join(reps, "component").select("node", "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))
+    return of.join(reps, "component").select("node", "component", "class_id", (F.col("mult") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"))

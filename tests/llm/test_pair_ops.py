@@ -76,6 +76,14 @@ def test_join_of_nulls_repeats_and_nothing(spark):
     assert sorted(str(r.doc_id) for r in ngram_join.keep_one(docs).collect()) == ["2", "9", "None"]
 
 
+def test_one_row_of_each_class_is_kept(spark):
+    t, u, v = ("".join(f"{c}{k} " for k in range(30)) for c in "abc")
+    docs = spark.createDataFrame([(1, t), (1, t), (1, t + "x"), (2, t), (3, u), (3, v), (None, v + "x"), (None, v), (None, v), (7, None), (7, None)], "doc_id long, text string")
+    got = [(r.doc_id, (r.text or "?")[0]) for r in ngram_join.keep_one(docs).collect()]
+    assert sorted(got, key=str) == [(1, "a"), (3, "b"), (3, "c"), (7, "?"), (7, "?"), (None, "c")]
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("block", [512, 8])
 def test_vectors_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(projection_dedup, "BLOCK", block)
