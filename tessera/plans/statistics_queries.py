@@ -62,7 +62,7 @@ def panel_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def file_schema_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
+    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "conversations", "benchmark", "pages"]
     parts = [files.inspect(spark, f"{sf_dir}/{n}.parquet").select(F.lit(n).alias("table"), "seq", "name", "type") for n in names]
     out = parts[0]
     for p in parts[1:]:

@@ -163,3 +163,10 @@ def test_compilation():
     with pytest.raises(EngineError):
         Spec(unit="u", time="t", outcome="y", treatment="d", bins=(-3, -2, 0, 2))
     assert field_semantics("d * 1", {"d": "peer_exposure"}) == "peer_exposure" and field_semantics("a + b", {"a": "real_assignment"}) == "unknown"
+
+
+def test_schemas_of_all_tables(spark):
+    from tessera.plans import statistics_queries
+
+    out = statistics_queries.file_schema_inspect(spark, "/root/testdata/sf0.001").select("table").distinct()
+    assert out.count() == 14
