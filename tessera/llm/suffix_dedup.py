@@ -9,18 +9,22 @@ between two fixed places share ``size`` bytes, and the earliest of them stays.
 
 To spread the index over tasks, every string of ``size`` bytes (window) belongs to its anchor, the
 smallest hash among its pieces of PIECE bytes, which equal windows have in common. Successive
-windows with one anchor form a segment. Anchors whose piece stands in one place of the corpus only
-are dropped. Equal segments are one string with an earliest place; all its later places lose all
-its windows. Strings go into the index at their earliest place, but for one that has its anchor to
+windows with one anchor form a segment. Anchors are counted first, with counts combined before the
+shuffle, and segments whose piece stands in one place of the corpus only are dropped in a join.
+Equal segments are one string with an earliest place, found by aggregation; all later places lose
+all windows. Strings go into the index at their earliest place, but for one that has its anchor to
 itself and once only, as no other window can equal one of its own; the strings of an anchor always
-meet in one index, with those of many other anchors. In the shuffle by anchor a block of texts sends each string once, so
-a hot anchor brings few rows. Where one anchor has over HOT different strings, as the edges of a
-passage that very many documents quote, they are cut into single windows first, which split
-further by content. Nothing is capped.
+meet in one index, with those of many other anchors. A block of texts sends each string once, so a
+hot passage brings few rows; no window function holds an anchor, and hot keys of the joins have one
+row on their other side, so adaptive execution can split them. Where one anchor has over HOT
+different strings, as the edges of a passage that very many documents quote, they are cut into
+single windows, and the earliest of equal windows stays. Nothing is capped. All joins are merge
+joins: lists of segments and spans grow with the corpus and are never broadcast.
 
 Defined results: a null text has no bytes; texts shorter than ``size`` lose nothing; documents of
 equal id are not earlier than each other at the same place; a null id counts as smaller than all
-others; repeated rows are judged alike and get equal results. Other columns are not read.
+others; repeated rows are judged alike and get equal results. Rows are told apart by id and 64 bits
+of the text, without id by 128 bits. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,9 +34,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm import textnum as t
 from tessera.llm.shared import by_runs, run_starts
@@ -66,8 +69,10 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
     return t.mix(acc)
 
 
-SEGMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("version", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("anchor", "string", "place")], T.StructField("windows", T.IntegerType()), T.StructField("sure", T.BooleanType()), T.StructField("again", T.BooleanType()), T.StructField("later", T.BooleanType()), T.StructField("key", T.LongType())])
-STRING = T.StructType([*SEGMENT.fields[:6], T.StructField("bytes", T.BinaryType())])
+IDENTITY = ["_id", "_none", "version"]
+SEGMENT = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, sure boolean, again boolean, later boolean"
+STRING = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, bytes binary"
+SPAN = "_id long, _none boolean, version long, begin long, finish long"
 
 
 def _again(hashes: np.ndarray, start: np.ndarray, length: np.ndarray, anchor: np.ndarray, reach: int) -> np.ndarray:
@@ -126,70 +131,83 @@ def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return t.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)).view(np.int64)
 
 
+def _copies(ids: np.ndarray, none: np.ndarray, version: np.ndarray) -> np.ndarray:
+    """Whether a row is the same as one before it."""
+    order = np.lexsort((version, ids, none))
+    same = np.r_[False, (ids[order][1:] == ids[order][:-1]) & (none[order][1:] == none[order][:-1]) & (version[order][1:] == version[order][:-1])]
+    out = np.zeros(len(ids), bool)
+    out[order] = same
+    return out
+
+
 def _segments(size: int):
-    """doc_id, version, anchor, string (hash of the segment), place, windows; sure: the block has
-    the anchor's piece in several places; again: the segment has; key: the anchor for the block's first segment of each
-    string, else a number of its own, as its string is already on its way."""
+    """Rows of SEGMENT from (_id, _none, version, text). string: hash of the segment; sure: the
+    block has the anchor's piece in several places; again: the segment has; later: the block has
+    the string earlier, so its windows go; the anchor of such a row is a number of its own, which
+    spreads what one passage sends. A row repeated in a block is sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            values = ids.fill_null(0).to_numpy()
-            for i, j, data, off in t.column_blocks(batch.column(2), SEND_BYTES):
+            ids, none, version = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for i, j, data, off in t.column_blocks(batch.column(3), SEND_BYTES):
                 row, place, length, anchor, again = anchors(data, off, size, again=True)
+                single = ~_copies(ids[i:j], none[i:j], version[i:j])[row]
+                row, place, length, anchor, again = (x[single] for x in (row, place, length, anchor, again))
                 if not len(row):
                     continue
                 start = off[row] + place
                 string = string_hashes(data, start, start + length + size - 1)
                 # earliest first within the block: null ids, then by id, then by place
-                by_id = np.lexsort((values[i:j], known[i:j]))
-                if (by_id[1:] < by_id[:-1]).any():
-                    rank = np.empty(j - i, np.int64)
-                    rank[by_id] = np.arange(j - i)
-                    turn = np.argsort(rank[row], kind="stable")
-                    row, place, length, anchor, string, again = (x[turn] for x in (row, place, length, anchor, string, again))
-                turn = np.lexsort((string, anchor))
+                doc = np.where(none[i:j], 0, ids[i:j])
+                rank = np.empty(j - i, np.int64)
+                rank[np.lexsort((doc, ~none[i:j]))] = np.arange(j - i)
+                turn = np.lexsort((place, rank[row], string, anchor))
                 row, place, length, anchor, string, again = (x[turn] for x in (row, place, length, anchor, string, again))
                 new = np.r_[True, anchor[1:] != anchor[:-1]]
                 group = np.cumsum(new) - 1
                 sure = ((np.bincount(group) > 1) | (np.bincount(group, again) > 0))[group]
-                later = np.r_[False, ~new[1:] & (string[1:] == string[:-1])]
-                same = np.r_[False, (values[i:j][row][1:] == values[i:j][row][:-1]) & (known[i:j][row][1:] == known[i:j][row][:-1]) & (place[1:] == place[:-1])]
-                run_start = np.maximum.accumulate(np.where(~later, np.arange(len(row)), 0))
-                tied = later & (np.cumsum(~same) == np.cumsum(~same)[run_start])  # no later than the first
-                later &= ~tied
-                own = t.mix(anchor.view(U) + place.astype(U) * U(0x9E3779B97F4A7C15) + values[i:j][row].astype(U) * U(0xD1342543DE82EF95)).view(np.int64)
+                first = np.r_[True, new[1:] | (string[1:] != string[:-1])]
+                of = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))  # the earliest of equal ones
+                later = (doc[row] != doc[row][of]) | (none[i:j][row] != none[i:j][row][of]) | (place != place[of])
+                own = t.mix(anchor.view(U) + place.astype(U) * U(0x9E3779B97F4A7C15) + (ids[i:j][row] ^ version[i:j][row]).view(U) * U(0xD1342543DE82EF95)).view(np.int64)
                 at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([ids.take(at), batch.column(1).take(at), pa.array(anchor), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(sure), pa.array(again), pa.array(later), pa.array(np.where(later, own, anchor))], SEGMENT.fieldNames())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], pa.array(np.where(later, own, anchor)), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(sure), pa.array(again), pa.array(later)], [*IDENTITY, "anchor", "string", "place", "windows", "sure", "again", "later"])
 
     return run
 
 
 def _strings(size: int, single: bool):
-    """The segments of each document's list with their bytes, or, ``single``, their windows."""
+    """The segments of each document's list with their bytes, or, ``single``, their windows. Rows
+    come in order of identity; of rows that are the same only the first is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list = [None] * 3
         for batch in batches:
-            listed = batch.column(3)
+            listed = batch.column(4)
             of, flat = listed.offsets.to_numpy(), listed.values
             flat = {f.name: flat.field(f.name).to_numpy(zero_copy_only=False) for f in flat.type}
-            for i, j, data, off in t.column_blocks(batch.column(2)):
-                pick = slice(of[i], of[j])
-                row = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))
-                anchor, place, windows = (flat[c][pick] for c in ("anchor", "place", "windows"))
+            identity = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            fresh_row = np.zeros(batch.num_rows, bool)
+            for x, before in zip(identity, last, strict=True):
+                fresh_row |= np.r_[before is None or x[0] != before, x[1:] != x[:-1]] if len(x) else False
+            last = [x[-1] for x in identity] if batch.num_rows else last
+            for i, j, data, off in t.column_blocks(batch.column(3)):
+                own = np.repeat(fresh_row[i:j], np.diff(of[i : j + 1]))
+                row = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))[own]
+                anchor, string, place, windows = (flat[c][of[i] : of[j]][own] for c in ("anchor", "string", "place", "windows"))
                 if single:
                     nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
                     row, anchor, place, windows = np.repeat(row, windows), np.repeat(anchor, windows), np.repeat(place, windows) + nth, np.ones(windows.sum(), np.int32)
                 start = off[row] + place
                 end = start + windows + size - 1
-                string = string_hashes(data, start, end)
-                whole = data.tobytes()
+                if single:
+                    string = string_hashes(data, start, end)
+                whole = b"" if single else data.tobytes()
                 for c in range(0, len(row), 20_000):
                     part = slice(c, c + 20_000)
                     at = pa.array(row[part] + i)
-                    texts = pa.array([whole[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor[part]), pa.array(string[part]), pa.array(place[part]), pa.array(windows[part].astype(np.int32)), texts], STRING.fieldNames())
+                    texts = pa.nulls(len(at), pa.binary()) if single else pa.array([whole[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], pa.array(anchor[part]), pa.array(string[part]), pa.array(place[part]), pa.array(windows[part].astype(np.int32)), texts], [*IDENTITY, "anchor", "string", "place", "windows", "bytes"])
 
     return run
 
@@ -299,10 +317,10 @@ def earliest(strings: list[bytes], windows: np.ndarray, doc: np.ndarray, place:
 
 
 def _index(size: int):
-    """Spans that strings lose at their earliest place: doc_id, version, begin, finish."""
+    """Spans that strings lose at their earliest place."""
 
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        starts = run_starts(table.column("unit").to_numpy())
+        starts = run_starts(table.column("anchor").to_numpy())
         upto = np.r_[0, np.cumsum(table.column("windows").to_numpy() + size)][starts]
         a = 0
         while a < len(starts) - 1:
@@ -311,20 +329,19 @@ def _index(size: int):
             a = b
 
     def one(table: pa.Table) -> pa.RecordBatch:
-        ids = table.column("doc_id").combine_chunks()
-        known = ids.is_valid().to_numpy(zero_copy_only=False)
-        values = ids.fill_null(0).to_numpy()
-        distinct = np.unique(values[known])
-        doc = np.where(known, np.searchsorted(distinct, values) + 1, 0)  # null ids come first
+        known = ~table.column("_none").to_numpy(zero_copy_only=False)
+        ids = table.column("_id").to_numpy()
+        distinct = np.unique(ids[known])
+        doc = np.where(known, np.searchsorted(distinct, ids) + 1, 0)  # null ids come first
         place = table.column("place").to_numpy()
         windows = table.column("windows").to_numpy().astype(np.int64)
         string, skip, n, first_doc, first_place = earliest(table.column("bytes").to_pylist(), windows, doc, place, size)
         begin = place[string] + skip
         later = (doc[string] > first_doc) | (begin > first_place)
         at = pa.array(string[later])
-        return pa.RecordBatch.from_arrays([ids.take(at), table.column("version").combine_chunks().take(at), pa.array(begin[later]), pa.array((begin + n + size - 1)[later])], ["doc_id", "version", "begin", "finish"])
+        return pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(at) for c in (*IDENTITY, "anchor", "string")], pa.array(begin[later]), pa.array((begin + n + size - 1)[later])], [*IDENTITY, "anchor", "string", "begin", "finish"])
 
-    return by_runs("unit", handle, rows=INDEX_ROWS)
+    return by_runs("anchor", handle, rows=INDEX_ROWS)
 
 
 def kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -353,53 +370,66 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(o, pa.int64()) for o in out[:3]], pa.array(out[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, size: int = 100) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as (_id, _none, version, doc_id, text), and for each of the first three, the list
-    of spans (begin, finish) to remove; spans may overlap."""
-    keys = ["_id", "_none", "version"]
+def identified(docs: DataFrame) -> DataFrame:
+    """(_id, _none, version, text): rows of one identity have equal id and text. Null ids, which
+    may be very many, are told apart by 128 bits of the text."""
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.xxhash64(F.lit(1), "text")).alias("_id"), doc_id.isNull().alias("_none"), F.xxhash64("text").alias("version"), "text")
+
 
-    def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_id", F.coalesce("doc_id", F.lit(0))).withColumn("_none", F.col("doc_id").isNull())
+def repeated_spans(texts: DataFrame, size: int = 100) -> DataFrame:
+    """For each identity in ``texts`` that loses bytes, the set of its spans (begin, finish), which
+    may overlap."""
+    rows = texts.mapInArrow(_segments(size), SEGMENT)
+    repeated = written(rows.where("not later").groupBy("anchor").agg(F.count("*").alias("n"), F.max("sure").alias("any")).where("n > 1 or any").select("anchor", F.lit(True).alias("hit")), "anchors")
+    found = written(rows.drop("sure").join(repeated.hint("merge"), "anchor", "left").where("later or hit").drop("hit"), "segments")
+    end = (F.col("place") + F.col("windows") + size - 1).alias("finish")
+    spans = found.where("later").select(*IDENTITY, F.col("place").alias("begin"), end)
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("version"), F.col("text"))
-    # one shuffle by anchor: what repeats, the earliest place of each string, strings per anchor
-    by_anchor = Window.partitionBy("key")
-    rows = source.mapInArrow(_segments(size), SEGMENT).withColumn("n", F.count("*").over(by_anchor)).withColumn("any", F.max("sure").over(by_anchor)).where("n > 1 or any")
-    first = F.rank().over(Window.partitionBy("key", "string").orderBy(F.col("doc_id").asc_nulls_first(), "place"))
-    rows = rows.withColumn("rep", ~F.col("later") & (first == 1))
-    rows = rows.withColumn("strings", F.count_if("rep").over(by_anchor))
+    # of equal strings the earliest; of those that are equally early, any
+    found = found.where("not later").drop("later").withColumn("turn", F.struct(~F.col("_none"), F.when(F.col("_none"), 0).otherwise(F.col("_id")), "place"))
+    strings = written(found.groupBy("anchor", "string").agg(F.min("turn").alias("least"), F.min_by(F.struct(*IDENTITY), F.struct("turn", *IDENTITY)).alias("at"), F.first("windows").alias("windows"), F.max("again").alias("again")), "strings")
     # the only string of an anchor whose piece it has once shares no window with anything
-    rows = rows.withColumn("again", F.max("again").over(by_anchor)).where("not rep or strings > 1 or again")
-    found = written(rows.select("doc_id", "version", F.when(F.col("rep"), F.col("anchor")).alias("anchor"), "place", "windows", "rep", (F.col("rep") & (F.col("strings") > HOT)).alias("hot")), "segments")
-    texts = keyed(source)
-
-    def with_text(segments: DataFrame) -> DataFrame:
-        listed = keyed(segments).groupBy(*keys).agg(F.collect_list(F.struct("anchor", "place", "windows")).alias("segments"))
-        return texts.join(listed, keys).select("doc_id", "version", "text", "segments")
-
-    def indexed(strings: DataFrame) -> DataFrame:
-        return strings.select("unit", "doc_id", "version", "place", "windows", "bytes").repartition("unit").sortWithinPartitions("unit").mapInArrow(_index(size), "doc_id long, version int, begin long, finish long")
-
-    plain = with_text(found.where("rep and not hot")).mapInArrow(_strings(size, False), STRING)
-    spans = indexed(plain.withColumn("unit", F.col("anchor")))
-    equal = found.where("not rep").select("doc_id", "version", F.col("place").alias("begin"), (F.col("place") + F.col("windows") + size - 1).alias("finish"))
-    spans = spans.unionByName(equal)
-    if not found.where("hot").isEmpty():
-        single = written(with_text(found.where("hot")).mapInArrow(_strings(size, True), STRING), "windows")
-        least = single.groupBy("anchor", "string").agg(F.min(F.struct("doc_id", "place")).alias("at"), F.first("bytes").alias("bytes"))
-        joined = single.drop("bytes").join(least, ["anchor", "string"])
-        is_first = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("place") == F.col("at.place"))
-        strings = joined.where(is_first).withColumn("unit", F.xxhash64("anchor", "string"))
-        late = joined.where(~is_first).select("doc_id", "version", F.col("place").alias("begin"), (F.col("place") + size).alias("finish"))
-        spans = spans.unionByName(indexed(strings)).unionByName(late)
-    return texts, keyed(spans).groupBy(*keys).agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
+    indexed = written(strings.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor", (F.col("n") > HOT).alias("hot")), "indexed")
+    joined = found.join(strings.select("anchor", "string", "least", "at").hint("merge"), ["anchor", "string"])
+    early = F.col("turn") == F.col("least")
+    spans = spans.unionByName(joined.where(~early).select(*IDENTITY, F.col("place").alias("begin"), end))
+    ties = written(joined.where(early & (F.struct(*IDENTITY) != F.col("at"))).select(*IDENTITY, "anchor", "string", "place", "windows").distinct(), "ties")
+    tied = not ties.isEmpty()
+
+    def with_bytes(segments: DataFrame, single: bool) -> DataFrame:
+        listed = segments.groupBy(*IDENTITY).agg(F.collect_list(F.struct("anchor", "string", "place", "windows")).alias("segments"))
+        full = texts.join(listed.hint("merge"), IDENTITY).select(*IDENTITY, "text", "segments")
+        return full.mapInArrow(_strings(size, single), STRING)
+
+    chosen = strings.join(indexed.hint("merge"), "anchor").select("at.*", "anchor", "string", F.col("least.place").alias("place"), "windows", "hot")
+    plain = with_bytes(chosen.where("not hot"), False).repartition("anchor").sortWithinPartitions("anchor")
+    lost = plain.mapInArrow(_index(size), SPAN.replace("begin", "anchor long, string long, begin"))
+    if tied:
+        lost = written(lost, "lost")
+        spans = spans.unionByName(ties.drop("place", "windows").join(lost.drop(*IDENTITY), ["anchor", "string"]).drop("anchor", "string"))
+    spans = spans.unionByName(lost.drop("anchor", "string"))
+    if not indexed.where("hot").isEmpty():
+        hot = chosen.where("hot").drop("hot")
+        if tied:
+            hot = hot.unionByName(ties.join(indexed.where("hot").drop("hot"), "anchor"))
+        single = written(with_bytes(hot, True).drop("bytes", "windows"), "windows").withColumn("turn", F.struct(~F.col("_none"), F.when(F.col("_none"), 0).otherwise(F.col("_id")), "place"))
+        least = single.groupBy("anchor", "string").agg(F.min("turn").alias("least"))
+        late = single.join(least, ["anchor", "string"]).where(F.col("turn") != F.col("least"))
+        spans = spans.unionByName(late.select(*IDENTITY, F.col("place").alias("begin"), (F.col("place") + size).alias("finish")))
+    return spans.groupBy(*IDENTITY).agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
+
+
+def _cut(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, text, spans of each row."""
+    texts = identified(docs)
+    full = texts.join(repeated_spans(texts, size).hint("merge"), IDENTITY, "left")
+    return full.select(F.when(~F.col("_none"), F.col("_id")).alias("doc_id"), "text", "spans")
 
 
 def dedup_digest(docs: DataFrame, size: int = 100) -> DataFrame:
     """The columns of op5."""
-    keyed, spans = repeated_spans(docs, size)
-    full = keyed.join(spans, ["_id", "_none", "version"], "left").select("doc_id", "text", "spans")
-    return full.mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _cut(docs, size).mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup_documents(docs: DataFrame, size: int = 100) -> DataFrame:
@@ -410,5 +440,4 @@ def dedup_documents(docs: DataFrame, size: int = 100) -> DataFrame:
             left = [kept(x.as_buffer().to_pybytes() if x.is_valid else b"", [(s["begin"], s["finish"]) for s in y.as_py() or ()])[0] for x, y in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.binary())], ["doc_id", "kept"])
 
-    keyed, spans = repeated_spans(docs, size)
-    return keyed.join(spans, ["_id", "_none", "version"], "left").select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, kept binary")
+    return _cut(docs, size).mapInArrow(run, "doc_id long, kept binary")

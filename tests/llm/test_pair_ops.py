@@ -144,6 +144,21 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, hot):
     assert suffix_dedup.dedup_digest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_rows_are_told_apart_by_id_and_whole_text(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    words = F.transform(F.sequence(F.lit(0), F.lit(21)), lambda k: F.hex(F.xxhash64("id", k)))
+    texts = spark.range(150_000).select(F.substring(F.concat_ws(" ", words), 1, 154).alias("text"))
+    pair = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("same")).where(F.size("same") > 1).first().same
+    a, b = pair[:2]  # equal in the 32-bit hash
+    passage = "".join(random.Random(8).choice("abcdefgh ") for _ in range(160))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, b), (None, b)]
+    rows += [(5, x + passage + y) for x, y in (("", ""), ("", "one"), ("", "another"), ("at ", ""), ("", ""))]
+    rows += [(None, x + passage) for x in ("", "", "some ")] + [(k, passage + str(k) * 40) for k in range(10, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(repr(tuple(r)) for r in suffix_dedup.dedup_digest(df).collect()) == brute(rows, 100)
+
+
 def test_interval_expansion_finds_classes():
     rnd = random.Random(1)
     for size in (2, 3, 7):
