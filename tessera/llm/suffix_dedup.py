@@ -70,7 +70,7 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
 
 
 IDENTITY = ["_id", "_none", "version"]
-SEGMENT = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, sure boolean, again boolean, later boolean"
+SEGMENT = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, again boolean, later boolean"
 STRING = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, bytes binary"
 SPAN = "_id long, _none boolean, version long, begin long, finish long"
 
@@ -140,10 +140,29 @@ def _copies(ids: np.ndarray, none: np.ndarray, version: np.ndarray) -> np.ndarra
     return out
 
 
+def _anchors(size: int):
+    """The distinct anchors of each block of texts, and whether the block, without repeated rows,
+    has the piece in several places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            identity = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
+            for i, j, data, off in t.column_blocks(batch.column(3), SEND_BYTES):
+                row, _, _, anchor, again = anchors(data, off, size, again=True)
+                single = ~_copies(*(x[i:j] for x in identity))[row]
+                turn = np.argsort(anchor[single], kind="stable")
+                anchor, again = anchor[single][turn], again[single][turn]
+                start = run_starts(anchor)
+                if len(start) > 1:
+                    several = (np.diff(start) > 1) | (np.add.reduceat(again.astype(np.int64), start[:-1]) > 0)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[start[:-1]]), pa.array(several)], ["anchor", "several"])
+
+    return run
+
+
 def _segments(size: int):
-    """Rows of SEGMENT from (_id, _none, version, text). string: hash of the segment; sure: the
-    block has the anchor's piece in several places; again: the segment has; later: the block has
-    the string earlier, so its windows go; the anchor of such a row is a number of its own, which
+    """Rows of SEGMENT from (_id, _none, version, text). string: hash of the segment; again: the
+    segment has the anchor's piece in several places; later: the block has the string earlier, so its windows go; the anchor of such a row is a number of its own, which
     spreads what one passage sends. A row repeated in a block is sent once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,14 +183,12 @@ def _segments(size: int):
                 turn = np.lexsort((place, rank[row], string, anchor))
                 row, place, length, anchor, string, again = (x[turn] for x in (row, place, length, anchor, string, again))
                 new = np.r_[True, anchor[1:] != anchor[:-1]]
-                group = np.cumsum(new) - 1
-                sure = ((np.bincount(group) > 1) | (np.bincount(group, again) > 0))[group]
                 first = np.r_[True, new[1:] | (string[1:] != string[:-1])]
                 of = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))  # the earliest of equal ones
                 later = (doc[row] != doc[row][of]) | (none[i:j][row] != none[i:j][row][of]) | (place != place[of])
                 own = t.mix(anchor.view(U) + place.astype(U) * U(0x9E3779B97F4A7C15) + (ids[i:j][row] ^ version[i:j][row]).view(U) * U(0xD1342543DE82EF95)).view(np.int64)
                 at = pa.array(row + i)
-                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], pa.array(np.where(later, own, anchor)), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(sure), pa.array(again), pa.array(later)], [*IDENTITY, "anchor", "string", "place", "windows", "sure", "again", "later"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], pa.array(np.where(later, own, anchor)), pa.array(string), pa.array(place), pa.array(length.astype(np.int32)), pa.array(again), pa.array(later)], [*IDENTITY, "anchor", "string", "place", "windows", "again", "later"])
 
     return run
 
@@ -381,8 +398,9 @@ def repeated_spans(texts: DataFrame, size: int = 100) -> DataFrame:
     """For each identity in ``texts`` that loses bytes, the set of its spans (begin, finish), which
     may overlap."""
     rows = texts.mapInArrow(_segments(size), SEGMENT)
-    repeated = written(rows.where("not later").groupBy("anchor").agg(F.count("*").alias("n"), F.max("sure").alias("any")).where("n > 1 or any").select("anchor", F.lit(True).alias("hit")), "anchors")
-    found = written(rows.drop("sure").join(repeated.hint("merge"), "anchor", "left").where("later or hit").drop("hit"), "segments")
+    counted = texts.mapInArrow(_anchors(size), "anchor long, several boolean").groupBy("anchor").agg(F.count("*").alias("n"), F.max("several").alias("several"))
+    repeated = written(counted.where("n > 1 or several").select("anchor", F.lit(True).alias("hit")), "anchors")
+    found = written(rows.join(repeated.hint("merge"), "anchor", "left").where("later or hit").drop("hit"), "segments")
     end = (F.col("place") + F.col("windows") + size - 1).alias("finish")
     spans = found.where("later").select(*IDENTITY, F.col("place").alias("begin"), end)
 
