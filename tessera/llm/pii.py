@@ -3,7 +3,8 @@
 Found values that pass their check are replaced by a keyed permutation within their own format, so
 equal values get equal pseudonyms in every document and a reader of the key can undo them:
 
-* e-mail addresses: the part before the @; the domain stays;
+* e-mail addresses: the part before the @, of 1 to 64 characters; the domain, which has a dot
+  between two of its names, stays;
 * card numbers of 13 to 19 digits (Luhn): all digits but the last, which is computed anew;
 * IBANs (mod 97): the account part, with new check digits;
 * telephone numbers (7 to 15 digits; + and the country code stay);
@@ -11,7 +12,7 @@ equal values get equal pseudonyms in every document and a reader of the key can
   among all valid values.
 
 Strings go through a Feistel network over their characters: one half is shifted, digit by digit
-and letter by letter, by a keyed digest of the other half; signs stay in place. Indexes go through
+and letter by letter, by an HMAC of the other half; signs stay in place. Indexes go through
 the same network over the two digits of a mixed-radix number whose radices multiply to the number
 of valid values, so the image is valid without cycle walking.
 
@@ -21,11 +22,15 @@ are tried besides the longest match, so a code or currency that follows does not
 
 Defined results: a null text stays null with 0 finds; a text without finds is returned as it is;
 values that fail their check (13 digits without a Luhn sum, 30 February, 300.1.1.1) stay. No
-shuffle takes place; repeated rows and ids do not matter; other columns are passed through.
+shuffle takes place; repeated rows and ids do not matter; other columns are passed through; an
+empty table gives an empty result. Time grows with the length of a text and the number of its
+distinct cards and IBANs; no text is too long.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +38,10 @@ from tessera.llm.shared import fresh
 
 ROUNDS = 8
 
-EMAIL = r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+#: No pattern repeats a group without bound: Java's matcher recurses for each turn of one, and a
+#: long text would exhaust the stack. The domain is one class here and checked afterwards.
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-][A-Za-z0-9.-]*+"
+DOMAIN = r"^[A-Za-z0-9-]+\.[A-Za-z0-9-]"
 EDGE, END = r"(?<![\p{L}\p{N}_])(?<!\p{N}[./-])", r"(?![\p{L}\p{N}_])(?![./-]\p{N})"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"
 DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
@@ -55,8 +63,18 @@ FIRST_DAY = "1900-01-01"
 AREAS = 898  # 001 to 899 without 666
 
 
-def _digest(key: str, *parts: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]).cast("binary"))
+def _digest(key: str, tweak: str, *parts: Column) -> Column:
+    """HMAC-SHA-256, in hex, of the parts under a key made from ``key`` and ``tweak``. The key
+    itself appears in no plan."""
+    own = hashlib.sha256(f"{tweak}|{key}".encode()).digest().ljust(64, b"\0")
+    pad = lambda by: F.lit(bytes(b ^ by for b in own))
+    inner = F.sha2(F.concat(pad(0x36), F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
+
+
+def _once(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _number(hex_digest: Column) -> Column:
@@ -80,9 +98,8 @@ def permute_string(s: Column, key: str, tweak: str, back: bool = False) -> Colum
     same places. ``back`` undoes it."""
 
     def mixed(half: Column, other: Column, r: Column) -> Column:
-        d = _digest(key, F.lit(tweak), r, F.length(half), other)
-        place = lambda i: F.conv(F.substring(d, (i % 15) * 2 + 1, 2), 16, 10).cast("int")
-        return F.array_join(F.transform(_chars(half), lambda c, i: _shifted(c, place(i), back)), "")
+        place = lambda d, i: F.conv(F.substring(d, (i % 32) * 2 + 1, 2), 16, 10).cast("int")
+        return _once(_digest(key, tweak, r, F.length(half), other), lambda d: F.array_join(F.transform(_chars(half), lambda c, i: _shifted(c, place(d, i), back)), ""))
 
     middle = (F.length(s) / 2).cast("int")
     start = F.struct(F.substring(s, F.lit(1), middle).alias("l"), F.substring(s, middle + 1, F.length(s)).alias("r"))
@@ -98,8 +115,8 @@ def permute_index(i: Column, a: int, b: int, key: str, tweak: str, back: bool =
     rounds = F.array(*[F.lit(k) for k in (range(ROUNDS - 1, -1, -1) if back else range(ROUNDS))])
 
     def turn(s: Column, k: Column) -> Column:
-        left = F.pmod(s["l"] + sign * _number(_digest(key, F.lit(tweak), k, s["r"])), F.lit(a)).cast("long")
-        right = F.pmod(s["r"] + sign * _number(_digest(key, F.lit(tweak), k, s["l"])), F.lit(b)).cast("long")
+        left = F.pmod(s["l"] + sign * _number(_digest(key, tweak, k, s["r"])), F.lit(a)).cast("long")
+        right = F.pmod(s["r"] + sign * _number(_digest(key, tweak, k, s["l"])), F.lit(b)).cast("long")
         return F.when(k % 2 == 0, F.struct(left.alias("l"), s["r"].alias("r"))).otherwise(F.struct(s["l"].alias("l"), right.alias("r")))
 
     return F.aggregate(rounds, start, turn, lambda s: s["l"] * b + s["r"])
@@ -111,9 +128,18 @@ def digits_of(s: Column) -> Column:
 
 def _fill(template: Column, digits: Column) -> Column:
     """The template with its digits replaced, in order."""
+    return _placed(template, digits, lambda c: c.between("0", "9"))
+
+
+def _placed(template: Column, values: Column, where) -> Column:
+    """The template with the characters that ``where`` chooses replaced by those of ``values``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-    turn = lambda a, c: F.when(c.between("0", "9"), F.struct(F.concat(a["out"], F.substring(digits, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n")))
-    return F.aggregate(_chars(template), start, turn, lambda a: a["out"])
+
+    def fill(new: Column) -> Column:
+        turn = lambda a, c: F.when(where(c), F.struct(F.concat(a["out"], F.substring(new, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n"))).otherwise(F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n")))
+        return F.aggregate(_chars(template), start, turn, lambda a: a["out"])
+
+    return _once(values, fill)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -130,10 +156,12 @@ def mod97(account: Column) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    d = digits_of(m)
-    body = permute_string(F.substring(d, F.lit(1), F.length(d) - 1), key, "card")
-    check = F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("int").cast("string")
-    return F.when(luhn_sum(d) == 0, _fill(m, F.concat(body, check)))
+    def image(d: Column) -> Column:
+        check = lambda body: F.pmod(10 - luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("int").cast("string")
+        new = _once(permute_string(F.substring(d, F.lit(1), F.length(d) - 1), key, "card"), lambda body: F.concat(body, check(body)))
+        return F.when(luhn_sum(d) == 0, _fill(m, new))
+
+    return _once(digits_of(m), image)
 
 
 def _iban_holds(m: Column) -> Column:
@@ -144,12 +172,9 @@ def _iban_holds(m: Column) -> Column:
 def _iban(m: Column, key: str) -> Column:
     flat = F.regexp_replace(m, " ", "")
     country, account = F.substring(flat, 1, 2), F.substring(flat, F.lit(5), F.length(flat))
-    image = permute_string(account, key, "iban")
-    check = F.lpad((98 - mod97(F.concat(image, country, F.lit("00")))).cast("string"), 2, "0")
-    new = F.concat(country, check, image)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("n"))
-    turn = lambda a, c: F.when(c == " ", F.struct(F.concat(a["out"], c).alias("out"), a["n"].alias("n"))).otherwise(F.struct(F.concat(a["out"], F.substring(new, a["n"] + 1, F.lit(1))).alias("out"), (a["n"] + 1).alias("n")))
-    return F.when(_iban_holds(m), F.aggregate(_chars(m), start, turn, lambda a: a["out"]))
+    check = lambda image: F.lpad((98 - mod97(F.concat(image, country, F.lit("00")))).cast("string"), 2, "0")
+    new = _once(permute_string(account, key, "iban"), lambda image: F.concat(country, check(image), image))
+    return F.when(_iban_holds(m), _placed(m, new, lambda c: c != " "))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -164,16 +189,19 @@ def _ssn(m: Column, key: str) -> Column:
     area, group, serial = part(1, 3), part(5, 2), part(8, 4)
     valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     i = ((area - F.when(area < 666, 1).otherwise(2)).cast("long") * 99 + group - 1) * 9999 + serial - 1
-    j = permute_index(i, AREAS * 99, 9999, key, "ssn")
-    a = F.floor(j / (99 * 9999)).cast("int")
-    return F.when(valid, F.format_string("%03d-%02d-%04d", (a + F.when(a < 665, 1).otherwise(2)).cast("int"), (F.floor(j / 9999) % 99 + 1).cast("int"), (j % 9999 + 1).cast("int")))
+
+    def written(j: Column) -> Column:
+        a = F.floor(j / (99 * 9999)).cast("int")
+        return F.format_string("%03d-%02d-%04d", (a + F.when(a < 665, 1).otherwise(2)).cast("int"), (F.floor(j / 9999) % 99 + 1).cast("int"), (j % 9999 + 1).cast("int"))
+
+    return F.when(valid, _once(permute_index(i, AREAS * 99, 9999, key, "ssn"), written))
 
 
 def _ipv4(m: Column, key: str) -> Column:
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    j = permute_index(F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x), 65536, 65536, key, "ipv4")
-    octet = lambda k: (F.floor(j / (256**k)) % 256).cast("string")
-    return F.when(F.forall(octets, lambda x: x <= 255), F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)))
+    number = F.aggregate(octets, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    octet = lambda j, k: (F.floor(j / (256**k)) % 256).cast("string")
+    return F.when(F.forall(octets, lambda x: x <= 255), _once(permute_index(number, 65536, 65536, key, "ipv4"), lambda j: F.concat_ws(".", octet(j, 3), octet(j, 2), octet(j, 1), octet(j, 0))))
 
 
 def _date(m: Column, key: str) -> Column:
@@ -185,17 +213,21 @@ def _date(m: Column, key: str) -> Column:
     ymd, dmy, mdy = dated(one, two, three), dated(three, two, one), dated(three, one, two)
     day = F.when(year_first, ymd).otherwise(F.coalesce(dmy, mdy))
     i = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_index(i, *DAYS, key, "date").cast("int"))
-    part = lambda f, like: F.when(F.length(like) == 2, F.lpad(f(new).cast("string"), 2, "0")).otherwise(f(new).cast("string"))
-    joined = lambda x, y, z: F.concat(x, sep, y, sep, z)
-    year = F.lpad(F.year(new).cast("string"), 4, "0")
-    out = F.when(year_first, joined(year, part(F.month, two), part(F.dayofmonth, three))).when(dmy.isNotNull(), joined(part(F.dayofmonth, one), part(F.month, two), year)).otherwise(joined(part(F.month, one), part(F.dayofmonth, two), year))
-    return F.when(i.between(0, DAYS[0] * DAYS[1] - 1), out)
+
+    def written(new: Column) -> Column:
+        part = lambda f, like: F.when(F.length(like) == 2, F.lpad(f(new).cast("string"), 2, "0")).otherwise(f(new).cast("string"))
+        joined = lambda x, y, z: F.concat(x, sep, y, sep, z)
+        year = F.lpad(F.year(new).cast("string"), 4, "0")
+        return F.when(year_first, joined(year, part(F.month, two), part(F.dayofmonth, three))).when(dmy.isNotNull(), joined(part(F.dayofmonth, one), part(F.month, two), year)).otherwise(joined(part(F.month, one), part(F.dayofmonth, two), year))
+
+    moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_index(i, *DAYS, key, "date").cast("int"))
+    return F.when(i.between(0, DAYS[0] * DAYS[1] - 1), _once(moved, written))
 
 
 def _email(m: Column, key: str) -> Column:
     local = F.substring_index(m, "@", 1)
-    return F.concat(permute_string(local, key, "email"), F.substring(m, F.length(local) + 1, F.length(m)))
+    rest = F.substring(m, F.length(local) + 1, F.length(m))
+    return F.when(F.substring(rest, F.lit(2), F.length(rest)).rlike(DOMAIN), F.concat(permute_string(local, key, "email"), rest))
 
 
 def pseudonym(m: Column, key: str) -> Column:
