@@ -2,18 +2,24 @@
 
 The items are the documents of a small inverted index: impacts are BM25 weights divided by the
 item's own full score, so a score of 1 means that every term of the item is there. Postings are in
-item order, in blocks with their largest impact. Every passage of every training document (windows
-of twice the longest item, each overlapping the next by half, so an item lies whole in one) is a
-query. A passage is dropped when the largest impacts of its terms' lists can't reach the
-threshold, then each block of items likewise; the rest is scored in full and every item at or
-above the threshold is retrieved. A retrieved item counts as leaked when runs of ``n`` words that
-passage and item share cover enough of its question and enough of its answer.
+item order, in blocks of BLOCK items with their largest impact. Every passage of every training
+document (windows of twice the longest item, each overlapping the next by half, so an item lies
+whole in one) is a query. Block-max WAND goes through the lists of its terms: sorted by the item at
+which each stands, the largest impacts are added up until they reach the threshold; the item of
+that list is the pivot, and no item before it can reach the threshold. If the largest impacts of
+the pivot's blocks reach it, too, the pivot is scored in full, else the lists skip to the end of the
+block or to the next list's item. The passages of a block of texts take their steps together, in
+numpy. Every item at or above the threshold is retrieved. A retrieved item counts as leaked when
+runs of ``n`` words that passage and item share cover enough of its question and enough of its
+answer.
 
 The answer is what follows "answer:", or the last question mark; an item with neither is one part
 and counts by the share of all its words. A question or answer of fewer than ``n`` words has no run
 of its own: it also counts as covered where its words stand in a row within 2 ``n`` words of the
-other part, outside it. Items come to the driver in portions of at most PORTION bytes of text; each
-portion is one pass over the documents, with the term counts and lengths of the whole benchmark.
+other part, outside it. Items come to the driver in portions of at most PORTION bytes of text, with
+the term counts and lengths of the whole benchmark, so that results don't depend on the number of
+portions; a Python worker holds HELD of them, so one pass over the documents does for 128 MB of
+items, and takes about four times the items' text in memory.
 
 Defined results: words are runs of letters and digits (ASCII case and signs don't count); an item
 of fewer than ``n`` words is leaked wherever all its words stand in a row; null texts have no
@@ -38,7 +44,7 @@ from tessera.llm.shared import fresh
 from tessera.operators.tables import written
 
 U = np.uint64
-PORTION = 8 << 20
+PORTION, HELD = 8 << 20, 16
 BLOCK = 16
 K1, B = 1.2, 0.75
 FILTER_BITS = 20
@@ -81,9 +87,9 @@ class Index:
     first: np.ndarray  # of each term's postings
     item: np.ndarray
     impact: np.ndarray
+    posting: np.ndarray  # term and item in one number, in order
     list_max: np.ndarray
-    block_first: np.ndarray  # of each term's blocks
-    block: np.ndarray
+    block: np.ndarray  # term and block in one number, in order
     block_max: np.ndarray
     passage: int
 
@@ -108,10 +114,10 @@ class Index:
         weight = np.log(1 + (corpus.items - df[term] + 0.5) / (df[term] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / mean))
         impact = weight / np.bincount(item, weight)[item]
         first = np.searchsorted(term, np.arange(len(terms) + 1))
-        blocks, at = np.unique(term * len(ready) + item // BLOCK, return_index=True)
+        blocks, at = np.unique(term * _blocks(len(ready)) + item // BLOCK, return_index=True)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[terms >> _FILTER_SHIFT] = True
-        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, np.maximum.reduceat(impact, first[:-1]), np.searchsorted(blocks // len(ready), np.arange(len(terms) + 1)), blocks % len(ready), np.maximum.reduceat(impact, at), 2 * max(64, corpus.largest + 2 * n))
+        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, pair, np.maximum.reduceat(impact, first[:-1]), blocks, np.maximum.reduceat(impact, at), 2 * max(64, corpus.largest + 2 * n))
 
     def search(self, wh: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(row, first word, end word, item, score) of all passages and items at or above the
@@ -131,39 +137,59 @@ class Index:
         term, of_row = np.r_[term, term[late]], np.r_[row, row[late]]
         hit, at = np.unique(passage * len(self.terms) + term, return_index=True)
         passage, term, of_row = hit // len(self.terms), hit % len(self.terms), of_row[at]
-        return list(self._score(passage, term, of_row, stripe, first, threshold))
-
-    def _score(self, passage, term, row, stripe, first, threshold) -> Iterator[tuple[int, int, int, int, float]]:
-        floor = threshold - 1e-9
-        step = self.passage // 2
         start = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
-        if not len(start):
-            return
-        size = np.diff(np.r_[start, len(passage)])
-        may = np.add.reduceat(self.list_max[term], start) >= floor
-        alive = np.flatnonzero(np.repeat(may, size))
-        where = (np.cumsum(may) - 1)[np.repeat(np.arange(len(start)), size)][alive]  # number of the passage
-        head = start[may]
-        term = term[alive]
-        n_blocks = (len(self.ids) - 1) // BLOCK + 1
-        portion = max(1, 4_000_000 // max(len(self.ids), n_blocks))
-        for lo in range(0, len(head), portion):
-            own = slice(*np.searchsorted(where, (lo, lo + portion)))
-            p, q = where[own] - lo, term[own]
-            count = min(portion, len(head) - lo)
-            hits, post = _expand(q, self.block_first)
-            bound = np.bincount(p[hits] * n_blocks + self.block[post], self.block_max[post], count * n_blocks) >= floor
-            keep = bound.reshape(count, n_blocks).any(1)[p]
-            p, q = p[keep], q[keep]
-            hits, post = _expand(q, self.first)
-            good = bound[p[hits] * n_blocks + self.item[post] // BLOCK]
-            hits, post = hits[good], post[good]
-            score = np.bincount(p[hits] * len(self.ids) + self.item[post], self.impact[post], count * len(self.ids))
-            for k in np.flatnonzero(score >= floor):
-                h = head[lo + k // len(self.ids)]
-                r = int(row[h])
-                begin = int(first[r] + (passage[h] - stripe[r]) * step)
-                yield r, begin, min(begin + self.passage, int(first[r + 1])), int(k % len(self.ids)), float(score[k])
+        query = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(passage)]))
+        out = []
+        for q, item, score in zip(*self.retrieve(query, term, threshold - 1e-9), strict=True):
+            r = int(of_row[start[q]])
+            begin = int(first[r] + (passage[start[q]] - stripe[r]) * step)
+            out.append((r, begin, min(begin + self.passage, int(first[r + 1])), int(item), float(score)))
+        return out
+
+    def retrieve(self, query: np.ndarray, term: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """query, item, score of all items that score ``floor`` or more, by block-max WAND.
+        (query, term): the distinct terms of the queries, in order."""
+        n, blocks = len(self.ids), _blocks(len(self.ids))
+        at, found = self.first[term], []
+        while True:
+            end = self.first[term + 1]
+            here = np.where(at < end, self.item[np.minimum(at, len(self.item) - 1)], n)
+            keep = np.flatnonzero(here < n)
+            turn = keep[np.argsort(query[keep] * n + here[keep], kind="stable")]  # lists by query and present item
+            query, term, at, here = query[turn], term[turn], at[turn], here[turn]
+            if not len(query):
+                break
+            start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+            size = np.diff(np.r_[start, len(query)])
+            most = self.list_max[term]
+            total = np.cumsum(most)
+            reaches = total - np.repeat(total[start] - most[start], size) >= floor
+            pivot = np.minimum.reduceat(np.where(reaches, np.arange(len(query)), len(query)), start)
+            alive = np.repeat(pivot < len(query), size)  # the other queries are done
+            if not alive.any():
+                break
+            item = np.repeat(here[np.minimum(pivot, len(query) - 1)], size)[alive]
+            query, term, at, here = query[alive], term[alive], at[alive], here[alive]
+            start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
+            of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(query)]))
+            before = here <= item  # lists that may hold the pivot
+            bound = np.where(before, _looked_up(self.block, self.block_max, term * blocks + item // BLOCK), 0.0)
+            may = np.add.reduceat(bound, start) >= floor
+            score = np.where(before & may[of], _looked_up(self.posting, self.impact, term * n + item), 0.0)
+            good = np.flatnonzero((may & (np.add.reduceat(score, start) >= floor))[of])
+            if len(good):
+                good = good[np.lexsort((term[good], of[good]))]  # one order of addition, whatever else is indexed
+                one = np.flatnonzero(np.r_[True, of[good][1:] != of[good][:-1]])
+                found.append((query[good][one], item[good][one], np.add.reduceat(score[good], one)))
+            after = np.minimum.reduceat(np.where(before, n, here), start)
+            skip = np.minimum((item[start] // BLOCK + 1) * BLOCK, after)
+            to = np.where(may, item[start] + 1, skip)[of]
+            at = np.where(before, np.maximum(at, np.searchsorted(self.posting, term * n + np.minimum(to, n))), at)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        query, item, score = (np.concatenate(x) for x in zip(*found, strict=True))
+        turn = np.lexsort((item, query))
+        return query[turn], item[turn], score[turn]
 
     def overlap(self, item: int, passage: np.ndarray, n: int) -> tuple[float, float]:
         """Shares of the words of question and answer that stand in runs of n words which item
@@ -217,15 +243,17 @@ def _stands_near(part: np.ndarray, other: np.ndarray, passage: np.ndarray, n: in
     return False
 
 
-def _expand(terms: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``terms`` and postings, for all postings of the terms."""
-    n = first[terms + 1] - first[terms]
-    off = np.cumsum(n) - n
-    hits = np.repeat(np.arange(len(terms)), n)
-    return hits, np.repeat(first[terms] - off, n) + np.arange(len(hits))
+def _blocks(items: int) -> int:
+    return (items - 1) // BLOCK + 1
+
 
+def _looked_up(keys: np.ndarray, values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values of keys in order, 0 for what is none."""
+    place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+    return np.where(keys[place] == at, values[place], 0.0)
 
-def _marker(index: Index, names: list[str], text_at: int, old_at: int | None, threshold: float, cover: float, n: int, out_col: str):
+
+def _marker(indexes: list[Index], names: list[str], text_at: int, old_at: int | None, threshold: float, cover: float, n: int, out_col: str):
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = to_arrow_type(LEAKS)
@@ -236,13 +264,16 @@ def _marker(index: Index, names: list[str], text_at: int, old_at: int | None, th
             for i, _, data, off in t.column_blocks(batch.column(text_at)):
                 start, end, first = t.words(data, off, t.SIGNS)
                 wh = t.word_hashes(data, start, end)
-                best: dict[tuple[int, int], tuple] = {}
-                for row, a, b, item, score in index.search(wh, first, threshold):
-                    question, answer = index.overlap(item, wh[a:b], n)
-                    if min(question, answer) >= cover and score > best.get((row, item), (0.0,))[0]:
-                        best[row, item] = (score, float(question), float(answer))
-                for (row, item), (score, question, answer) in sorted(best.items()):
-                    leaks[i + row].append({"item_id": index.ids[item], "score": score, "question_overlap": question, "answer_overlap": answer})
+                for index in indexes:
+                    best: dict[tuple[int, int], tuple] = {}
+                    for row, a, b, item, score in index.search(wh, first, threshold):
+                        question, answer = index.overlap(item, wh[a:b], n)
+                        if min(question, answer) >= cover and score > best.get((row, item), (0.0,))[0]:
+                            best[row, item] = (score, float(question), float(answer))
+                    for (row, item), (score, question, answer) in best.items():
+                        leaks[i + row].append({"item_id": index.ids[item], "score": score, "question_overlap": question, "answer_overlap": answer})
+            for own in leaks:
+                own.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, *(-x[f.name] for f in LEAKS.elementType.fields[1:])))
             yield pa.RecordBatch.from_arrays([*[c for k, c in enumerate(batch.columns) if k != old_at], pa.array(leaks, kind)], [*names, out_col])
 
     return run
@@ -280,14 +311,16 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, co
     items = benchmark.select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     portions = max(1, -(-int(total) // PORTION))
-    out, old = docs, None
     portion = F.pmod(F.xxhash64("item_id", "text"), F.lit(portions))
+    indexes = []
     for k, corpus in enumerate([None] if portions == 1 else _corpora(items, portion, portions)):
         part = items if portions == 1 else items.where(portion == k)
         index = Index.build([tuple(r) for r in part.collect()], n, corpus)
-        if index is not None:
-            out = out.mapInArrow(_marker(index, names, names.index(text_col), old, threshold, cover, n, out_col), schema)
-            old = len(names)
+        indexes += [index] if index is not None else []
+    out, old = docs, None
+    for k in range(0, len(indexes), HELD):
+        out = out.mapInArrow(_marker(indexes[k : k + HELD], names, names.index(text_col), old, threshold, cover, n, out_col), schema)
+        old = len(names)
     return out if old is not None else docs.withColumn(out_col, F.array().cast(LEAKS))
 
 
