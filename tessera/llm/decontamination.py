@@ -91,6 +91,7 @@ class Index:
     list_max: np.ndarray
     block: np.ndarray  # term and block in one number, in order
     block_max: np.ndarray
+    block_of: np.ndarray  # of each posting: the largest impact of its block
     passage: int
 
     @staticmethod
@@ -115,9 +116,10 @@ class Index:
         impact = weight / np.bincount(item, weight)[item]
         first = np.searchsorted(term, np.arange(len(terms) + 1))
         blocks, at = np.unique(term * _blocks(len(ready)) + item // BLOCK, return_index=True)
+        top = np.maximum.reduceat(impact, at)
         seen = np.zeros(1 << FILTER_BITS, bool)
         seen[terms >> _FILTER_SHIFT] = True
-        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, pair, np.maximum.reduceat(impact, first[:-1]), blocks, np.maximum.reduceat(impact, at), 2 * max(64, corpus.largest + 2 * n))
+        return Index([k for k, _, _ in ready], [w for _, w, _ in ready], [a for _, _, a in ready], terms, seen, first, item, impact, pair, np.maximum.reduceat(impact, first[:-1]), blocks, top, np.repeat(top, np.diff(np.r_[at, len(pair)])), 2 * max(64, corpus.largest + 2 * n))
 
     def search(self, wh: np.ndarray, first: np.ndarray, threshold: float) -> list[tuple[int, int, int, int, float]]:
         """(row, first word, end word, item, score) of all passages and items at or above the
@@ -150,15 +152,14 @@ class Index:
         """query, item, score of all items that score ``floor`` or more, by block-max WAND.
         (query, term): the distinct terms of the queries, in order."""
         n, blocks = len(self.ids), _blocks(len(self.ids))
+        most = np.bincount(query, self.list_max[term], int(query[-1]) + 1 if len(query) else 0)
+        keep = np.flatnonzero(most[query] >= floor)
+        query, term = query[keep], term[keep]
         at, found = self.first[term], []
-        while True:
-            end = self.first[term + 1]
-            here = np.where(at < end, self.item[np.minimum(at, len(self.item) - 1)], n)
-            keep = np.flatnonzero(here < n)
-            turn = keep[np.argsort(query[keep] * n + here[keep], kind="stable")]  # lists by query and present item
+        here = self.item[at]
+        while len(query):
+            turn = np.argsort(query * (n + 1) + here, kind="stable")  # lists by query and present item
             query, term, at, here = query[turn], term[turn], at[turn], here[turn]
-            if not len(query):
-                break
             start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
             size = np.diff(np.r_[start, len(query)])
             most = self.list_max[term]
@@ -173,9 +174,13 @@ class Index:
             start = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
             of = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(query)]))
             before = here <= item  # lists that may hold the pivot
-            bound = np.where(before, _looked_up(self.block, self.block_max, term * blocks + item // BLOCK), 0.0)
+            bound = np.where(before & (here // BLOCK == item // BLOCK), self.block_of[at], 0.0)
+            behind = np.flatnonzero(before & (here // BLOCK < item // BLOCK))
+            bound[behind] = _looked_up(self.block, self.block_max, term[behind] * blocks + item[behind] // BLOCK)
             may = np.add.reduceat(bound, start) >= floor
-            score = np.where(before & may[of], _looked_up(self.posting, self.impact, term * n + item), 0.0)
+            score = np.where(before & (here == item) & may[of], self.impact[at], 0.0)
+            behind = np.flatnonzero((here < item) & may[of])
+            score[behind] = _looked_up(self.posting, self.impact, term[behind] * n + item[behind])
             good = np.flatnonzero((may & (np.add.reduceat(score, start) >= floor))[of])
             if len(good):
                 good = good[np.lexsort((term[good], of[good]))]  # one order of addition, whatever else is indexed
@@ -184,7 +189,14 @@ class Index:
             after = np.minimum.reduceat(np.where(before, n, here), start)
             skip = np.minimum((item[start] // BLOCK + 1) * BLOCK, after)
             to = np.where(may, item[start] + 1, skip)[of]
-            at = np.where(before, np.maximum(at, np.searchsorted(self.posting, term * n + np.minimum(to, n))), at)
+            # most lists move on by one; the others are searched
+            at, end = at + before, self.first[term + 1]
+            here = np.where(at < end, self.item[np.minimum(at, len(self.item) - 1)], n)
+            far = np.flatnonzero(before & (here < to))
+            at[far] = np.searchsorted(self.posting, term[far] * n + np.minimum(to[far], n))
+            here[far] = np.where(at[far] < end[far], self.item[np.minimum(at[far], len(self.item) - 1)], n)
+            keep = np.flatnonzero(here < n)
+            query, term, at, here = query[keep], term[keep], at[keep], here[keep]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         query, item, score = (np.concatenate(x) for x in zip(*found, strict=True))
