@@ -107,6 +107,35 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     assert projection_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("window", [128, 8])
+def test_planted_pairs_are_found_with_long_codes(spark, monkeypatch, window):
+    """12,000 vectors of two labels, 300 planted pairs from 0.98 to 0.99 and one dense cluster."""
+    monkeypatch.setattr(projection_dedup, "WINDOW", window)
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.standard_normal((11_000, 32)))
+    side = rng.standard_normal((300, 32))
+    side = unit(side - (side * base[:300]).sum(1, keepdims=True) * base[:300])
+    cos = rng.uniform(0.9801, 0.99, (300, 1))
+    near = base[:300] * cos + side * np.sqrt(1 - cos**2)
+    centre = unit(rng.standard_normal(32))
+    cluster = unit(centre + 0.024 * rng.standard_normal((700, 32)))
+    x = np.concatenate([base, near, cluster])
+    label = np.arange(len(x)) % 2
+    label[11_000:11_300] = label[:300]
+    label[11_300:] = 1
+    bits, passes = projection_dedup.pass_plan(6_500, 0.98, 0.99999)
+    assert bits >= (7 if window == 128 else 10)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = projection_dedup.near_vectors(df.repartition(4)).toPandas().set_index("vec_id").n_links.reindex(range(len(x))).to_numpy()
+    want = np.zeros(len(x), int)
+    for k in (0, 1):
+        at = np.flatnonzero(label == k)
+        want[at] = ((x[at] @ x[at].T) >= 0.98).sum(1) - 1
+    assert want[11_000:11_300].min() >= 1 and want[11_300:].sum() > 10_000 and (got <= want).all()
+    assert got.sum() >= 0.9999 * want.sum()
+
+
 def brute(rows, size):
     key = lambda d: (d is not None, d or 0)
     first = {}
