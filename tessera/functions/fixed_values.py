@@ -19,12 +19,17 @@ STOPWORDS = "the and for with from that this are its using how does what under b
 # Ranks of claim strength, weakest first.
 STRENGTHS = ["insufficient", "preliminary", "mixed", "associational", "causal_cautious"]
 
-# Statements that deny causality and are taken out before the search.
+# Statements that deny, doubt, ask or postpone and are taken out before the search.
 DENIALS = "不能解释为因果|不代表因果关系|不构成因果证据|无法确认因果关系|不能据此推断因果|不能推断因果|不支持因果解释|并非因果证据|does not (?:establish|imply|demonstrate) causality|cannot (?:infer|establish) causality"
-NEGATIONS = "尚不能|不能解释为|不能|不足以|不支持|无法识别|无法|不作|不据此|不宜|避免|不解释为|并非|不构成|不主张|不宣称|不在于|不用于|不形成|不推断|不作为"
-QUESTIONS = "是否存在|是否具有|是否构成|待检验(?:的)?|有待检验(?:的)?"
-CONDITIONS = "待|具备|获得|补齐|满足"
-TITLE_CUES = "标题(?:为|是)?|文献(?:为|是)?|论文(?:为|是)?|数据集(?:为|是)?|(?:发布|发表)的"
+NOT_CLAIMED = [
+    "(?i)" + DENIALS,
+    r"(?:尚不能|不能解释为|不能|不足以|不支持|无法识别|无法|不作|不据此|不宜|避免|不解释为|并非|不构成|不主张|不宣称|不在于|不用于|不形成|不推断|不作为)(?:(?!否认|排除|不|但|却|然而)[^，。；！？,;!?\n]){0,30}因果(?:关系|解释|证据|效应|结论|机制|推断)?",
+    r"(?:是否存在|是否具有|是否构成|待检验(?:的)?|有待检验(?:的)?)(?:(?!证明|导致|证实|表明|但|却|然而)[^，。；！？,;!?\n]){0,30}因果(?:关系|效应|机制)?",
+    r"(?:待|具备|获得|补齐|满足)(?:(?!但|却|然而)[^，。；！？,;!?\n]){0,60}后再(?:考虑|开展)(?:(?!但|却|然而)[^，。；！？,;!?\n]){0,30}因果(?:识别|研究|分析|设计)*",
+]
+
+# Titles in brackets, or in quotes behind a cue.
+TITLE_SPANS = r"《[^》\n]*》|(?:标题(?:为|是)?|文献(?:为|是)?|论文(?:为|是)?|数据集(?:为|是)?|(?:发布|发表)的)\s*[:：]?\s*(?:“[^”\n]*”|「[^」\n]*」|\"[^\"\n]*\")"
 
 # Words that claim a cause.
 CHINESE_CAUSAL = "促进|导致|造成|驱动|引致|因果"
@@ -40,5 +45,13 @@ ENGLISH_QUANTITY = r"\b(?:zero|one|two|three|four|five|six|seven|eight|nine|ten|
 # Sections that describe methods, where wording is not limited.
 METHOD_SECTIONS = ["techniques", "experiments", "methods"]
 
+# What keeps a claim from a stronger verdict.
+NOT_REPRODUCED = "主模型失败或独立复算未确认一致"
+FEW_SAME_SIGN = "指定稳健性同向比例未达门槛，失败检查计入分母"
+PERMUTATION = "置换检验未通过或未完成"
+PRETREND = "前趋势检验未通过或不可估计"
+DIRECTION = "主系数方向或显著性不支持预期"
+NOT_ASSIGNED = "处理变量为同群/暴露变量，非真实分配"
+
 # What is reported.
 UNKNOWN_PLACEHOLDER, BARE_NUMBER, TOO_STRONG = "存在未知数字占位符", "所有数字须使用给定占位符", "存在超出结论上限的措辞"

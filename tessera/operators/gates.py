@@ -15,16 +15,6 @@ from tessera.functions import fixed_values as fv
 from tessera.functions import text as tx
 from tessera.plans.spec import Rules
 
-#: From the wording to the end of the clause, up to so many characters, without a turn.
-_CLAUSE = r"[^，。；！？,;!?\n]"
-_WITHIN = lambda words, most: rf"(?:(?!{words}){_CLAUSE}){{0,{most}}}"
-STRIPS = (
-    rf"(?i){fv.DENIALS}",
-    rf"(?:{fv.NEGATIONS}){_WITHIN('否认|排除|不|但|却|然而', 30)}因果(?:关系|解释|证据|效应|结论|机制|推断)?",
-    rf"(?:{fv.QUESTIONS}){_WITHIN('证明|导致|证实|表明|但|却|然而', 30)}因果(?:关系|效应|机制)?",
-    rf"(?:{fv.CONDITIONS}){_WITHIN('但|却|然而', 60)}后再(?:考虑|开展){_WITHIN('但|却|然而', 30)}因果(?:识别|研究|分析|设计)*",
-)
-TITLE_SPANS = rf"《[^》\n]*》|(?:{fv.TITLE_CUES})\s*[:：]?\s*(?:“[^”\n]*”|「[^」\n]*」|\"[^\"\n]*\")"
 #: The English words with word ends that know all letters; a look at the first letter comes before
 #: all else, as it fails almost everywhere.
 _PART = r"[\p{L}\p{N}_]"
@@ -61,6 +51,35 @@ def verdicts(results: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return out.withColumn("max_strength", F.when(F.col("verdict").isin("insufficient", "not_supportive"), "insufficient").when(F.col("verdict") == "mixed", "preliminary").when(causal, "causal_cautious").otherwise("associational"))
 
 
+def same_signs(checks: DataFrame, by: str, rules: Rules = Rules()) -> DataFrame:
+    """by, n_checks, n_same_sign from checks (status, coef): failed ones count in n_checks only."""
+    same = (F.col("status") == "succeeded") & (F.coalesce("coef", F.lit(0.0)) * rules.expected_sign > 0)
+    return checks.groupBy(by).agg(F.count("*").alias("n_checks"), F.count_if(same).alias("n_same_sign"))
+
+
+def blockers(results: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Adds blockers, what keeps a result from a stronger verdict, to what ``verdicts`` takes."""
+    usable = F.coalesce(F.col("consistent"), F.lit(False)) & F.col("coef").isNotNull()
+    share = F.when(F.col("n_checks") > 0, F.col("n_same_sign") / F.col("n_checks")).otherwise(0.0)
+    fine = lambda c: F.coalesce(c, F.lit(False))
+    tests = [
+        (usable, fv.NOT_REPRODUCED),
+        (~usable | (share >= rules.robustness_share), fv.FEW_SAME_SIGN),
+        (~usable | fine(F.col("permutation_p") < rules.permutation_alpha), fv.PERMUTATION),
+        (~usable | (F.col("method_family") != "policy_causal") | fine(F.col("pretrend_p") >= rules.pretrend_alpha), fv.PRETREND),
+        (~usable | fine((F.col("coef") * rules.expected_sign > 0) & (F.col("p") < rules.alpha)), fv.DIRECTION),
+        (fine(F.col("semantics") == "real_assignment"), fv.NOT_ASSIGNED),
+    ]
+    return results.withColumn("blockers", F.array_compact(F.array(*[F.when(~good, reason) for good, reason in tests])))
+
+
+def outcomes(parts: DataFrame, by: str) -> DataFrame:
+    """by, outcome, repair: a text is accepted if no paragraph (paragraph, issues) has an issue, else
+    the numbers of those to be repaired are listed."""
+    bad = F.array_sort(F.collect_list(F.when(F.size("issues") > 0, F.col("paragraph"))))
+    return parts.groupBy(by).agg(bad.alias("repair")).select(by, F.when(F.size("repair") == 0, "accepted").otherwise("repair").alias("outcome"), "repair")
+
+
 def per_claim(judged: DataFrame, claims: DataFrame, run: str) -> DataFrame:
     """run, claim_id, verdict, max_strength for every planned claim (run, claim_id, type): what
     the run did not test, claims other than the main one outside mechanism studies, is
@@ -97,53 +116,93 @@ def causal_words(text: Column, strength: Column | None = None, titles: Sequence[
         if title:
             cleaned = F.replace(cleaned, F.lit(title), F.lit(" "))
     # plain searches first: most texts hold nothing to take out, and they are cheap
-    stripped = lambda t: F.when(t.rlike("因果|(?i:causality)"), reduce(lambda c, s: F.regexp_replace(c, s, ""), STRIPS, t)).otherwise(t)
-    english = lambda t: F.when(t.rlike("[《“「\"]"), F.regexp_replace(t, TITLE_SPANS, " ")).otherwise(t)
+    stripped = lambda t: F.when(t.rlike("因果|(?i:causality)"), reduce(lambda c, s: F.regexp_replace(c, s, ""), fv.NOT_CLAIMED, t)).otherwise(t)
+    english = lambda t: F.when(t.rlike("[《“「\"]"), F.regexp_replace(t, fv.TITLE_SPANS, " ")).otherwise(t)
     words = lambda t: F.array_distinct(F.concat(F.regexp_extract_all(t, F.lit(fv.CHINESE_CAUSAL), 0), F.regexp_extract_all(english(t), F.lit(ENGLISH), 0)))
     found = once(once(cleaned, stripped), words)
     return found if strength is None else F.when(strength == "causal_cautious", F.array().cast("array<string>")).otherwise(found)
 
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_]*"
-_TERM = rf"(?:{_NAME}|\d+(?:\.\d+)?)"
 _CODE = re.compile(r"```[\s\S]*?```|`[^`\n]*`")
-_LOG = re.compile(r"(?<![A-Za-z0-9_])log(?:1p)?\s*\(")
-_SUMS = re.compile(rf"(?<![A-Za-z0-9_]){_TERM}(?:\s*[+*/-]\s*{_TERM})+")
-_NAMES = re.compile(rf"(?<![A-Za-z0-9_]){_NAME}")
 _TOKEN = re.compile(r"\{\{num:([a-zA-Z0-9_.]+)\}\}")
+_LEXEME = re.compile(r"(?P<name>[A-Za-z_][A-Za-z0-9_]*)|(?P<number>\d+(?:\.\d+)?)|(?P<sign>\s*[+*/-]\s*)|(?P<bracket>[()])|(?P<space>\s+)|(?P<other>[^\w\s+*/()-]+|.)")
 _QUANTITIES = (re.compile(r"\d"), re.compile(fv.CHINESE_QUANTITY), re.compile(fv.ENGLISH_QUANTITY, re.I))
 
 
-def prose_only(text: str) -> str:
-    """The text without code, balanced log(...) calls, arithmetic on names, and names that hold a
-    digit or an underscore. Regular expressions can't balance brackets, so this is Python."""
-    text = _CODE.sub("", text)
-    out, at = [], 0
-    while m := _LOG.search(text, at):
-        depth, end = 1, m.end()
-        while end < len(text) and depth:
-            depth += {"(": 1, ")": -1}.get(text[end], 0)
-            end += 1
-        out += [text[at : m.start()], " " * (end - m.start())] if not depth else [text[at : m.end()]]
-        at = end if not depth else m.end()
-    text = "".join([*out, text[at:]])
-    text = _SUMS.sub(lambda m: "" if re.search("[A-Za-z_]", m[0]) else m[0], text)
-    return _NAMES.sub(lambda m: "" if m[0] == "log" or re.search("[0-9_]", m[0]) else m[0], text)
+def _partners(lexemes: list[tuple[str, str]]) -> dict[int, int]:
+    """Number of the closing bracket for that of each opening one that is closed."""
+    opened, out = [], {}
+    for i, (_, text) in enumerate(lexemes):
+        if text == "(":
+            opened.append(i)
+        elif text == ")" and opened:
+            out[opened.pop()] = i
+    return out
+
+
+def _in_word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
 
 
 def states_quantity(text: str) -> bool:
-    """Whether prose states a number outside of placeholders."""
-    prose = prose_only(_TOKEN.sub("", text))
+    """Whether prose states a number outside of placeholders, code and formulas.
+
+    The text is read lexeme by lexeme, in one pass. Calls of log and log1p with balanced brackets
+    become a blank, chains of terms and signs with a name among them are left out, and so are
+    names that hold a digit or an underscore."""
+    lexemes = [(m.lastgroup, m[0]) for m in _LEXEME.finditer(_CODE.sub("", _TOKEN.sub("", text)))]
+    partner, plain, i, before = _partners(lexemes), [], 0, ""
+    while i < len(lexemes):
+        kind, own = lexemes[i]
+        if own in ("log", "log1p") and not _in_word(before):
+            at = i + 1 + (i + 1 < len(lexemes) and lexemes[i + 1][0] == "space")
+            if at in partner:
+                plain.append(("blank", " "))
+                i, before = partner[at] + 1, ")"
+                continue
+        plain.append((kind, own))
+        i, before = i + 1, own[-1]
+    out, i, left = [], 0, ""  # left: the last character that stays, or before names that go
+    while i < len(plain):
+        kind, own = plain[i]
+        last = i
+        if kind in ("name", "number") and not (i and _in_word(plain[i - 1][1][-1])):
+            while last + 2 < len(plain) and plain[last + 1][0] == "sign" and plain[last + 2][0] in ("name", "number"):
+                last += 2
+        if last > i and any(k == "name" for k, _ in plain[i : last + 1]):
+            i = last + 1  # what follows stands where the formula stood
+            continue
+        if last == i and kind == "name" and not _in_word(left) and (own == "log" or any(c in "0123456789_" for c in own)):
+            i, left = i + 1, own[-1]
+            continue
+        out += [t for _, t in plain[i : last + 1]]
+        i, left = last + 1, plain[last][1][-1]
+    prose = "".join(out)
     for phrase in fv.NO_QUANTITY:
         prose = prose.replace(phrase, "")
     return any(p.search(prose) for p in _QUANTITIES)
 
 
 @F.pandas_udf(T.BooleanType())
-def has_bare_number(text: pd.Series) -> pd.Series:
+def _states_quantity(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else states_quantity(t))
 
 
+#: Without any of these a text states no quantity, whatever is left out of it.
+_MAYBE = r"\p{Nd}|[零〇一二两三四五六七八九十百千万亿半壹贰叁肆伍陆柒捌玖拾佰仟数几倍`]|(?i)(?<![A-Za-z0-9_])(?:" + fv.ENGLISH_QUANTITY.removeprefix(r"\b(?:").removesuffix(r")\b") + ")(?![A-Za-z0-9_])"
+#: A number that stands apart from names, signs and points.
+_APART = r"(?:^|[^+*/\s-]\s{1,8}|[^A-Za-z0-9_.+*/\s-])[0-9]{1,30}(?![A-Za-z0-9_.]|\s*[+*/-])"
+
+
+def has_bare_number(text: Column | str) -> Column:
+    """Whether a text states a number outside of placeholders. Most texts are decided by plain
+    searches; only the others pass through Python."""
+    col = F.col(text) if isinstance(text, str) else text
+    simple = ~col.contains("`") & ~col.contains("{{num:") & ~col.rlike(r"log(?:1p)?\s*\(")
+    sure = F.when(~col.rlike(_MAYBE), False).when(simple & col.rlike(_APART), True)
+    return F.coalesce(sure, _states_quantity(F.when(sure.isNull(), col)))
+
+
 def without_metadata(text: Column, literals: Sequence[str], citations: Sequence[tuple[str, str]] = ()) -> Column:
     """The text without known titles, identifiers and 'author (year)' citations; a literal that
     begins or ends with a letter or digit must stand by itself there."""
@@ -186,11 +245,12 @@ def failure_reasons(parts: DataFrame, by: str, text: str = "text", longest: int
     return each.select(by, reasons.alias("reasons"), F.when(F.length(first) > longest, F.concat(F.substring(first, 1, longest), F.lit("…"))).otherwise(first).alias("snippet"))
 
 
-def result_table(rows: DataFrame) -> DataFrame:
-    """One text: a Markdown table of results (seq, label, status, coef, se, p, n_obs) in order."""
+def result_table(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A Markdown table of the results (seq, label, status, coef, se, p, n_obs) of each group, in
+    order; the results of a group are those of one analysis."""
     number = tx.format_number_udf
     cells = F.when(F.col("status") == "succeeded", F.concat_ws(" | ", number("coef"), number("se"), number("p"), F.col("n_obs").cast("string"))).otherwise("失败 | — | — | —")
     line = F.concat(F.lit("| "), F.col("label"), F.lit(" | "), cells, F.lit(" |"))
     head = "| 检验 | 系数 | 标准误 | p 值 | 观测数 |\n|---|---:|---:|---:|---:|"
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("all"))
-    return listed.select(F.concat(F.lit(head + "\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("markdown"))
+    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("line")))).alias("all"))
+    return listed.select(*by, F.concat(F.lit(head + "\n"), F.array_join(F.transform("all", lambda x: x["line"]), "\n")).alias("markdown"))

@@ -24,17 +24,35 @@ def test_provider_payloads_merge(spark):
     assert out["10.1/ab"].abstract == "we see we" and out["10.1/ab"].concepts == ["Policy"] and out[None].title == "Other"
 
 
-def test_component_fold_equals_global_fold(spark):
+def resolved(rows):
+    """Positions of the clusters, one record after the other, by searching all clusters."""
+    clusters = []  # lists of (position, doi, key), and what took each key last
+    for n, (position, doi, key) in enumerate(rows):
+        of_doi = [c for c in clusters if doi and any(d == doi for _, d, _ in c)]
+        of_key = sorted((c for c in clusters if any(k == key for _, _, k in c)), key=lambda c: max(i for i, (p, _, k) in enumerate(rows[:n]) if k == key and any(p == q for q, _, _ in c)))
+        home = of_doi or [c for c in of_key[-1:] if not doi or not any(d for _, d, _ in c)]
+        if not home:
+            clusters.append(home := [[]])
+            clusters[-1] = home[0]
+        home[0].append((position, doi, key))
+    return {p: c[0][0] for c in clusters for p, _, _ in c}
+
+
+def test_clusters_equal_a_search_record_by_record(spark):
     rnd = random.Random(4)
-    for seed in range(3):
+    for seed in range(4):
         rows = []
-        for i in range(120):
-            rows.append((i, "s", ["s"], rnd.choice([None, f"10.1/{rnd.randrange(25)}"]), f"T{rnd.randrange(20)}", None, rnd.choice([2000, 2001]), rnd.choice(["", "v"]), rnd.randrange(9), None, None, ["c"], 1.0))
+        for i in range(150):
+            rows.append((i, "s", [rnd.choice("st")], rnd.choice([None, f"10.1/{rnd.randrange(25)}"]), f"T{rnd.randrange(20)}", None, rnd.choice([2000, 2001]), rnd.choice(["", "v"]), rnd.choice([None, *range(9)]), None, None, ["c"], rnd.choice([None, 1.0])))
         d = spark.createDataFrame(rows, records.RECORD).repartition(5)
-        names = records.RECORD.fieldNames()
-        want = records.fold([dict(zip(names, r, strict=True)) for r in rows])
-        got = records.merge(d).orderBy("position").collect()
-        assert [(r.position, r.doi, r.members, r.relevance) for r in got] == [(w["position"], w["doi"], w["members"], w["relevance"]) for w in want]
+        home = resolved([(r[0], r[3], (r[4], r[6])) for r in rows])
+        got = {r.position: r for r in records.merge(d).collect()}
+        assert set(got) == set(home.values())
+        for p, r in got.items():
+            own = [x for x in rows if home[x[0]] == p]
+            known = lambda k: [x[k] for x in own if x[k]]  # noqa: E731, B023
+            assert (r.members, r.doi, r.venue, r.sources) == (len(own), (known(3) or [None])[0], (known(7) or [""])[0], sorted({s for x in own for s in x[2]}))
+            assert r.relevance == (sum(known(12)) or None) and r.cited_by == max((x[8] for x in own if x[8] is not None), default=None)
 
 
 def test_top_forty_are_included(spark):
