@@ -14,7 +14,7 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tessera.errors import EngineError
@@ -22,6 +22,8 @@ from tessera.functions.distributions import t_ppf, t_sf
 from tessera.operators.tables import written
 
 MOST_PERIODS = 2000
+#: Means of an effect that may be sent to every task: some MB.
+MOST_LEVELS = 50_000
 ROUNDS = 500
 
 
@@ -50,48 +52,70 @@ class Fit:
         return {"target": name, "coef": coef, "se": se, "t": t, "p": 2 * t_sf(abs(t), df), "ci_low": coef - reach, "ci_high": coef + reach, "inference_df": df, "n_clusters": self.n_clusters, "n_obs": self.n_obs, "n_units": self.n_units, "df_model": self.df_model, "df_resid": self.df_resid, "r2_within": self.r2_within}
 
 
-def demeaned(df: DataFrame, columns: list[str], effects: list[str]) -> DataFrame:
+def facts_of(df: DataFrame, columns: list[str], effects: tuple[str, ...] = ("unit", "time")) -> Row:
+    """One pass: n, levels of the effects and of cluster if there is one, mean and total sum of
+    squares (ss_...) of the columns."""
+    kinds = [*effects, *(["cluster"] if "cluster" in df.columns else [])]
+    return df.agg(F.count("*").alias("n"), *[F.count_distinct(k).alias(k) for k in kinds], *[F.avg(c).alias(f"mean_{c}") for c in columns], *[(F.var_pop(c) * F.count(c)).alias(f"ss_{c}") for c in columns]).first()
+
+
+def without_means(df: DataFrame, columns: list[str], effect: str, levels: int) -> DataFrame:
+    """The columns freed of the means of one effect. Units have a window each; periods are few and
+    hold very many rows, so their means are aggregates that are joined, broadcast up to
+    MOST_LEVELS of them."""
+    if effect == "unit":
+        w = Window.partitionBy("unit")
+        return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
+    means = df.groupBy(F.col(effect).alias("_level")).agg(*[F.avg(c).alias(f"_mean_{i}") for i, c in enumerate(columns)])
+    joined = df.join(F.broadcast(means) if levels <= MOST_LEVELS else means, F.col(effect).eqNullSafe(F.col("_level")))
+    return joined.withColumns({c: F.col(c) - F.col(f"_mean_{i}") for i, c in enumerate(columns)}).drop("_level", *[f"_mean_{i}" for i in range(len(columns))])
+
+
+def shared_cells(df: DataFrame, big: str, small: str) -> list[Row]:
+    """(s, r, v): for levels s and r of ``small`` the sum of n_s n_r / n over levels of ``big``.
+    Levels with the same cell counts are counted once, so a complete panel has one pattern."""
+    cells = df.groupBy(F.col(big).alias("b"), F.col(small).alias("s")).agg(F.count("*").alias("n"))
+    patterns = cells.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("p")).groupBy("p").agg(F.count("*").alias("k"))
+    whole = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    pairs = patterns.select("p", (F.col("k") / whole).alias("w"), F.explode("p").alias("x")).select("w", "x", F.explode("p").alias("y"))
+    return pairs.groupBy(F.col("x.s").alias("s"), F.col("y.s").alias("r")).agg(F.sum(F.col("w") * F.col("x.n") * F.col("y.n")).alias("v")).collect()
+
+
+def demeaned(df: DataFrame, columns: list[str], effects: list[str], facts: Row | None = None) -> DataFrame:
     """``df`` (unit, time, ...) with the columns freed of the effects, ``unit`` and ``time``."""
     effects = [e for e in ("unit", "time") if e in effects]
-    grand = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    df = df.withColumns({c: F.col(c) - F.lit(float(grand[c] or 0.0)) for c in columns})
-    if not effects:
-        return df
-    if len(effects) == 1:
-        w = Window.partitionBy(effects[0])
-        return df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
+    facts = facts or facts_of(df, columns)
+    df = df.withColumns({c: F.col(c) - F.lit(float(facts[f"mean_{c}"] or 0.0)) for c in columns})
+    if len(effects) < 2:
+        return without_means(df, columns, effects[0], facts[effects[0]]) if effects else df
     big, small = "unit", "time"
-    kinds = df.agg(F.count_distinct("unit").alias("unit"), F.count_distinct("time").alias("time")).first()
-    if kinds[small] > kinds[big]:
+    if facts[small] > facts[big]:
         big, small = small, big
-    if kinds[small] > MOST_PERIODS:
-        return _in_turn(df, columns)
-    w = Window.partitionBy(big)
-    df = df.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
-    right = {r["s"]: r for r in df.groupBy(F.col(small).alias("s")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"v{i}") for i, c in enumerate(columns)]).collect()}
-    cells = df.groupBy(F.col(big).alias("b"), F.col(small).alias("s")).agg(F.count("*").alias("n")).withColumn("m", F.sum("n").over(Window.partitionBy("b")))
-    pairs = cells.alias("x").join(cells.alias("y"), F.col("x.b") == F.col("y.b")).groupBy(F.col("x.s").alias("s"), F.col("y.s").alias("r")).agg(F.sum(F.col("x.n") * F.col("y.n") / F.col("x.m")).alias("v"))
+    if facts[small] > MOST_PERIODS:
+        return _in_turn(df, columns, facts)
+    free = without_means(df, columns, big, facts[big])
+    right = {r["s"]: r for r in free.groupBy(F.col(small).alias("s")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"v{i}") for i, c in enumerate(columns)]).collect()}
     order = sorted(right)
     at = {s: i for i, s in enumerate(order)}
     system = np.diag([float(right[s]["n"]) for s in order])
-    for r in pairs.collect():
+    for r in shared_cells(df, big, small):
         system[at[r["s"]], at[r["r"]]] -= r["v"]
     sums = np.array([[right[s][f"v{i}"] for i in range(len(columns))] for s in order], float)
     effect = np.linalg.lstsq(system, sums, rcond=1e-12)[0]
-    spark = df.sparkSession
-    table = spark.createDataFrame([(s, *map(float, effect[at[s]])) for s in order], [small, *[f"g{i}" for i in range(len(columns))]])
+    names = [f"_g{i}" for i in range(len(columns))]
+    table = df.sparkSession.createDataFrame([(s, *map(float, effect[at[s]])) for s in order], [small, *names])
     joined = df.join(F.broadcast(table), small)  # at most MOST_PERIODS rows
-    return joined.withColumns({c: F.col(c) - (F.col(f"g{i}") - F.avg(f"g{i}").over(w)) for i, c in enumerate(columns)}).drop(*[f"g{i}" for i in range(len(columns))])
+    joined = joined.withColumns({c: F.col(c) - F.col(g) for c, g in zip(columns, names, strict=True)}).drop(*names)
+    return without_means(joined, columns, big, facts[big])
 
 
-def _in_turn(df: DataFrame, columns: list[str]) -> DataFrame:
+def _in_turn(df: DataFrame, columns: list[str], facts: Row) -> DataFrame:
     """Means by unit and time taken out in turn until nothing moves, relative to the scale."""
     scale = max([1.0, *[float(x or 0) for x in df.agg(*[F.max(F.abs(c)) for c in columns]).first()]])
     for _ in range(ROUNDS):
         after = df.withColumns({f"_{c}": F.col(c) for c in columns})
         for effect in ("unit", "time"):
-            w = Window.partitionBy(effect)
-            after = after.withColumns({c: F.col(c) - F.avg(c).over(w) for c in columns})
+            after = without_means(after, columns, effect, facts[effect])
         after = written(after)
         moved = max(float(x or 0) for x in after.agg(*[F.max(F.abs(F.col(c) - F.col(f"_{c}"))) for c in columns]).first())
         df = after.drop(*[f"_{c}" for c in columns])
@@ -103,16 +127,15 @@ def _in_turn(df: DataFrame, columns: list[str]) -> DataFrame:
 def fit(clean: DataFrame, regressors: list[str], effects: list[str], drop_absorbed: bool = False) -> Fit:
     """Regression of y on the regressors of ``clean`` (unit, time, cluster, y, regressors)."""
     effects = [e for e in ("unit", "time") if e in effects]
-    facts = clean.agg(F.count("*").alias("n"), F.count_distinct("unit").alias("unit"), F.count_distinct("time").alias("time"), F.count_distinct("cluster").alias("cluster")).first()
-    free = demeaned(clean.select("unit", "time", "cluster", "y", *regressors), ["y", *regressors], effects)
     names = ["y", *regressors]
+    facts = facts_of(clean, names)
+    free = demeaned(clean.select("unit", "time", "cluster", *names), names, effects, facts)
     upper = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
     sums = free.agg(*[F.sum(F.col(names[i]) * F.col(names[j])).alias(f"s{i}_{j}") for i, j in upper]).first()
     gram = np.zeros((len(names), len(names)))
     for i, j in upper:
         gram[i, j] = gram[j, i] = sums[f"s{i}_{j}"] or 0.0
-    total = clean.agg(*[(F.var_pop(c) * F.count(c)).alias(c) for c in names]).first()
-    keep = independent(gram[1:, 1:], np.array([float(total[c] or 0) for c in regressors]))
+    keep = independent(gram[1:, 1:], np.array([float(facts[f"ss_{c}"] or 0) for c in regressors]))
     if len(keep) < len(regressors) and not drop_absorbed:
         raise EngineError("estimation_failed", "regressors are collinear or absorbed by the fixed effects")
     if not keep:

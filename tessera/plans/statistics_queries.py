@@ -13,6 +13,7 @@ from tessera.operators.fixed_effects import fit
 from tessera.plans import panels
 from tessera.plans.panels import CUSTOMER_YEAR, NATION_YEAR, USER_DAY
 from tessera.plans.spec import Check, Spec
+from tessera.plans.sql_inference import fit_row, several, two_sided, unrolled, with_reach
 from tessera.sources import files
 from tessera.tables import table
 
@@ -39,12 +40,16 @@ def _rows(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
 
 _NUM = "SELECT '{c}' AS name, '{t}' AS type, round(avg(({c} IS NULL)::INT)::DOUBLE, 9) AS missing_rate, count(DISTINCT {c})::BIGINT AS unique_count, min({c})::DOUBLE AS \"min\", max({c})::DOUBLE AS \"max\" FROM {f}"
 _TEXT = "SELECT '{c}', '{t}', round(avg(({c} IS NULL)::INT)::DOUBLE, 9), count(DISTINCT {c})::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM {f}"
-_PROFILED = [("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_returnflag", "string"), ("l_shipdate", "timestamp_ntz")]
+_PROFILED = {
+    "lineitem": [("l_orderkey", "bigint"), ("l_partkey", "bigint"), ("l_suppkey", "bigint"), ("l_linenumber", "int"), ("l_quantity", "double"), ("l_extendedprice", "double"), ("l_discount", "double"), ("l_tax", "double"), ("l_returnflag", "string"), ("l_linestatus", "string"), ("l_shipdate", "timestamp")],
+    "orders": [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"), ("o_orderdate", "timestamp"), ("o_orderpriority", "string")],
+}
 
 
-@query(" UNION ALL ".join((_NUM if t in ("bigint", "int", "double") else _TEXT).format(c=c, t=t if t != "timestamp_ntz" else "timestamp", f="lineitem") for c, t in _PROFILED))
+@query(" UNION ALL ".join((_NUM if t in ("bigint", "int", "double") else _TEXT).format(c=c, t=t, f=f) for f, cs in _PROFILED.items() for c, t in cs))
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prof = panel.profile(table(spark, sf_dir, "lineitem").select(*[c for c, _ in _PROFILED]))
+    """All columns of the two largest tables."""
+    prof = panel.profile(table(spark, sf_dir, "lineitem")).unionByName(panel.profile(table(spark, sf_dir, "orders")))
     return prof.select("name", F.regexp_replace("type", "timestamp_ntz", "timestamp").alias("type"), F.round("missing_rate", 9).alias("missing_rate"), "unique_count", "min", "max")
 
 
@@ -60,10 +65,13 @@ def panel_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.duplicate_keys(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")
 
 
-@query()
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "conversations", "benchmark", "pages"]
+_KIND = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp' WHEN 'FLOAT[]' THEN 'array<float>' WHEN 'DOUBLE[]' THEN 'array<double>' ELSE column_type END"
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", (row_number() OVER () - 1)::INT AS seq, column_name AS name, {_KIND} AS type FROM (DESCRIBE SELECT * FROM {n})" for n in _TABLES))
 def file_schema_inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "embeddings", "conversations", "benchmark", "pages"]
-    parts = [files.inspect(spark, f"{sf_dir}/{n}.parquet").select(F.lit(n).alias("table"), "seq", "name", "type") for n in names]
+    parts = [files.inspect(spark, f"{sf_dir}/{n}.parquet").select(F.lit(n).alias("table"), "seq", "name", F.regexp_replace("type", "timestamp_ntz", "timestamp").alias("type")) for n in _TABLES]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -197,14 +205,19 @@ def anti_join_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- regressions -----------------------------------------------------------------------------------
 
-_FIT = "name string, coef double, se double, t double, n_obs long, n_clusters long"
+_FIT = "name string, coef double, se double, t double, p double, ci_low double, ci_high double, n_obs long, n_clusters long"
+
+
+def _rounded(name: str, found: dict) -> dict:
+    """Bounds and p go through a quantile, which is found by other means in SQL."""
+    return {"name": name} | {k: round(v, 8 if k in ("p", "ci_low", "ci_high") else 9) if isinstance(v, float) else v for k, v in found.items()}
 
 
 def _fit(spark: SparkSession, data: DataFrame, regressors: list[str], effects: list[str], cluster: str = "unit") -> DataFrame:
     d = data.select("unit", F.col("t").alias("time"), F.col(cluster).alias("cluster"), "y", *regressors).persist()
     try:
         found = fit(d, regressors, effects)
-        rows = [{"name": n} | {k: round(v, 9) if isinstance(v, float) else v for k, v in found.summary(n).items()} for n in regressors]
+        rows = [_rounded(n, found.summary(n)) for n in regressors]
     finally:
         d.unpersist()
     return _rows(spark, rows, _FIT)
@@ -213,15 +226,7 @@ def _fit(spark: SparkSession, data: DataFrame, regressors: list[str], effects: l
 def _fit_sql(base: str, source: str, mean: str, k: str, cluster: str = "unit") -> str:
     """One regressor x on y with both demeaned by ``mean``; k counts parameters."""
     return f"""WITH {base}, w AS (SELECT *, {mean.format(v='y')} AS yw, {mean.format(v='x')} AS xw FROM {source}),
-{_inference('w', k, cluster)}"""
-
-
-def _inference(source: str, k: str, cluster: str) -> str:
-    return f"""b AS (SELECT sum(xw * yw) / sum(xw * xw) AS beta, sum(xw * xw) AS sxx, count(*)::DOUBLE AS n, count(DISTINCT {cluster})::DOUBLE AS g, ({k})::DOUBLE AS k FROM {source}),
-s AS (SELECT {cluster}, sum(xw * (yw - beta * xw)) AS sc FROM {source}, b GROUP BY {cluster}),
-m AS (SELECT sum(sc * sc) AS meat FROM s),
-r AS (SELECT beta, sqrt(meat / sxx / sxx * (g / (g - 1)) * ((n - 1) / (n - k))) AS se, n, g FROM b, m)
-SELECT 'x' AS name, round(beta, 9) AS coef, round(se, 9) AS se, round(beta / se, 9) AS t, n::BIGINT AS n_obs, g::BIGINT AS n_clusters FROM r"""
+{several('w', ['x'], k, cluster)}, {fit_row('r', 'x')}"""
 
 
 @query(_fit_sql(NATION_YEAR, "ny", "{v} - avg({v}) OVER ()", "2"))
@@ -253,16 +258,7 @@ def fe_cluster_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, panels.nation_year(spark, sf_dir), ["x"], ["unit", "time"], "region")
 
 
-def _unrolled(source: str, rounds: int = 15) -> str:
-    """CTEs w0 to w<rounds>: means of x and y by unit and by period taken out in turn."""
-    out = [f"w0 AS MATERIALIZED (SELECT *, y - avg(y) OVER () AS yw, x - avg(x) OVER () AS xw FROM {source})"]
-    for i in range(1, rounds + 1):
-        for key, name, before in (("unit", f"u{i}", f"w{i - 1}"), ("t", f"w{i}", f"u{i}")):
-            out.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (yw - avg(yw) OVER (PARTITION BY {key}) AS yw, xw - avg(xw) OVER (PARTITION BY {key}) AS xw) FROM {before})")
-    return ", ".join(out)
-
-
-@query(f"WITH {USER_DAY}, {_unrolled('ud')}, {_inference('w15', _TWO_K, 'unit')}")
+@query(f"WITH {USER_DAY}, {unrolled('ud', 15)}, {several('w15', ['x'], _TWO_K)}, {fit_row('r', 'x')}")
 def fe_twoway_unbalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fit(spark, panels.user_day(spark, sf_dir), ["x"], ["unit", "time"])
 
@@ -274,24 +270,36 @@ def _spec(**more) -> Spec:
 _EVENT = "k long, coef double, se double, p double, ci_low double, ci_high double"
 
 
-@query()
+_BINS = (-3, -2, 0, 1, 2, 3)
+_EVENT_SQL = f"""WITH {CUSTOMER_YEAR}, ep AS (SELECT unit, t, a - lag(a) OVER (PARTITION BY unit ORDER BY t) AS step FROM cy), eg AS (SELECT unit FROM ep GROUP BY unit HAVING count(*) FILTER (step < 0) = 0),
+ef AS (SELECT unit, min(t) AS first FROM cy WHERE a = 1 GROUP BY unit),
+ev AS (SELECT cy.unit, t, y, {', '.join(f'coalesce((least(greatest(t - first, -3), 3) = {k})::INT::DOUBLE, 0.0::DOUBLE) AS e{i}' for i, k in enumerate(_BINS))} FROM cy JOIN eg USING (unit) LEFT JOIN ef USING (unit)),
+{unrolled('ev', 30, ('y', *(f'e{i}' for i in range(len(_BINS)))), 'z')}, {several('z30', [f'e{i}' for i in range(len(_BINS))], f'{_TWO_K} + {len(_BINS) - 1}')}"""
+_EVENT_ROWS, _EVENT_LAST = with_reach("(" + " UNION ALL ".join(f"SELECT {k}::BIGINT AS k, b{i} AS coef, sqrt(v{i}_{i}) AS se, nu FROM r" for i, k in enumerate(_BINS)) + ")")
+
+
+@query(f"{_EVENT_SQL}, {_EVENT_ROWS} SELECT k, round(coef, 7) AS coef, round(se, 7) AS se, round({two_sided('(coef / se)', 'nu')}, 7) AS p, round(coef - tq * se, 7) AS ci_low, round(coef + tq * se, 7) AS ci_high FROM {_EVENT_LAST}")
 def event_study_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, analysis.event_study(_spec(), panels.customer_year(spark, sf_dir))["terms"], _EVENT)
+    terms = analysis.event_study(_spec(), panels.customer_year(spark, sf_dir))["terms"]
+    return _rows(spark, [{k: round(v, 7) if isinstance(v, float) else v for k, v in x.items()} for x in terms], _EVENT)
 
 
-@query()
+# with two restrictions the tail of F has a closed form
+@query(f"""{_EVENT_SQL}, f AS (SELECT (b0 * (v1_1 * b0 - v0_1 * b1) + b1 * (v0_0 * b1 - v0_1 * b0)) / (v0_0 * v1_1 - v0_1 * v0_1) / 2 AS stat, nu FROM r)
+SELECT round(stat, 6) AS stat, round(pow(1 + 2 * stat / nu, -nu / 2.0), 7) AS p, 2::BIGINT AS df, nu AS df_denom FROM f""")
 def pretrend_wald(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rows(spark, [analysis.event_study(_spec(), panels.customer_year(spark, sf_dir))["pretrend_wald"]], "stat double, p double, df long, df_denom long")
+    w = analysis.event_study(_spec(), panels.customer_year(spark, sf_dir))["pretrend_wald"]
+    return _rows(spark, [w | {"stat": w["stat"] and round(w["stat"], 6), "p": w["p"] and round(w["p"], 7)}], "stat double, p double, df long, df_denom long")
 
 
 def _estimated(spark: SparkSession, spec: Spec, raw: DataFrame) -> DataFrame:
     e = analysis.estimate(spec, raw)
-    return _rows(spark, [{"name": "x"} | {k: round(v, 9) if isinstance(v, float) else v for k, v in e.items() if k in ("coef", "se", "t", "n_obs", "n_clusters")}], _FIT)
+    return _rows(spark, [_rounded("x", e)], _FIT)
 
 
 def _robust_sql(where: str = "true", y: str = "y", units: str = "true") -> str:
     base = f"{CUSTOMER_YEAR}, p AS (SELECT unit, t, d - lag(d) OVER (PARTITION BY unit ORDER BY t) AS step FROM cy), good AS (SELECT unit FROM p GROUP BY unit HAVING count(*) FILTER (step < 0) = 0)"
-    return f"WITH {base}, z AS (SELECT unit, t, {y} AS y, d AS x FROM cy WHERE {where} AND {units}), {_unrolled('z', 30)}, {_inference('w30', _TWO_K, 'unit')}"
+    return f"WITH {base}, z AS (SELECT unit, t, {y} AS y, d AS x FROM cy WHERE {where} AND {units}), {unrolled('z', 30)}, {several('w30', ['x'], _TWO_K)}, {fit_row('r', 'x')}"
 
 
 def _robust(spark: SparkSession, sf_dir: str, check: Check, **more) -> DataFrame:
@@ -319,19 +327,20 @@ def robust_alt_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _robust(spark, sf_dir, Check("4", "alt_outcome", {"outcome": "y - log(n)"}))
 
 
-@query()
+@query(f"WITH {CUSTOMER_YEAR}, z AS (SELECT unit, t, y, d, x AS c FROM cy), {unrolled('z', 30, ('y', 'd', 'c'))}, {several('w30', ['d', 'c'], _TWO_K + ' + 1')}, {fit_row('r', 'x')}")
 def robust_add_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _robust(spark, sf_dir, Check("5", "add_controls", {"controls": ["log1p(n)"]}))
 
 
-@query(f"""WITH {NATION_YEAR}, q AS (SELECT unit, t, y, d AS tr, x AS mo, d * x AS z FROM ny),
-w AS (SELECT unit, {', '.join(f'({_TWO_WAY.format(v=v)}) AS {v}' for v in ('y', 'tr', 'mo', 'z'))} FROM q),
-g AS (SELECT sum(tr * tr) AS dd, sum(mo * mo) AS mm, sum(tr * mo) AS dm, sum(tr * y) AS dy, sum(mo * y) AS my, sum(z * y) AS zy, sum(z * tr) AS zd, sum(z * mo) AS zm, sum(z * z) AS zz FROM w)
-SELECT 'interaction' AS name, round((zy - zd * (mm * dy - dm * my) / (dd * mm - dm * dm) - zm * (dd * my - dm * dy) / (dd * mm - dm * dm)) / (zz - (mm * zd * zd - 2 * dm * zd * zm + dd * zm * zm) / (dd * mm - dm * dm)), 8) AS coef FROM g""")
+_INTERACTION = ("d", "x", "z")
+
+
+@query(f"""WITH {NATION_YEAR}, q AS (SELECT *, d * x AS z FROM ny), w AS (SELECT *, {', '.join(f'{_TWO_WAY.format(v=v)} AS {v}w' for v in ('y', *_INTERACTION))} FROM q),
+{several('w', list(_INTERACTION), _TWO_K + ' + 2')}, {fit_row('r', 'interaction', 'b2', 'v2_2')}""")
 def interaction_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = _spec(treatment="d", moderator="x", method_family="mechanism_boundary")
     e = analysis.estimate(spec, panels.nation_year(spark, sf_dir))
-    return _rows(spark, [{"name": e["target"], "coef": round(e["coef"], 8)}], "name string, coef double")
+    return _rows(spark, [_rounded(e["target"], e)], _FIT)
 
 
 # -- permutation -----------------------------------------------------------------------------------
@@ -392,9 +401,16 @@ def permutation_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.permutation_summary(observed, draws)
 
 
-@query()
+_AGAIN = {"main": (NATION_YEAR, "ny", ["d"]), "r1": (NATION_YEAR, "(SELECT * FROM ny WHERE t <> 2001)", ["d"]), "r2": (NATION_YEAR, "ny", ["d", "x"])}
+
+
+@query(f"WITH {NATION_YEAR}, " + ", ".join(f"{i}z AS (SELECT *, {', '.join(f'{_TWO_WAY.format(v=v)} AS {v}w' for v in ('y', *xs))} FROM {source} _), {several(f'{i}z', xs, f'{_TWO_K} + {len(xs) - 1}', name=i)}" for i, (_, source, xs) in _AGAIN.items()) + " " + " UNION ALL ".join(f"SELECT '{i}' AS id, 'consistent' AS status, 'reproduction' AS origin, round(b0, 7) AS coef, round(sqrt(v0_0), 7) AS se, n::BIGINT AS n_obs FROM {i}" for i in _AGAIN))
 def reproduction_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recomputed estimates, and whether they agree with those of the analysis."""
     raw = panels.nation_year(spark, sf_dir).persist()
     spec = replace(_spec(treatment="d"), robustness=(Check("r1", "exclude_years", {"years": [2001]}), Check("r2", "add_controls", {"controls": ["log1p(n)"]})))
-    out = analysis.reproduce(spec, raw, analysis.estimate(spec, raw), analysis.robustness(spec, raw))
-    return _rows(spark, [{"id": r["id"], "status": r["status"], "origin": r["origin"], "max_relative_diff": r["max_relative_diff"]} for r in out["rows"]], "id string, status string, origin string, max_relative_diff double")
+    try:
+        out = analysis.reproduce(spec, raw, analysis.estimate(spec, raw), analysis.robustness(spec, raw))
+    finally:
+        raw.unpersist()
+    return _rows(spark, [r | {k: r[k] if r[k] is None else round(r[k], 7) for k in ("coef", "se")} for r in out["rows"]], "id string, status string, origin string, coef double, se double, n_obs long")
