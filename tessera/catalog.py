@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import evidence_queries, statistics_queries
+from tessera.plans import evidence_queries, state_queries, statistics_queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return statistics_queries.QUERIES | evidence_queries.QUERIES
+    return statistics_queries.QUERIES | evidence_queries.QUERIES | state_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return statistics_queries.ORACLES | evidence_queries.ORACLES
+    return statistics_queries.ORACLES | evidence_queries.ORACLES | state_queries.ORACLES

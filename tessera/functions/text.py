@@ -91,7 +91,56 @@ def display_number(value: float | None) -> str:
     return f"{value:.3e}" if size < 1e-3 or size >= 1e6 else f"{value:.4g}"
 
 
-format_number_udf = F.udf(lambda v: format_number(None if v is None else v), T.StringType())
+@F.pandas_udf(T.StringType())
+def format_number_udf(value: pd.Series) -> pd.Series:
+    return value.map(lambda v: format_number(None if v != v else v), na_action=None)
+
+
+@F.pandas_udf(T.StringType())
+def display_number_udf(value: pd.Series) -> pd.Series:
+    return value.map(lambda v: display_number(None if v is None or v != v else v), na_action=None)
+
+
+def json_set(text: Column, values: dict[str, Column]) -> Column:
+    """A flat JSON object of texts with keys set; other texts stay as they are."""
+    new = F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)])
+    return _as_object(text, lambda m: F.map_concat(F.map_filter(m, lambda k, v: ~k.isin(list(values))), new))
+
+
+def json_remove(text: Column, keys: list[str]) -> Column:
+    return _as_object(text, lambda m: F.map_filter(m, lambda k, v: ~k.isin(keys)))
+
+
+def json_move(text: Column, old: str, new: str) -> Column:
+    """The value of ``old`` under the name ``new``, unless that is there already."""
+    value = F.get_json_object(text, f"$.{new}")
+    moved = json_remove(json_set(text, {new: F.coalesce(value, F.get_json_object(text, f"$.{old}"))}), [old])
+    return F.when(F.get_json_object(text, f"$.{old}").isNotNull(), moved).otherwise(text)
+
+
+def _as_object(text: Column, change) -> Column:
+    own = F.from_json(text, "map<string,string>")
+    return F.when(text.rlike(r"^\s*\{") & own.isNotNull(), F.to_json(change(own))).otherwise(text)
+
+
+def hash_pick(text: Column, choices: list[str]) -> Column:
+    """One of the choices by a rolling hash (times 31, modulo 2^32) of the text."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    h = F.aggregate(codes, F.lit(0).cast("long"), lambda a, c: (a * 31 + c) % (1 << 32))
+    return F.get(F.array(*[F.lit(c) for c in choices]), (h % len(choices)).cast("int"))
+
+
+def base_url(col: Column) -> Column:
+    """A valid base without slashes at its end; NULL for others."""
+    return F.when(valid_base_url(col), F.regexp_replace(col, "/+$", ""))
+
+
+def folded_sections(text: Column, keep: int, into: int) -> Column:
+    """The first ``keep`` sections; those beyond are added to the body of section ``into`` (from 0)
+    under headings of the third level."""
+    own = sections(text)
+    more = F.transform(F.slice(own, keep + 1, F.greatest(F.size(own) - keep, F.lit(0))), lambda s: F.concat(F.lit("\n\n### "), s["title"], F.lit("\n\n"), s["body"]))
+    return F.transform(F.slice(own, 1, keep), lambda s, i: F.struct(s["title"].alias("title"), F.when(i == into, F.concat(s["body"], F.array_join(more, ""))).otherwise(s["body"]).alias("body")))
 
 
 def inject(text: Column, numbers: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# What a model is shown of the evidence.
+MOST_CARDS, CANDIDATE_CHARS, PROPOSAL_CHARS = 80, 1200, 800
+
 
 def testability() -> Column:
     """10 to 98: more evidence, a stated identification, a feasible position, fewer risks."""
@@ -36,6 +39,14 @@ def ranked_cards(cards: DataFrame, text: Column, terms: list[str]) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w))
 
 
+def evidence_context(cards: DataFrame, longest: int, most: int = MOST_CARDS) -> DataFrame:
+    """project_id, place, id, title, year, abstract: the first cards (position) of each project that
+    are included, with the abstract, or else the excerpt, cut to ``longest`` characters."""
+    place = F.row_number().over(Window.partitionBy("project_id").orderBy("position"))
+    text = F.coalesce(F.nullif("abstract", F.lit("")), F.nullif("fulltext_excerpt", F.lit("")), F.lit(""))
+    return cards.where("included").withColumn("place", place).where(F.col("place") <= most).select("project_id", "place", "id", "title", "year", F.substring(text, 1, longest).alias("abstract"))
+
+
 def direction_card(directions: DataFrame) -> DataFrame:
     """Parts of a direction (id, constraints): variables, keywords, region, period, claim, data
     and other lines."""

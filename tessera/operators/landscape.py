@@ -64,6 +64,11 @@ def top_cited(records: DataFrame, top: int = TOP_CITED) -> DataFrame:
     return records.orderBy(F.desc_nulls_last("cited_by"), "position").limit(top)
 
 
+def newest_first(records: DataFrame, top: int) -> DataFrame:
+    """The newest records; those without a year come last, and earlier positions first in ties."""
+    return records.orderBy(F.desc_nulls_last("year"), "position").limit(top)
+
+
 def year_histogram(records: DataFrame, column: str, bins: int = 8) -> DataFrame:
     """bin, from_year, to_year, n: whole-year bins of equal width, at most ``bins``."""
     ends = records.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).withColumn("w", F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / bins)).cast("int"))

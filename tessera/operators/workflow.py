@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,6 +135,84 @@ def add_columns(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     return df.withColumns({n: c for n, c in defaults.items() if n not in df.columns})
 
 
+def affected(events: DataFrame, entities: DataFrame) -> DataFrame:
+    """project_id, tables: names of the tables that events of a project have made stale."""
+    hit = cascade(events, entities.withColumn("stale", F.lit(False))).where("stale")
+    return hit.groupBy("project_id").agg(F.array_sort(F.collect_set("table")).alias("tables"))
+
+
+def evidence_changed(before: DataFrame, after: DataFrame, sets: DataFrame) -> DataFrame:
+    """Candidate sets (project_id, stale, ...), stale where the included evidence of the project
+    (project_id, id, included, ...) is not what it was. Plans and runs stay."""
+    whole = F.struct(*[F.col(c) for c in before.columns if c not in ("project_id", "included")])
+    seen = lambda d: d.where("included").groupBy("project_id").agg(F.array_sort(F.collect_list(whole)).alias("all"))
+    none = F.array()
+    both = seen(before).withColumnRenamed("all", "old").join(seen(after), "project_id", "full")
+    moved = both.where(~F.coalesce("old", none).eqNullSafe(F.coalesce("all", none))).select("project_id", F.lit(True).alias("_moved"))
+    return sets.join(moved, "project_id", "left").withColumn("stale", F.col("stale") | F.coalesce("_moved", F.lit(False))).select(*sets.columns)
+
+
+def dataset_changed(changed: DataFrame, bindings: DataFrame, runs: DataFrame, owners: DataFrame, entities: DataFrame) -> DataFrame:
+    """Entities stale where a dataset (dataset_id) that their project refers to has changed."""
+    events = dataset_projects(bindings, runs, owners).join(changed.select("dataset_id").distinct(), "dataset_id", "left_semi").select("project_id", F.lit("data").alias("event")).distinct()
+    return cascade(events, entities)
+
+
+def completed(projects: DataFrame, proposals: DataFrame) -> DataFrame:
+    """project_id, completed: whether the newest proposal (project_id, version, confirmed_at, stale)
+    is confirmed and not stale."""
+    newest = latest(proposals, "project_id", "version").select("project_id", (F.col("confirmed_at").isNotNull() & ~F.col("stale")).alias("completed"))
+    return projects.select("project_id").join(newest, "project_id", "left").select("project_id", F.coalesce("completed", F.lit(False)).alias("completed"))
+
+
+def stale_at_write(runs: DataFrame, plans: DataFrame, bindings: DataFrame) -> DataFrame:
+    """Runs (id, plan_id, stale, snapshot) as they are written: stale if the plan (plan_id, status,
+    stale) went stale or is not confirmed, or its binding (plan_id, binding) is not the snapshot."""
+    now = runs.join(plans.select("plan_id", "status", F.col("stale").alias("_plan")), "plan_id", "left").join(bindings.select("plan_id", "binding"), "plan_id", "left")
+    gone = F.coalesce(F.col("_plan"), F.lit(True)) | F.coalesce(F.col("status") != "confirmed", F.lit(True)) | ~F.col("snapshot").eqNullSafe(F.col("binding"))
+    return now.withColumn("stale", F.col("stale") | gone).select(*runs.columns)
+
+
+def plan_dataset(plans: DataFrame, bindings: DataFrame, datasets: DataFrame) -> DataFrame:
+    """project_id, version, dataset_id and the dataset's columns for the newest plan of each project
+    that is bound to a dataset."""
+    bound = plans.select("project_id", "plan_id", "version").join(bindings.select("plan_id", "dataset_id"), "plan_id").join(datasets, "dataset_id")
+    return latest(bound, "project_id", "version").drop("plan_id")
+
+
+def bound_datasets(plans: DataFrame, bindings: DataFrame, datasets: DataFrame) -> DataFrame:
+    """project_id and datasets that any of its plans is bound to."""
+    pairs = plans.select("project_id", "plan_id").join(bindings.select("plan_id", "dataset_id"), "plan_id").select("project_id", "dataset_id").distinct()
+    return pairs.join(datasets, "dataset_id")
+
+
+def newest_with(sets: DataFrame, members: DataFrame, parent: str, key: str, name: str) -> DataFrame:
+    """The newest set (parent, key, version) of each parent with its members, in order of seq, as an
+    array called ``name``."""
+    fields = [c for c in members.columns if c != key]
+    nested = members.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", *[c for c in fields if c != "seq"]))).alias(name))
+    return latest(sets, parent, "version").join(nested, key, "left").withColumn(name, F.coalesce(name, F.array()))
+
+
+def public(df: DataFrame, private: Sequence[str] = ("file_path",)) -> DataFrame:
+    """Without columns that don't leave the house."""
+    return df.drop(*private)
+
+
+def identified(df: DataFrame, prefix: str, key: str = "id", created: str = "created_at") -> DataFrame:
+    """With a new identifier and the time for rows that have none. Write the result before it is
+    used twice, as identifiers are drawn anew."""
+    new = F.concat(F.lit(prefix + "_"), F.replace(F.uuid(), F.lit("-"), F.lit("")))
+    have = lambda c: F.col(c) if c in df.columns else F.lit(None)
+    return df.withColumns({key: F.coalesce(have(key).cast("string"), new), created: F.coalesce(have(created).cast("timestamp"), F.current_timestamp())})
+
+
+def included_counts(projects: DataFrame, evidence: DataFrame) -> DataFrame:
+    """project_id, n_included, also of projects without evidence."""
+    n = evidence.groupBy("project_id").agg(F.count_if("included").alias("n_included"))
+    return projects.select("project_id").join(n, "project_id", "left").select("project_id", F.coalesce("n_included", F.lit(0)).cast("long").alias("n_included"))
+
+
 def usage(calls: DataFrame, by: list[str] = ()) -> DataFrame:
     """n_calls, input_tokens, output_tokens."""
     facts = [F.count("*").alias("n_calls"), F.coalesce(F.sum("input_tokens"), F.lit(0)).alias("input_tokens"), F.coalesce(F.sum("output_tokens"), F.lit(0)).alias("output_tokens")]

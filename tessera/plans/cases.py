@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.errors import EngineError
 from tessera.functions.formula import resolve
@@ -71,7 +72,8 @@ def readiness(df: DataFrame, roles: dict[str, list[str]], binding: dict[str, str
         problems = {"fewer than 10 valid rows": sample["n_valid"] < 10, "keys repeat": sample["duplicates"] > 0, "fewer than two units or periods": sample["n_units"] < 2 or sample["n_periods"] < 2}
         if method_family == "policy_causal":
             problems |= {"the treatment is not 0 or 1": not sample["binary_treatment"], "exposed and never exposed units are needed": bool(sample["binary_treatment"]) and not (sample["treated_units"] and sample["control_units"])}
-        spread = ready.dropna().agg({one("treatment"): "approx_count_distinct", one("outcome"): "approx_count_distinct"}).first()
-        problems |= {"the treatment does not vary": spread[f"approx_count_distinct({one('treatment')})"] < 2, "the outcome does not vary": spread[f"approx_count_distinct({one('outcome')})"] < 2}
+        varies = lambda r: F.coalesce(F.min(one(r)) < F.max(one(r)), F.lit(False)).alias(r)
+        spread = ready.dropna().agg(varies("treatment"), varies("outcome")).first()
+        problems |= {"the treatment does not vary": not spread["treatment"], "the outcome does not vary": not spread["outcome"]}
         todo += [p for p, is_so in problems.items() if is_so]
     return {"status": "not_ready" if todo else "ready", "missing": missing, "todo": todo, "sample": sample}

@@ -89,7 +89,11 @@ def record_merge_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("position", "doi", F.array_join("sources", ",").alias("sources"), "cited_by", "members")
 
 
-@query()
+@query(r"""WITH r AS (SELECT doc_id AS pos, source, lang, n_chars, CASE WHEN doc_id % 2 = 0 THEN '10.1/' || substr(md5(text), 1, 16) END AS doi, split_part(text, chr(10), 1) AS title, regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{Nd}\p{Nl}\p{No}_]', '', 'g') AS k FROM documents),
+w AS (SELECT *, min(pos) OVER b AS start, last_value(doi IGNORE NULLS) OVER b AS last FROM r WINDOW b AS (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+h AS (SELECT doi, arg_min(CASE WHEN last IS NULL THEN coalesce(start, pos) ELSE pos END, pos) AS home FROM w WHERE doi IS NOT NULL GROUP BY doi),
+c AS (SELECT w.*, coalesce(h.home, start, pos) AS cluster FROM w LEFT JOIN h ON h.doi = coalesce(w.doi, w.last))
+SELECT cluster AS "position", arg_min(doi, pos) AS doi, arg_min(title, pos) AS title, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max(n_chars) AS cited_by, count(*)::BIGINT AS members FROM c GROUP BY cluster""".replace("\\p", "\p"))
 def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = records.merge(_records(spark, sf_dir, False))
     return m.select("position", "doi", "title", F.array_join("sources", ",").alias("sources"), "cited_by", "members")

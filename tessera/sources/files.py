@@ -128,6 +128,21 @@ def inspect(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)], "seq int, name string, type string")
 
 
+def inspect_file(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """seq, name, type, label (of Stata columns), format, sheets (of Excel files)."""
+    kind, labels, sheets = kind_of(path), {}, []
+    if kind == "dta":
+        import pandas as pd
+
+        with pd.read_stata(path, iterator=True) as r:
+            labels = r.variable_labels()
+    elif kind == "xlsx":
+        sheets = excel_header(path, sheet)[1]
+    fields = read(spark, path, sheet=sheet).schema.fields
+    rows = [(i, f.name, f.dataType.simpleString(), labels.get(f.name) or None, kind, sheets) for i, f in enumerate(fields)]
+    return spark.createDataFrame(rows, "seq int, name string, type string, label string, format string, sheets array<string>")
+
+
 def read_selected(spark: SparkSession, path: str, columns: list[str], sheet: str | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
     """The columns, in the order asked for. An empty file or one of too many rows is an error."""
     if not 1 <= len(columns) <= MOST_COLUMNS or len(set(columns)) != len(columns):
@@ -143,10 +158,14 @@ def read_selected(spark: SparkSession, path: str, columns: list[str], sheet: str
 
 
 def save(df: DataFrame, path: str, name: str) -> DataFrame:
-    """Writes the table as Parquet and returns its catalog row: name, path, n_rows, n_columns."""
+    """Writes the table as Parquet and returns its catalog row: name, path, n_rows, n_columns,
+    n_bytes, sha256 (over those of its files in order)."""
     df.write.mode("overwrite").parquet(path)
     spark = df.sparkSession
-    return spark.read.parquet(path).agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), F.lit(path).alias("path"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+    counted = spark.read.parquet(path).agg(F.count("*").alias("n_rows"))
+    files = file_facts(spark, path).where(F.col("path").endswith(".parquet")).agg(F.sum("length").alias("n_bytes"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("sha256"))
+    # two rows of one each
+    return counted.crossJoin(files).select(F.lit(name).alias("name"), F.lit(path).alias("path"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), "n_bytes", "sha256")
 
 
 def reload(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -182,25 +201,63 @@ RECORD_LINE = T.StructType(
 )
 
 
+# Limits of a library.
+MOST_LIBRARY_LINES, MOST_LIBRARY_BYTES, MOST_PDFS, MOST_PDF_BYTES = 2_000, 10 * 1024**2, 200, 30 * 1024**2
+LONGEST_TITLE, LONGEST_TEXT, LONGEST_EXCERPT = 2_000, 100_000, 12_000
+
+
 def read_library(lines: DataFrame) -> DataFrame:
-    """Records from lines (line, value) of JSON: the fields of RECORD_LINE, valid, and line. A
-    line that is no object, or has no text as title, is kept as invalid and can be reported."""
-    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", RECORD_LINE, {"mode": "PERMISSIVE"}))
-    title = F.get_json_object("value", "$.title")
-    is_text = F.col("value").rlike(r'"title"\s*:\s*"')
-    valid = F.col("value").rlike(r"^\s*\{") & title.isNotNull() & (F.trim(title) != "") & is_text & F.col("r.title").isNotNull()
+    """Records from lines (line, value) of JSON: the fields of RECORD_LINE, valid, and line. A line
+    that is no object, has no text as title, or a field of another type, is kept as invalid and can
+    be reported."""
+    own = F.from_json(F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")), "map<string,string>")
+    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", RECORD_LINE, {"mode": "PERMISSIVE"})).withColumn("own", own)
+    raw = lambda f: F.get_json_object("value", f"$.{f}")
+    typed = F.col("own").isNotNull()
+    for f in RECORD_LINE.fields:
+        there = raw(f.name).isNotNull()
+        quoted = F.col("value").rlike(rf'"{f.name}"\s*:\s*"')
+        good = raw(f.name).rlike(r"^-?\d+$") if isinstance(f.dataType, T.IntegerType) else quoted if isinstance(f.dataType, T.StringType) else raw(f.name).rlike(r'^\[\s*(?:"(?:[^"\\]|\\.)*+"\s*,?\s*)*+\]$')
+        typed = typed & (~there | good)
+    valid = typed & F.col("r.title").isNotNull() & (F.trim("r.title") != "")
     return parsed.select("line", "r.*", F.coalesce(valid, F.lit(False)).alias("valid"))
 
 
+def bad_lines(library: DataFrame) -> DataFrame:
+    """line, problem for the lines of a library that are left out."""
+    return library.where(~F.col("valid")).select("line", F.lit("invalid").alias("problem"))
+
+
+def scan_folder(spark: SparkSession, path: str, most_files: int = MOST_PDFS, most_bytes: int = MOST_PDF_BYTES) -> DataFrame:
+    """path, length, content, problem of the PDF files below a folder, by name: the first
+    ``most_files``, without content where a file is too large or is none. Reading their text takes
+    a parser, which is not part of this library."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
+    head = files.select("path").orderBy("path").limit(most_files)
+    kept = files.join(F.broadcast(head), "path", "left_semi")  # at most most_files rows
+    problem = F.when(F.col("length") > most_bytes, "too_large").when(F.col("length") == 0, "empty").when(F.substring(F.col("content"), 1, 4) != F.lit(b"%PDF"), "not_a_pdf")
+    return kept.select("path", "length", F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
+
+
+def merge_metadata(stored: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
+    """What a metadata table holds after a merge: of each key the row with the largest version, an
+    incoming one before a stored one."""
+    both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.select(*stored.columns).withColumn("_new", F.lit(1)))
+    whole = F.struct(*stored.columns)
+    return both.groupBy(F.col(key).alias("_k")).agg(F.max_by(whole, F.struct(version, "_new")).alias("r")).select("r.*")
+
+
 def document_record(texts: DataFrame) -> DataFrame:
     """path, title, doi, year, excerpt from texts (path, text, title of the file's metadata): the
-    title falls back to the first line of over five characters, then to the file's name."""
-    head = F.substring("text", 1, 100_000)
+    title falls back to the first line of over five characters, then to the file's name. The DOI
+    is looked for on the first page (first_page, or what comes before a form feed)."""
+    head = F.substring("text", 1, LONGEST_TEXT)
     line = F.get(F.filter(F.transform(F.split(head, r"\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 5), F.lit(0))
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), line, F.regexp_extract("path", r"([^/]+)$", 1))
-    doi = F.nullif(F.lower(F.regexp_extract(head, r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1)), F.lit(""))
-    year = F.nullif(F.regexp_extract(F.substring(head, 1, 5000), r"\b((?:19|20)\d{2})\b", 1), F.lit("")).cast("int")
-    return texts.select("path", title.alias("title"), doi.alias("doi"), year.alias("year"), F.substring(head, 1, 12_000).alias("excerpt"))
+    page = F.col("first_page") if "first_page" in texts.columns else F.substring_index("text", "\f", 1)
+    doi = F.nullif(F.lower(F.regexp_replace(F.regexp_extract(page, r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1), "[.,;]+$", "")), F.lit(""))
+    year = F.nullif(F.regexp_extract(F.substring(head, 1, 5000), r"((?:19|20)\d{2})", 1), F.lit("")).cast("int")
+    return texts.select("path", F.substring(title, 1, LONGEST_TITLE).alias("title"), doi.alias("doi"), year.alias("year"), F.substring(head, 1, LONGEST_EXCERPT).alias("excerpt"))
 
 
 def write_markdown(sections: DataFrame, path: str) -> None:
