@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.ranking import attach, carry_back, n_buckets, named_back, prefix, row_key
+from tessera.operators.tables import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 CYCLE = (5.0, 2.0, 1.0)
@@ -63,8 +64,9 @@ def mix(docs: DataFrame, quality: DataFrame, keep: list[str], cycle: tuple[float
     )
     rows = rows.join(quality.select(F.col("doc_id").alias("_id"), "quality_weight"), "_id", "left")
     u = (F.conv("_hex", 16, 10).cast("double") + 0.5) / float(2**52)
-    rows = rows.withColumn("_at", 1.0 - F.pow(u, 1.0 / F.coalesce("quality_weight", F.lit(1.0)))).withColumn("_b", F.floor(F.col("_at") * n))
-    sizes = docs.groupBy(F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("~")).alias("_src")).agg(F.sum(words(F.col("text"))).alias("source_size"))
+    # texts are read once; what follows ranks keys and sizes
+    rows = written(rows.withColumn("_at", 1.0 - F.pow(u, 1.0 / F.coalesce("quality_weight", F.lit(1.0)))).withColumn("_b", F.floor(F.col("_at") * n)), "sizes")
+    sizes = rows.groupBy("_src").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, cycle, budget, max_epochs)
     ranked = prefix(rows, ["_src"], "_b", [F.col("_at"), F.col("_hex")], F.col("size"), "_upto", "source_size", per_group=targets)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
