@@ -3,16 +3,20 @@
 Trusted positives (label 1) and unlabelled texts train a network of one hidden layer that
 minimises the non-negative unbiased risk  prior * E_pos[l(+)] + max(0, E_unl[l(-)] - prior *
 E_pos[l(-)]) with the logistic loss; where the second part falls below zero, its gradient is
-turned round. The class prior is the share of label 1 among trusted labels of the learning folds.
+turned round. The class prior is estimated from positives and unlabelled texts alone: a network
+that tells the two apart is fitted on one half of them, and on the other half the prior is the
+least ratio, over scores, of the shares of unlabelled texts and of positives above the score, as
+regions without negatives hold as much of the unlabelled texts as the prior says.
 
 Features are statistics of the whole text: shares of kinds of bytes, word lengths, repetition of
 words, neighbours and lines, and length; never labels, language, source or id. The fit takes a
-bounded sample chosen by a hash of the id, about ``positives`` labelled and ``unlabelled`` other
-texts, whose features alone reach the driver. Scoring reads every text.
+bounded sample chosen by a hash of id and text, about ``positives`` labelled and ``unlabelled``
+other texts and never over twice as many, whose features alone reach the driver. Scoring reads
+every text.
 
 Defined results: a null text scores as an empty one; labels that are null or without document do
-not count, repeated labels are averaged; without positives every score is the prior (0.5 if there
-are no labels). A null id is neither held out nor learned from. Rows are scored one by one.
+not count, repeated labels are averaged; without positives every score is 0.01 (0.5 if there are
+no labels). An empty table gives an empty result. A null id is neither held out nor learned from. Rows are scored one by one.
 """
 
 from __future__ import annotations
@@ -129,31 +133,43 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int
     return Scorer(mean, scale, *params)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.25) -> float:
+    """Share of positives among the unlabelled, 0.01 to 0.99. Scores that fewer than ``least`` of
+    the positives reach are left out, as few texts say little; under 20 texts give 0.5."""
+    if min(len(positive), len(unlabelled)) < 20:
+        return 0.5
+    scorer = fit(positive[::2], unlabelled[::2], 0.5, steps=200)
+    p, u = np.sort(scorer.score(positive[1::2])), np.sort(scorer.score(unlabelled[1::2]))
+    at = p[: max(1, int(len(p) * (1 - least)))]
+    above = lambda x: (len(x) - np.searchsorted(x, at)) / len(x)
+    return float(np.clip((above(u) / above(p)).min(), 0.01, 0.99))
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, off in t.column_blocks(batch.column(2)):
             x = features(data, off)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), FEATURES).cast(pa.list_(pa.float64()))], ["u", "label", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000, seed: int = 21) -> Scorer:
     """The scorer fitted on the rows whose id is not held out."""
     labels = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (fold(F.col("doc_id"), 5) != 0)).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     of = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    total = sum(of.values())
     if not of.get(1):
-        return constant(0.5 if not total else 0.01)
-    prior = min(0.99, max(0.01, of[1] / total))
-    chosen = labels.where("label = 1").where(unit_hash(F.lit(seed), F.col("doc_id")) < min(1.0, positives / of[1])).select("doc_id", F.lit(1).alias("label"))
+        return constant(0.01 if of else 0.5)
+    chosen = labels.where("label = 1").where(unit_hash(F.lit(seed), F.col("doc_id")) < min(1.0, positives / of[1])).select("doc_id")
     n = docs.count()
-    rows = docs.where(F.coalesce(fold(F.col("doc_id"), 5) != 0, F.lit(False))).select("doc_id", "text")
-    web = rows.where(unit_hash(F.lit(seed + 1), F.col("doc_id")) < min(1.0, unlabelled / max(1, n))).select("doc_id", F.lit(0).alias("label"), "text")
-    sample = rows.join(chosen, "doc_id").select("doc_id", "label", "text").unionByName(web).mapInArrow(_features, "doc_id long, label int, x array<double>")
-    got = sorted((r["label"], r["doc_id"], r["x"]) for r in sample.collect())
-    x, is_positive = np.array([g[2] for g in got]), np.array([g[0] == 1 for g in got])
-    if not is_positive.any() or is_positive.all():
-        return constant(prior)
-    return fit(x[is_positive], x[~is_positive], prior)
+    rows = docs.where(F.coalesce(fold(F.col("doc_id"), 5) != 0, F.lit(False))).select("doc_id", "text").withColumn("u", unit_hash(F.lit(seed + 1), F.col("doc_id"), F.col("text")))
+    trusted = rows.join(chosen, "doc_id").select("u", F.lit(1).alias("label"), "text")
+    web = rows.where(F.col("u") < min(1.0, unlabelled / max(1, n))).select("u", F.lit(0).alias("label"), "text")
+    x = []
+    for part, most in ((trusted, positives), (web, unlabelled)):
+        got = part.mapInArrow(_features, "u double, label int, x array<double>").orderBy("u", "x").limit(2 * most).collect()
+        x.append(np.array([r["x"] for r in got]))
+    if not (len(x[0]) and len(x[1])):
+        return constant(0.5)
+    return fit(*x, class_prior(*x))
 
 
 def score(docs: DataFrame, scorer: Scorer, text_col: str = "text", out_col: str = "score") -> DataFrame:
