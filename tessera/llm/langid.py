@@ -132,17 +132,26 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % folds
 
 
-def train(docs: DataFrame, per_language: int = 500, max_languages: int = 200, seed: int = 9) -> Network | None:
-    """The network fitted on the rows of ``docs`` (doc_id, text, lang) whose id is not held out."""
+def train(docs: DataFrame, per_language: int = 500, most_texts: int = 100_000, seed: int = 9) -> Network | None:
+    """The network fitted on the rows of ``docs`` (doc_id, text, lang) whose id is not held out: about
+    ``per_language`` of each language, fewer where they would be over ``most_texts`` in all, and
+    never over twice as many. No language is left out."""
     rows = docs.where((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
+    per_language = max(1, min(per_language, most_texts // len(counts)))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
     length = F.length("text")
     start = F.floor(unit_hash(F.lit(seed + 1), F.col("doc_id")) * F.greatest(length - SPAN, F.lit(0))).cast("int") + 1
-    sample = rows.where(F.col("lang").isin(*counts)).where(unit_hash(F.lit(seed), F.col("doc_id")) < rate).select("doc_id", "lang", F.substring("text", start, F.lit(SPAN)).alias("span"))
-    got = sorted((r["lang"], r["doc_id"], r["span"]) for r in sample.collect())
+    # the first text of each language by hash is always there
+    u = unit_hash(F.lit(seed), F.col("doc_id"), F.col("text"))
+    chosen = rows.withColumn("u", u).where(F.col("u") < rate).select("u", "lang", F.substring("text", start, F.lit(SPAN)).alias("span"))
+    firsts = rows.groupBy("lang").agg(F.min_by(F.struct(u.alias("u"), F.substring("text", start, F.lit(SPAN)).alias("span")), F.struct(u, "text")).alias("r")).select("r.u", "lang", "r.span")
+    sample = chosen.orderBy("u", "lang", "span").limit(2 * per_language * len(counts)).collect()
+    seen = {r["lang"] for r in sample}
+    sample += [r for r in firsts.collect() if r["lang"] not in seen] if set(counts) - seen else []
+    got = sorted((r["lang"], r["u"], r["span"]) for r in sample)
     languages = sorted({x[0] for x in got})
     if not languages:
         return None
