@@ -107,6 +107,23 @@ def test_vectors_equal_brute_force(spark, monkeypatch, block):
     assert projection_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_recall_just_above_the_threshold(spark):
+    """1,500 pairs at 0.8 to 0.85: 100 words of which two, apart from each other, are changed."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows = []
+    for i in range(1500):
+        a = [word() for _ in range(100)]
+        b = list(a)
+        for at in (rnd.randrange(5, 45), rnd.randrange(55, 95)):
+            b[at] = word()
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+        assert 0.8 <= len(x & y) / len(x | y) < 0.85
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (got.class_id == got.doc_id // 2 * 2).mean() >= 0.999 and got.n_links.max() == 1
+
+
 @pytest.mark.parametrize("window", [128, 8])
 def test_planted_pairs_are_found_with_long_codes(spark, monkeypatch, window):
     """12,000 vectors of two labels, 300 planted pairs from 0.98 to 0.99 and one dense cluster."""
