@@ -38,8 +38,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near copies: the smallest id, nulls last, of equal ones
-    the smaller text. Texts of fewer than five words are near only to texts of the same words;
-    repeated rows are one class, and so are all null and empty texts."""
+    the smaller hash of the text. Texts of fewer than five words are near only to texts of the same
+    words; repeated rows are one class; texts without words, as null ones, have none and stay."""
     return ngram_join.keep_one(docs)
 
 
