@@ -11,9 +11,11 @@ from tessera.functions import distributions
 from tessera.functions import fixed_values as fv
 from tessera.functions import text as tx
 from tessera.functions.formula import canonical, formula, substitute
-from tessera.operators import candidates, gates, landscape, records, validation, workflow
+from tessera.operators import analysis, candidates, gates, landscape, records, validation, workflow
 from tessera.operators.tables import shared_path
-from tessera.plans import cases, evidence_queries
+from tessera.plans import cases, evidence_queries, panels
+from tessera.plans.panels import CUSTOMER_YEAR
+from tessera.plans.spec import compile_spec, field_semantics
 from tessera.plans.sql_inference import with_reach
 from tessera.sources import files
 from tessera.tables import table
@@ -171,6 +173,58 @@ def t_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n, round(distributions.t_ppf(0.975, n), 8)) for n in (1, 2, 3, 10, 24, 29, 179, 1000)], "df long, reach double")
 
 
+_CASE_ROWS = [("exclude_years", "exclude_years", "2020,2021"), ("drop_controls", "drop_controls", "log(total_assets),leverage,return_on_assets"), ("alt_outcome", "alt_outcome", "log1p(green_all_independent + green_all_joint)"), ("monotone_only", "monotone_only", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{k}', '{a}')" for i, k, a in _CASE_ROWS) + ") t(id, kind, args)")
+def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example case compiled: roles and binding to a specification, with its checks."""
+    compiled = compile_spec(cases.CASE_ROLES, cases.CASE_BINDING, cases.CASE_CHECKS)
+    rows = [(c.id, c.kind, ",".join(str(x) for v in c.args.values() for x in (v if isinstance(v, list) else [v]))) for c in compiled.robustness]
+    return spark.createDataFrame(rows, "id string, kind string, args string")
+
+
+@query("SELECT * FROM (VALUES ('a', 'real_assignment'), ('b', 'peer_exposure'), ('a * b', 'peer_exposure'), ('log1p(a) + a', 'real_assignment'), ('a + c', 'unknown')) t(treatment, semantics)")
+def treatment_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = {"a": "real_assignment", "b": "peer_exposure"}
+    return spark.createDataFrame([(x, field_semantics(x, known)) for x in ("a", "b", "a * b", "log1p(a) + a", "a + c")], "treatment string, semantics string")
+
+
+@query(f"""WITH {CUSTOMER_YEAR}, u AS (SELECT unit, max(d) AS ever FROM cy GROUP BY unit)
+SELECT CASE WHEN count(*) >= 10 AND count(DISTINCT unit) >= 2 AND count(DISTINCT t) >= 2 AND min(d) < max(d) AND min(y) < max(y) AND (SELECT count(DISTINCT ever) FROM u) = 2 THEN 'ready' ELSE 'not_ready' END AS status, count(*)::BIGINT AS n_valid, (SELECT count(*) FILTER (ever = 1) FROM u)::BIGINT AS treated_units FROM cy""")
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    roles = {"outcome": ["out"], "treatment": ["treat"], "unit": ["firm"], "time": ["year"], "control": ["size"]}
+    found = cases.readiness(panels.customer_year(spark, sf_dir), roles, {"out": "y", "treat": "d", "firm": "unit", "year": "t", "size": "log1p(n)"}, True, True)
+    return spark.createDataFrame([(found["status"], found["sample"]["n_valid"], found["sample"]["treated_units"])], "status string, n_valid long, treated_units long")
+
+
+_FIRST = "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'failed' ELSE 'succeeded' END AS own, o_totalprice AS coef, o_custkey::DOUBLE AS se FROM orders WHERE o_orderkey % 13 <> 0"
+_AGAIN = "SELECT o_orderkey::VARCHAR AS id, o_totalprice * (1 + CASE WHEN o_orderkey % 7 = 0 THEN 0.001 ELSE 0 END) AS coef, o_custkey::DOUBLE AS se FROM orders WHERE o_orderkey % 17 <> 0"
+_COMPARED = f"""w AS (SELECT o_orderkey::VARCHAR AS id FROM orders), f AS ({_FIRST}), g AS ({_AGAIN}),
+b AS (SELECT w.id, f.own, g.id IS NULL AS lost, f.id IS NULL AS alone, greatest(abs(g.coef - f.coef) / greatest(abs(f.coef), 1e-8), abs(g.se - f.se) / greatest(abs(f.se), 1e-8)) AS gap FROM w LEFT JOIN f USING (id) LEFT JOIN g USING (id)),
+c AS (SELECT id, CASE WHEN own = 'failed' OR lost THEN 'failed' WHEN alone THEN 'uncompared' WHEN gap < 1e-6 THEN 'consistent' ELSE 'inconsistent' END AS status, CASE WHEN own = 'failed' THEN 'analysis' ELSE 'reproduction' END AS origin, CASE WHEN own = 'failed' THEN 0.0 ELSE coalesce(gap, 0.0) END AS gap FROM b)"""
+
+
+def _estimates_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as estimates, some of them changed, lost or failed, beside themselves."""
+    o = table(spark, sf_dir, "orders").withColumn("id", F.col("o_orderkey").cast("string"))
+    i = F.col("o_orderkey")
+    others = [F.lit(None).cast("double").alias(c) for c in ("t", "p", "n_obs", "ci_low", "ci_high")]
+    first = o.where(i % 13 != 0).select("id", F.when(i % 11 == 0, "failed").otherwise("succeeded").alias("own"), F.col("o_totalprice").alias("coef"), F.col("o_custkey").cast("double").alias("se"), *others)
+    again = o.where(i % 17 != 0).select("id", F.lit("succeeded").alias("own"), (F.col("o_totalprice") * (1 + F.when(i % 7 == 0, 0.001).otherwise(0.0))).alias("coef"), F.col("o_custkey").cast("double").alias("se"), *others)
+    return analysis.compared(o.select("id"), first, again)
+
+
+@query(f"WITH {_COMPARED} SELECT id, status, origin, round(gap, 9)::DOUBLE AS max_relative_diff FROM c")
+def estimates_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimates_compared(spark, sf_dir).select("id", "status", "origin", F.round("max_relative_diff", 9).alias("max_relative_diff"))
+
+
+@query(f"WITH {_COMPARED} SELECT bool_and(status = 'consistent') FILTER (origin <> 'analysis') AS consistent, false AS main_consistent, round(max(gap), 9)::DOUBLE AS max_relative_diff FROM c")
+def estimates_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.agreement(_estimates_compared(spark, sf_dir)).withColumn("max_relative_diff", F.round("max_relative_diff", 9))
+
+
 # -- records and landscape -------------------------------------------------------------------------
 
 
@@ -381,6 +435,24 @@ def metadata_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", gates.without_metadata(text, ["10.5/ab", "Title One"], [("Smith", "2001")]).alias("text"))
 
 
+_SAYS = ["It led to growth", "We see no 7 of them", "As {{num:main.coef}} shows", "As {{num:other}} shows", "Nothing here"]
+
+
+@query(f"SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{fv.TOO_STRONG}' WHEN 1 THEN '{fv.BARE_NUMBER}' WHEN 3 THEN '{fv.UNKNOWN_PLACEHOLDER}' ELSE '' END AS issues FROM documents")
+def paragraph_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", _lit(_SAYS, F.col("doc_id") % 5).alias("text"))
+    return gates.issues(d, "text", ["main.coef"], "associational").select("doc_id", F.array_join("issues", "；").alias("issues"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '' WHEN doc_id % 3 = 0 THEN '促进|caused' ELSE 'effect of' END AS words FROM documents")
+def wording_by_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chinese words before English ones; titles and denials don't count; a strong claim may say all."""
+    i = F.col("doc_id")
+    text = F.when(i % 3 == 0, "It caused this, 促进 growth, 不能推断因果").otherwise("《On causing》 The effect of x; known title drives on")
+    strength = F.when(i % 2 == 0, "causal_cautious").otherwise("associational")
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(gates.causal_words(text, strength, ["known title drives"]), "|").alias("words"))
+
+
 @query("""WITH p AS (SELECT doc_id % 50 AS text_id, doc_id AS paragraph, doc_id % 7 = 0 AS bad FROM documents)
 SELECT text_id, CASE WHEN count(*) FILTER (bad) = 0 THEN 'accepted' ELSE 'repair' END AS outcome, coalesce(array_to_string(list_sort(list(paragraph) FILTER (bad)), ','), '') AS repair FROM p GROUP BY text_id""")
 def section_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -307,6 +307,11 @@ def _robust(spark: SparkSession, sf_dir: str, check: Check, **more) -> DataFrame
     return _estimated(spark, *analysis.rewritten(_spec(treatment="d", **more), check, raw))
 
 
+@query(_robust_sql())
+def main_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _estimated(spark, _spec(treatment="d"), panels.customer_year(spark, sf_dir))
+
+
 @query(_robust_sql())
 def robust_drop_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _robust(spark, sf_dir, Check("1", "drop_controls"), controls=("log1p(n)",))
