@@ -187,9 +187,9 @@ def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.verdicts(spark.sql(grid_sql())).select("id", "verdict", "max_strength")
 
 
-@query(r"""WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' It was caused by this, and PROMOTES growth.' WHEN 1 THEN ' This does not imply causality.' ELSE ' The effect of x led to y.' END AS text FROM documents),
-c AS (SELECT doc_id, regexp_replace(text, '(?i)does not (?:establish|imply|demonstrate) causality|cannot (?:infer|establish) causality', '', 'g') AS text FROM t)
-SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '(?i)\b(?:caus(?:e[sd]?|ing|al(?:ity)?)|promot(?:e[sd]?|ing)|induc(?:e[sd]?|ing)|driv(?:e[sn]?|ing)|led to|leads? to|effect of)\b')), '|') AS words FROM c""".replace("array_to_string(list_distinct(", "array_to_string(list_sort(list_distinct(").replace(r")\b')), '|')", r")\b'))), '|')"))
+@query(f"""WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' It was caused by this, and PROMOTES growth.' WHEN 1 THEN ' This does not imply causality.' ELSE ' The effect of x led to y.' END AS text FROM documents),
+c AS (SELECT doc_id, regexp_replace(text, '(?i){fv.DENIALS}', '', 'g') AS text FROM t)
+SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i){fv.ENGLISH_CAUSAL}'))), '|') AS words FROM c""")
 def wording_scan_en(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.when(F.col("doc_id") % 3 == 0, " It was caused by this, and PROMOTES growth.").when(F.col("doc_id") % 3 == 1, " This does not imply causality.").otherwise(" The effect of x led to y.")
     d = table(spark, sf_dir, "documents").select("doc_id", gates.causal_words(F.concat("text", end)).alias("w"))
