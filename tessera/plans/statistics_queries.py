@@ -409,7 +409,7 @@ def permutation_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AGAIN = {"main": (NATION_YEAR, "ny", ["d"]), "r1": (NATION_YEAR, "(SELECT * FROM ny WHERE t <> 2001)", ["d"]), "r2": (NATION_YEAR, "ny", ["d", "x"])}
 
 
-@query(f"WITH {NATION_YEAR}, " + ", ".join(f"{i}z AS (SELECT *, {', '.join(f'{_TWO_WAY.format(v=v)} AS {v}w' for v in ('y', *xs))} FROM {source} _), {several(f'{i}z', xs, f'{_TWO_K} + {len(xs) - 1}', name=i)}" for i, (_, source, xs) in _AGAIN.items()) + " " + " UNION ALL ".join(f"SELECT '{i}' AS id, 'consistent' AS status, 'reproduction' AS origin, round(b0, 7) AS coef, round(sqrt(v0_0), 7) AS se, n::BIGINT AS n_obs FROM {i}" for i in _AGAIN))
+@query(f"WITH {NATION_YEAR}, " + ", ".join(f"{unrolled(source, 40, ('y', *xs), f'{i}z')}, {several(f'{i}z40', xs, f'{_TWO_K} + {len(xs) - 1}', name=i)}" for i, (_, source, xs) in _AGAIN.items()) + " " + " UNION ALL ".join(f"SELECT '{i}' AS id, 'consistent' AS status, 'reproduction' AS origin, round(b0, 7) AS coef, round(sqrt(v0_0), 7) AS se, n::BIGINT AS n_obs FROM {i}" for i in _AGAIN))
 def reproduction_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recomputed estimates, and whether they agree with those of the analysis."""
     raw = panels.nation_year(spark, sf_dir).persist()
