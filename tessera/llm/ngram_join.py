@@ -203,9 +203,11 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     key = named(options["id_col"]).cast("long")
     classes = written(jaccard_classes(marked, carry=mark, **options).where("node is not null").select("doc_id", "component", mark), "classes")
     rows = classes.groupBy("component", "doc_id", mark).agg(F.count("*").alias("n"))
-    first = rows.groupBy("component", F.col("doc_id").isNull().alias("bare")).agg(F.min(F.struct(F.col("doc_id"), F.col(mark))).alias("first"))
-    judged = rows.join(first, (rows["component"] == first["component"]) & (rows["doc_id"].isNull() == first["bare"]))
-    is_first = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col(f"first.{mark}") == F.col(mark))
+    first = rows.groupBy("component", F.col("doc_id").isNull()).agg(F.min(F.struct(F.col("doc_id"), F.col(mark))).alias("first"))
+    first = first.select(F.col("component").alias("_component"), F.col("first.doc_id").alias("_first"), F.col(f"first.{mark}").alias("_hash"))
+    # joined by the whole row, so that a large class is spread over tasks
+    judged = rows.join(first, (F.col("component") == F.col("_component")) & F.col("doc_id").eqNullSafe(F.col("_first")) & (F.col(mark) == F.col("_hash")), "left")
+    is_first = F.col("_component").isNotNull()
     judged = judged.select(F.col("doc_id").alias("_id"), F.col(mark).alias("_mark"), F.when(~is_first, "gone").when(F.col("n") > 1, "repeated").alias(verdict)).where(F.col(verdict).isNotNull())
     judged = written(judged, "judged")
     of = lambda d: (key.eqNullSafe(d["_id"])) & (F.col(mark) == d["_mark"])
