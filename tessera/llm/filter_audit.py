@@ -78,19 +78,21 @@ def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     two = F.array(F.struct(mask.alias("m"), *[early[c].alias(c) for c in COUNTS]), F.struct((mask + 16).alias("m"), *[(F.col(c) - early[c]).alias(c) for c in COUNTS]))
     both = groups.join(of_key, KEY).select("part", F.inline(two))
     by_mask = both.groupBy("part", "m").agg(*[F.sum(c).alias(c) for c in COUNTS])  # at most 32 a part
-    return by_mask.groupBy("part").agg(*[F.sum(F.when(F.col("m") == m, F.col(c)).otherwise(0)).alias(f"{c}_{m}") for c in COUNTS for m in range(ALL)])
+    return by_mask.groupBy("part").agg(*[F.expr(f"sum(if(m = {m}, {c}, 0)) AS {c}_{m}") for c in COUNTS for m in range(ALL)])
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each part, order of the five filters and step."""
-    alive = {c: F.array(*[sum((F.col(f"{c}_{m}") for m in range(ALL) if not m & s), F.lit(0)) for s in range(ALL)]) for c in COUNTS}
-    table = cells(docs, labels).select("part", *[alive[c].alias(f"{c}_alive") for c in COUNTS], F.array(*[F.col(f"n_{1 << f}") for f in range(len(FILTERS))]).alias("alone"))
+    alive = {c: F.expr("array(" + ", ".join(" + ".join(f"{c}_{m}" for m in range(ALL) if not m & s) for s in range(ALL)) + ")") for c in COUNTS}
+    alone = F.expr("array(" + ", ".join(f"n_{1 << f}" for f in range(len(FILTERS))) + ")")
+    table = cells(docs, labels).select("part", *[alive[c].alias(f"{c}_alive") for c in COUNTS], alone.alias("alone"))
 
-    def gain(f: int) -> Column:
+    def gain(f: int) -> str:
+        """Over all orders, what the filter removes after each set of others."""
         weight = lambda s: factorial(s.bit_count()) * factorial(len(FILTERS) - 1 - s.bit_count())
-        return sum((F.lit(weight(s)) * (F.get("n_alive", F.lit(s)) - F.get("n_alive", F.lit(s | 1 << f))) for s in range(ALL) if not s >> f & 1), F.lit(0))
+        return " + ".join(f"{weight(s)} * (n_alive[{s}] - n_alive[{s | 1 << f}])" for s in range(ALL) if not s >> f & 1)
 
-    table = table.withColumn("gains", F.array(*[gain(f) for f in range(len(FILTERS))]))
+    table = table.withColumn("gains", F.expr("array(" + ", ".join(gain(f) for f in range(len(FILTERS))) + ")"))
     orders = ",".join("".join(p) for p in permutations(FILTERS))
     steps = table.withColumn("filter_order", F.explode(F.split(F.lit(orders), ","))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))))
     # filters before the step, and with it
