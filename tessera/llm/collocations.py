@@ -260,10 +260,10 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(tr
 p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
 t AS (SELECT lang, sum(len(w)) AS n FROM p GROUP BY lang),
 g0 AS (SELECT lang, k.range AS m, w, unnest(range(1, len(w) - k.range + 2)) AS i FROM p, range(1, 5) k WHERE len(w) >= k.range),
-g AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g0 GROUP BY 1, 2, 3 HAVING count(*) >= 30),
-c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m >= 2),
-s AS (SELECT c.lang, c.m, c.phrase, a, k.range AS k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM c, range(1, 4) k
-  JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k.range], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k.range + 1:c.m], ' ') WHERE k.range < c.m),
+g AS MATERIALIZED (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g0 GROUP BY 1, 2, 3 HAVING count(*) >= 30),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m >= 2),
+k AS MATERIALIZED (SELECT lang, m, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:m], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM c)),
+s AS (SELECT k.lang, k.m, k.phrase, a, k, x.f AS l, y.f AS r, (2000000::HUGEINT * a) // (x.f + y.f) AS score FROM k JOIN g x ON x.lang = k.lang AND x.phrase = head JOIN g y ON y.lang = k.lang AND y.phrase = rest),
 b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
 o AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ') AND 100::HUGEINT * c.a >= 80::HUGEINT * b.a))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o JOIN t USING (lang)
