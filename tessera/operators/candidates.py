@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ranks import ranked
+
 # What a model is shown of the evidence.
 MOST_CARDS, CANDIDATE_CHARS, PROPOSAL_CHARS = 80, 1200, 800
 
@@ -34,9 +36,7 @@ def ranked_cards(cards: DataFrame, text: Column, terms: list[str]) -> DataFrame:
     terms = [t for t in (x.strip().lower() for x in terms) if t]
     hits = sum((F.contains(low, F.lit(t)).cast("int") for t in terms), F.lit(0))
     scored = cards.withColumn("hit_ratio", hits / F.lit(float(len(terms))) if terms else F.lit(0.0))
-    # a project's list of cards is short; the order is within each project
-    w = Window.partitionBy("project_id").orderBy(F.desc("included"), F.desc("hit_ratio"), "position")
-    return scored.withColumn("place", F.row_number().over(w))
+    return ranked(scored, ["project_id"], [F.desc("included"), F.desc("hit_ratio"), F.asc("position")], "place")
 
 
 def evidence_context(cards: DataFrame, longest: int, most: int = MOST_CARDS) -> DataFrame:

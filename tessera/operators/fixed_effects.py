@@ -3,9 +3,10 @@
 Units are absorbed by demeaning; what time effects remain is one small linear system: with n_ut
 the cell counts, its matrix is diag(n_t) - sum_u n_ut n_us / n_u and its right side the sums of
 unit-demeaned values by period. Spark makes these sums, the Gram matrix and the cluster scores;
-the driver solves systems of the number of periods and of regressors. Nothing iterates, and an
+the driver solves systems of the number of periods and of regressors, and an
 unbalanced panel needs nothing special. A panel of more than MOST_PERIODS periods and a unit
-effect exchanges the roles if it has fewer units; if both are many, means are taken out in turn.
+effect exchanges the roles if it has fewer units; if both are many, the system is solved by
+conjugate gradients on tables of levels, without being made.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ MOST_PERIODS = 2000
 #: Means of an effect that may be sent to every task: some MB.
 MOST_LEVELS = 50_000
 ROUNDS = 500
+#: Of the residual, by the norm of the preconditioner, relative to the first.
+GRADIENT_TOLERANCE = 1e-13
 
 
 @dataclass
@@ -92,7 +95,7 @@ def demeaned(df: DataFrame, columns: list[str], effects: list[str], facts: Row |
     if facts[small] > facts[big]:
         big, small = small, big
     if facts[small] > MOST_PERIODS:
-        return _in_turn(df, columns, facts)
+        return _by_gradients(df, columns, facts, big, small)
     free = without_means(df, columns, big, facts[big])
     right = {r["s"]: r for r in free.groupBy(F.col(small).alias("s")).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"v{i}") for i, c in enumerate(columns)]).collect()}
     order = sorted(right)
@@ -109,19 +112,55 @@ def demeaned(df: DataFrame, columns: list[str], effects: list[str], facts: Row |
     return without_means(joined, columns, big, facts[big])
 
 
-def _in_turn(df: DataFrame, columns: list[str], facts: Row) -> DataFrame:
-    """Means by unit and time taken out in turn until nothing moves, relative to the scale."""
-    scale = max([1.0, *[float(x or 0) for x in df.agg(*[F.max(F.abs(c)) for c in columns]).first()]])
+def _times_system(cells: DataFrame, vector: DataFrame, names: list[str], levels: dict[str, int]) -> DataFrame:
+    """s and a_<name>, the system of levels of the smaller effect times the columns of ``vector`` (s,
+    n, names). cells: b, s, n and share, the cell's part of its level b. Vectors of up to
+    MOST_LEVELS levels are broadcast."""
+    near = lambda df, effect: F.broadcast(df) if levels[effect] <= MOST_LEVELS else df
+    means = cells.join(near(vector.select("s", *names), "s"), "s").groupBy("b").agg(*[F.sum(F.col("share") * F.col(c)).alias(f"m_{c}") for c in names])
+    taken = cells.join(near(means, "b"), "b").groupBy("s").agg(*[F.sum(F.col("n") * F.col(f"m_{c}")).alias(f"t_{c}") for c in names])
+    return vector.join(taken, "s").select(*vector.columns, *[(F.col("total") * F.col(c) - F.col(f"t_{c}")).alias(f"a_{c}") for c in names])
+
+
+def _by_gradients(df: DataFrame, columns: list[str], facts: Row, big: str, small: str) -> DataFrame:
+    """The columns freed of two effects with many levels each: the system of the smaller one's
+    levels is solved by conjugate gradients, preconditioned by its diagonal, for all columns at once.
+
+    The system is never made. A round multiplies it with a vector, which takes the cells of the two
+    effects and two vectors of levels, and writes one row for each level; the driver has a few
+    sums for each column. A panel that falls apart into unconnected sets needs nothing special."""
+    levels = {"b": facts[big], "s": facts[small]}
+    counted = df.groupBy(F.col(big).alias("b"), F.col(small).alias("s")).agg(F.count("*").cast("double").alias("n"))
+    whole = counted.groupBy("b").agg(F.sum("n").alias("of_b"))
+    cells = written(counted.join(whole, "b").select("b", "s", "n", (F.col("n") / F.col("of_b")).alias("share")), "cells")
+    free = without_means(df, columns, big, facts[big])
+    right = free.groupBy(F.col(small).alias("s")).agg(*[F.sum(c).alias(f"r{i}") for i, c in enumerate(columns)])
+    scale = cells.groupBy("s").agg(F.sum("n").alias("total"), (F.sum("n") - F.sum(F.col("n") * F.col("share"))).alias("_own"))
+    # a level whose cells are alone in theirs is free of all others
+    scale = scale.select("s", "total", F.when(F.col("_own") > 1e-9 * F.col("total"), F.col("_own")).otherwise(F.col("total")).alias("own"))
+    k = range(len(columns))
+    state = right.join(scale, "s").withColumns({f"x{i}": F.lit(0.0) for i in k}).withColumns({f"p{i}": F.col(f"r{i}") / F.col("own") for i in k})
+    first: list[float] = []
     for _ in range(ROUNDS):
-        after = df.withColumns({f"_{c}": F.col(c) for c in columns})
-        for effect in ("unit", "time"):
-            after = without_means(after, columns, effect, facts[effect])
-        after = written(after)
-        moved = max(float(x or 0) for x in after.agg(*[F.max(F.abs(F.col(c) - F.col(f"_{c}"))) for c in columns]).first())
-        df = after.drop(*[f"_{c}" for c in columns])
-        if moved < 1e-11 * scale:
-            return df
-    raise EngineError("demean_failed", f"means did not settle in {ROUNDS} rounds")
+        state = written(_times_system(cells, state, [f"p{i}" for i in k], levels), "gradients")
+        dot = lambda a, b, i: F.coalesce(F.sum(F.col(f"{a}{i}") * F.col(f"{b}{i}") / (F.lit(1.0) if a == "p" else F.col("own"))), F.lit(0.0)).alias(f"{a}{b}{i}")
+        sums = state.agg(*[dot(a, b, i) for i in k for a, b in (("p", "a_p"), ("r", "r"), ("r", "a_p"), ("a_p", "a_p"))]).first()
+        left = [sums[f"rr{i}"] for i in k]
+        first = first or left
+        live = [left[i] > GRADIENT_TOLERANCE**2 * first[i] and sums[f"pa_p{i}"] > 0 for i in k]
+        if not any(live):
+            break
+        step = [left[i] / sums[f"pa_p{i}"] if live[i] else 0.0 for i in k]
+        after = [left[i] - 2 * step[i] * sums[f"ra_p{i}"] + step[i] ** 2 * sums[f"a_pa_p{i}"] for i in k]
+        keep = [max(after[i], 0.0) / left[i] if live[i] else 0.0 for i in k]
+        residual = [F.col(f"r{i}") - F.lit(step[i]) * F.col(f"a_p{i}") for i in k]
+        state = state.select("s", "total", "own", *[residual[i].alias(f"r{i}") for i in k], *[(F.col(f"x{i}") + F.lit(step[i]) * F.col(f"p{i}")).alias(f"x{i}") for i in k], *[(residual[i] / F.col("own") + F.lit(keep[i]) * F.col(f"p{i}")).alias(f"p{i}") for i in k])
+    else:
+        raise EngineError("demean_failed", f"effects did not settle in {ROUNDS} rounds")
+    effect = state.select(F.col("s").alias("_level"), *[F.col(f"x{i}").alias(f"_g{i}") for i in k])
+    joined = df.join(F.broadcast(effect) if levels["s"] <= MOST_LEVELS else effect, F.col(small) == F.col("_level"))
+    joined = joined.withColumns({c: F.col(c) - F.col(f"_g{i}") for i, c in enumerate(columns)}).drop("_level", *[f"_g{i}" for i in k])
+    return without_means(joined, columns, big, facts[big])
 
 
 def fit(clean: DataFrame, regressors: list[str], effects: list[str], drop_absorbed: bool = False) -> Fit:

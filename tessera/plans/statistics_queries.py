@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.formula import formula
-from tessera.operators import analysis, panel
+from tessera.operators import analysis, panel, permutation
 from tessera.operators.fixed_effects import fit
 from tessera.plans import panels
 from tessera.plans.panels import CUSTOMER_YEAR, NATION_YEAR, USER_DAY
@@ -353,29 +353,25 @@ def interaction_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAWS = 99
 
 
-def _md5_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _md5_draws(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     """draw (0: observed), coef: units take each other's paths in the order of a digest of draw
-    and unit. On a balanced panel of nations."""
-    ny = panels.nation_year(spark, sf_dir)
-    units = ny.select("unit").distinct()
-    draws = spark.range(_DRAWS + 1).withColumnRenamed("id", "draw")
-    from pyspark.sql import Window
-
-    keyed = draws.crossJoin(F.broadcast(units))  # a stated list of draws for each of 25 nations
-    place = F.row_number().over(Window.partitionBy("draw").orderBy(F.when(F.col("draw") == 0, F.lpad(F.col("unit").cast("string"), 40, "0")).otherwise(F.md5(F.concat_ws("-", F.lit("42"), F.col("draw").cast("string"), F.col("unit").cast("string")).cast("binary")))))
-    donors = keyed.withColumn("place", place).select("draw", F.col("unit").alias("donor"), "place")
-    own = keyed.withColumn("place", F.row_number().over(Window.partitionBy("draw").orderBy("unit"))).select("draw", "unit", "place")
-    order = own.join(donors, ["draw", "place"]).select("draw", "unit", "donor")
-    both = order.join(F.broadcast(ny.select("unit", "t", "y")), "unit").join(F.broadcast(ny.select(F.col("unit").alias("donor"), "t", "a")), ["donor", "t"])
-    free = lambda c: F.col(c) - F.avg(c).over(Window.partitionBy("draw", "unit")) - F.avg(c).over(Window.partitionBy("draw", "t")) + F.avg(c).over(Window.partitionBy("draw"))
-    return both.withColumn("yw", free("y")).withColumn("dw", free("a")).groupBy("draw").agg((F.sum(F.col("yw") * F.col("dw")) / F.sum(F.col("dw") * F.col("dw"))).alias("coef"))
+    and unit, instead of that of a seeded generator. On a balanced panel of nations."""
+    spec, raw = _spec(**more), panels.nation_year(spark, sf_dir).persist()
+    try:
+        sample = permutation.sample_of(*analysis.permutation_sample(spec, raw), list(spec.fe), bool(spec.moderator))
+    finally:
+        raw.unpersist()
+    digest = F.md5(F.concat_ws("-", F.lit("42"), F.col("draw").cast("string"), F.col("unit").cast("string")).cast("binary"))
+    keyed = sample.index.withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_DRAWS).cast("long")))).withColumn("key", F.when(F.col("draw") == 0, F.lit("")).otherwise(digest))
+    orders = keyed.groupBy("draw").agg(F.transform(F.array_sort(F.collect_list(F.struct("key", "at"))), lambda x: x["at"].cast("int")).alias("donors"))  # 25 nations a draw
+    return permutation.coefficients(sample, orders, permutation.listed_orders)
 
 
 _MD5 = f"""WITH {NATION_YEAR}, u AS (SELECT DISTINCT unit FROM ny), dr AS (SELECT range AS draw FROM range({_DRAWS + 1})),
 dn AS (SELECT draw, unit AS donor, row_number() OVER (PARTITION BY draw ORDER BY CASE WHEN draw = 0 THEN lpad(unit::VARCHAR, 40, '0') ELSE md5('42-' || draw || '-' || unit) END) AS place FROM dr, u),
 ow AS (SELECT draw, unit, row_number() OVER (PARTITION BY draw ORDER BY unit) AS place FROM dr, u),
-bo AS (SELECT ow.draw, ow.unit, x.t, x.y, z.a FROM ow JOIN dn ON ow.draw = dn.draw AND ow.place = dn.place JOIN ny x ON x.unit = ow.unit JOIN ny z ON z.unit = dn.donor AND z.t = x.t),
-fr AS (SELECT draw, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY draw, unit) - avg({v}) OVER (PARTITION BY draw, t) + avg({v}) OVER (PARTITION BY draw) AS {v}w' for v in ('y', 'a'))} FROM bo),
+bo AS (SELECT ow.draw, ow.unit, x.t, x.y, z.a, x.x AS m, z.a * x.x AS z FROM ow JOIN dn ON ow.draw = dn.draw AND ow.place = dn.place JOIN ny x ON x.unit = ow.unit JOIN ny z ON z.unit = dn.donor AND z.t = x.t),
+fr AS (SELECT draw, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY draw, unit) - avg({v}) OVER (PARTITION BY draw, t) + avg({v}) OVER (PARTITION BY draw) AS {v}w' for v in ('y', 'a', 'm', 'z'))} FROM bo),
 co AS (SELECT draw::BIGINT AS draw, sum(yw * aw) / sum(aw * aw) AS coef FROM fr GROUP BY draw)"""
 
 
@@ -384,11 +380,19 @@ def permutation_md5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _md5_draws(spark, sf_dir).select("draw", F.round("coef", 8).alias("coef"))
 
 
+# by Cramer's rule
+@query(f"""{_MD5}, pr AS (SELECT draw::BIGINT AS draw, sum(aw * aw) AS aa, sum(aw * mw) AS am, sum(mw * mw) AS mm, sum(aw * zw) AS az, sum(mw * zw) AS mz, sum(zw * zw) AS zz, sum(yw * aw) AS ya, sum(yw * mw) AS ym, sum(yw * zw) AS yz FROM fr GROUP BY draw)
+SELECT draw, round((aa * (mm * yz - ym * mz) - am * (am * yz - ym * az) + ya * (am * mz - mm * az)) / (aa * (mm * zz - mz * mz) - am * (am * zz - mz * az) + az * (am * mz - mm * az)), 7) AS coef FROM pr""")
+def permutation_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws = _md5_draws(spark, sf_dir, method_family="mechanism_boundary", moderator="x")
+    return draws.select("draw", F.round("coef", 7).alias("coef"))
+
+
 @query(f"""{_MD5}, o AS (SELECT coef AS observed FROM co WHERE draw = 0)
 SELECT round((1 + count(*) FILTER (abs(coef) >= abs(observed))) / (count(*) + 1), 9) AS p, count(*)::BIGINT AS n, round(avg(coef), 8) AS mean, round(stddev_pop(coef), 8) AS std,
  round(quantile_cont(coef::DOUBLE, 0.025), 8) AS q025, round(quantile_cont(coef::DOUBLE, 0.975), 8) AS q975 FROM co, o WHERE draw > 0""")
 def permutation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = _md5_draws(spark, sf_dir).persist()
+    draws = _md5_draws(spark, sf_dir)
     observed = draws.where("draw = 0").first()["coef"]
     s = analysis.permutation_summary(float(observed), draws.where("draw > 0"))
     return s.select(F.round("p", 9).alias("p"), "n", *[F.round(c, 8).alias(c) for c in ("mean", "std", "q025", "q975")])
@@ -402,7 +406,11 @@ def permutation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observed, draws = analysis.permutation_draws(_spec(permutation_n=199), panels.customer_year(spark, sf_dir))
+    raw = panels.customer_year(spark, sf_dir).persist()
+    try:
+        observed, draws = analysis.permutation_draws(_spec(permutation_n=199), raw)
+    finally:
+        raw.unpersist()
     return analysis.permutation_summary(observed, draws)
 
 

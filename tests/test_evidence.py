@@ -55,6 +55,16 @@ def test_clusters_equal_a_search_record_by_record(spark):
             assert r.relevance == (sum(known(12)) or None) and r.cited_by == max((x[8] for x in own if x[8] is not None), default=None)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.02, 0.5, 1.0])
+def test_clusters_where_one_key_holds_all_records(spark, share):
+    """As untitled records without a year do; ranges of the key pass on what they know."""
+    rnd = random.Random(int(share * 100))
+    rows = [(i, f"10.1/{rnd.randrange(40)}" if rnd.random() < share else None, ":" if i % 17 else "rare") for i in rnd.sample(range(5000), 600)]
+    got = records.clusters(spark.createDataFrame(rows, "position long, doi string, key string").repartition(7)).collect()
+    assert len(got) == len(rows)
+    assert {r.position: r.cluster for r in got} == resolved(sorted(rows))
+
+
 def test_top_forty_are_included(spark):
     d = spark.range(55).select(F.col("id").alias("position"), (F.col("id") % 50).cast("double").alias("relevance"))
     got = records.include_top(d).where("included").collect()

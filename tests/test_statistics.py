@@ -84,7 +84,7 @@ def test_closed_form_equals_dummy_regression(spark, effects):
     assert got["inference_df"] == g - 1
 
 
-def test_means_in_turn_equal_the_closed_form(spark, monkeypatch):
+def test_gradients_equal_the_closed_form(spark, monkeypatch):
     data = known_truth(15)
     d = spark.createDataFrame(data[data.index % 11 != 0]).selectExpr("firm unit", "year time", "firm cluster", "y", "d")
     one = fixed_effects.fit(d, ["d"], ["unit", "time"]).summary("d")
