@@ -6,7 +6,7 @@ probabilities. A document's probabilities are the mean over its windows, weighte
 
 The network is fitted on the driver on a bounded sample: about ``per_language`` texts of each
 language, chosen by a hash of the id, of each of which one run of SPAN characters from a place
-chosen by hash; at most ``max_languages`` languages. Prediction reads every byte.
+chosen by hash; at most ``most_texts`` texts and languages. Prediction reads every byte.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0, and so is every
 text if nothing is labelled; a null id is neither held out nor learned from. Rows are scored one
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textnum as t
 from tessera.llm.ranking import unit_hash
 from tessera.llm.shared import fresh
+from tessera.operators.tables import written
 
 WINDOW, SPAN = 128, 512
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
@@ -135,22 +136,24 @@ def fold(id_col: Column, folds: int) -> Column:
 def train(docs: DataFrame, per_language: int = 500, most_texts: int = 100_000, seed: int = 9) -> Network | None:
     """The network fitted on the rows of ``docs`` (doc_id, text, lang) whose id is not held out: about
     ``per_language`` of each language, fewer where they would be over ``most_texts`` in all, and
-    never over twice as many. No language is left out."""
+    never over twice as many. Languages are ``most_texts`` at most, the most frequent, which no true list of
+    languages comes near."""
     rows = docs.where((fold(F.col("doc_id"), 3) != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
+    known = written(rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_texts), "languages")
+    n_known = known.count()
+    if not n_known:
         return None
-    per_language = max(1, min(per_language, most_texts // len(counts)))
-    rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_language / n))]), F.col("lang"))
+    per_language = max(1, min(per_language, most_texts // n_known))
+    rows = rows.join(F.broadcast(known), "lang").withColumn("rate", F.least(F.lit(1.0), per_language / F.col("n")))  # at most most_texts rows
     length = F.length("text")
     start = F.floor(unit_hash(F.lit(seed + 1), F.col("doc_id")) * F.greatest(length - SPAN, F.lit(0))).cast("int") + 1
     # the first text of each language by hash is always there
     u = unit_hash(F.lit(seed), F.col("doc_id"), F.col("text"))
-    chosen = rows.withColumn("u", u).where(F.col("u") < rate).select("u", "lang", F.substring("text", start, F.lit(SPAN)).alias("span"))
+    chosen = rows.withColumn("u", u).where(F.col("u") < F.col("rate")).select("u", "lang", F.substring("text", start, F.lit(SPAN)).alias("span"))
     firsts = rows.groupBy("lang").agg(F.min_by(F.struct(u.alias("u"), F.substring("text", start, F.lit(SPAN)).alias("span")), F.struct(u, "text")).alias("r")).select("r.u", "lang", "r.span")
-    sample = chosen.orderBy("u", "lang", "span").limit(2 * per_language * len(counts)).collect()
+    sample = chosen.orderBy("u", "lang", "span").limit(2 * per_language * n_known).collect()
     seen = {r["lang"] for r in sample}
-    sample += [r for r in firsts.collect() if r["lang"] not in seen] if set(counts) - seen else []
+    sample += [r for r in firsts.collect() if r["lang"] not in seen] if len(seen) < n_known else []
     got = sorted((r["lang"], r["u"], r["span"]) for r in sample)
     languages = sorted({x[0] for x in got})
     if not languages:
