@@ -124,13 +124,6 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int, again: bool = False) -
     return row, start - off[row], length, low[start].view(np.int64), repeats
 
 
-def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = t.powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(t.BYTE[data] * up[: len(data)], out=sums[1:])
-    return t.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U)).view(np.int64)
-
-
 def _copies(ids: np.ndarray, none: np.ndarray, version: np.ndarray) -> np.ndarray:
     """Whether a row is the same as one before it."""
     order = np.lexsort((version, ids, none))
@@ -175,7 +168,7 @@ def _segments(size: int):
                 if not len(row):
                     continue
                 start = off[row] + place
-                string = string_hashes(data, start, start + length + size - 1)
+                string = t.string_hashes(data, start, start + length + size - 1).view(np.int64)
                 # earliest first within the block: null ids, then by id, then by place
                 doc = np.where(none[i:j], 0, ids[i:j])
                 rank = np.empty(j - i, np.int64)
@@ -218,7 +211,7 @@ def _strings(size: int, single: bool):
                 start = off[row] + place
                 end = start + windows + size - 1
                 if single:
-                    string = string_hashes(data, start, end)
+                    string = t.string_hashes(data, start, end).view(np.int64)
                 whole = b"" if single else data.tobytes()
                 for c in range(0, len(row), 20_000):
                     part = slice(c, c + 20_000)

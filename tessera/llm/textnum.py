@@ -6,6 +6,7 @@ A word is a run of bytes other than ASCII white space, or other than ASCII signs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,6 @@ SIGNS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 1 << 20
-_M = 0x9E3779B97F4A7C15 | 1
-_POWERS: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,12 +33,27 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2^64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, BLOCK + 1)
-        _POWERS[:] = [np.multiply.accumulate(np.r_[U(1), np.full(size - 1, U(m), U)]) for m in (_M, pow(_M, -1, 1 << 64))]
-    return _POWERS[0], _POWERS[1]
+LONG = 64  # bytes; longer strings are hashed one by one
+
+
+def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each string of bytes, the same wherever it stands: its length and its eights of
+    bytes, mixed after each. Strings of over LONG bytes take a cryptographic digest."""
+    size = end - start
+    state = mix(size.astype(U) * U(0xD1342543DE82EF95) + U(0x9E3779B97F4A7C15))
+    if not len(size):
+        return state
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    eights = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
+    active = np.flatnonzero((size > 0) & (size <= LONG))
+    for at in range(0, int(size[active].max(initial=0)), 8):
+        active = active[size[active] > at]
+        left = np.minimum(size[active] - at, 8).astype(U)
+        piece = eights[start[active] + at] & (U(0xFFFFFFFFFFFFFFFF) >> (U(64) - U(8) * left))
+        state[active] = mix(state[active] * U(0xA0761D6478BD642F) + piece)
+    for i in np.flatnonzero(size > LONG):
+        state[i] = int.from_bytes(blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return state
 
 
 def column_blocks(col: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -71,11 +85,8 @@ def words(data: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tup
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word, the same wherever it stands."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(BYTE[LOWER[data]] * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[start]) * down[start])
+    """64-bit hash of each word, the same wherever it stands, ASCII capitals being small letters."""
+    return string_hashes(LOWER[data], start, end)
 
 
 def shingles(wh: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
