@@ -33,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
-LONG = 64  # bytes; longer strings are hashed one by one
+LONG = 512  # bytes; longer strings are hashed one by one
 
 
 def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

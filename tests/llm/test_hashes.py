@@ -18,7 +18,7 @@ def thue_morse(n, a="a", b="b"):
 
 
 def test_hashes_of_strings():
-    texts = ["", "a", "ab", "ba", "a\0", "a\0\0", "é", "abcdefgh", "abcdefghi", "x" * 64, "x" * 65, "x" * 1000, *[w for n in (16, 64, 1024, 2048) for w in thue_morse(n)], *[w for n in (16, 64, 1024) for w in thue_morse(n, "ab", "cd")]]
+    texts = ["", "a", "ab", "ba", "a\0", "a\0\0", "é", "abcdefgh", "abcdefghi", "x" * 64, "x" * 65, "x" * 512, "x" * 513, "x" * 1000, *[w for n in (16, 64, 1024, 2048) for w in thue_morse(n)], *[w for n in (16, 64, 1024) for w in thue_morse(n, "ab", "cd")]]
     raw = [x.encode() for x in texts]
     data = np.frombuffer(b"".join(raw), np.uint8)
     end = np.cumsum([len(r) for r in raw])
