@@ -188,19 +188,19 @@ def _states_quantity(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else states_quantity(t))
 
 
-#: Without any of these a text states no quantity, whatever is left out of it.
-_MAYBE = r"\p{Nd}|[零〇一二两三四五六七八九十百千万亿半壹贰叁肆伍陆柒捌玖拾佰仟数几倍`]|(?i)(?<![A-Za-z0-9_])(?:" + fv.ENGLISH_QUANTITY.removeprefix(r"\b(?:").removesuffix(r")\b") + ")(?![A-Za-z0-9_])"
-#: A number that stands apart from names, signs and points.
-_APART = r"(?:^|[^+*/\s-]\s{1,8}|[^A-Za-z0-9_.+*/\s-])[0-9]{1,30}(?![A-Za-z0-9_.]|\s*[+*/-])"
+_NUMBER_WORDS = fv.ENGLISH_QUANTITY.removeprefix(r"\b(?:").removesuffix(r")\b")
+_INITIALS = "".join(sorted({w[0] + w[0].upper() for w in _NUMBER_WORDS.split("|")}))
+#: Without any of these a text states no quantity, whatever is left out of it: apart, as each then begins with one
+#: plain test of a character, which fails almost everywhere.
+_MAYBE = (r"[0-9`]", r"(?=[^\x00-\x7F])[\p{Nd}零〇一二两三四五六七八九十百千万亿半壹贰叁肆伍陆柒捌玖拾佰仟数几倍]", rf"(?=[{_INITIALS}])(?<![A-Za-z0-9_])(?i:{_NUMBER_WORDS})(?![A-Za-z0-9_])")
 
 
 def has_bare_number(text: Column | str) -> Column:
     """Whether a text states a number outside of placeholders. Most texts are decided by plain
-    searches; only the others pass through Python."""
+    searches, which are made once; only the others pass through Python."""
     col = F.col(text) if isinstance(text, str) else text
-    simple = ~col.contains("`") & ~col.contains("{{num:") & ~col.rlike(r"log(?:1p)?\s*\(")
-    sure = F.when(~col.rlike(_MAYBE), False).when(simple & col.rlike(_APART), True)
-    return F.coalesce(sure, _states_quantity(F.when(sure.isNull(), col)))
+    found = _states_quantity(F.when(reduce(Column.__or__, [col.rlike(p) for p in _MAYBE]), col))
+    return F.when(col.isNotNull(), F.coalesce(found, F.lit(False)))
 
 
 def without_metadata(text: Column, literals: Sequence[str], citations: Sequence[tuple[str, str]] = ()) -> Column:

@@ -57,23 +57,37 @@ def materialise(df: DataFrame, names: list[str], binding: dict[str, str], as_the
     return df.select(*cols), absent
 
 
-def readiness(df: DataFrame, roles: dict[str, list[str]], binding: dict[str, str], plan_confirmed: bool, binding_confirmed: bool, method_family: str = "policy_causal") -> dict:
-    """status (ready or not_ready), missing names, what is to be done, and the sample report."""
-    todo = [] if plan_confirmed else ["confirm the plan"]
-    todo += [] if binding_confirmed else ["confirm the binding"]
+def readiness(df: DataFrame, roles: dict[str, list[str]], binding: dict[str, str] | None, plan_confirmed: bool, binding_confirmed: bool, method_family: str = "policy_causal", plan_stale: bool = False, plan_fits: bool = True) -> dict:
+    """status (ready or not_ready), missing names, bound names, todo (the data plan: what is to be done
+    until the data are ready, in order), and the sample report.
+
+    Without a binding nothing is looked at but the plan. ``plan_fits``: the plan satisfies the
+    checks of its case."""
+    todo = [] if plan_fits else ["revise the plan to fit its case"]
+    todo += [] if plan_confirmed and not plan_stale else ["confirm the plan"]
     names = [n for ns in roles.values() for n in ns]
+    if binding is None:
+        return {"status": "not_ready", "missing": names, "bound": [], "todo": [*todo, "choose data and bind: " + ", ".join(names)], "sample": None}
+    todo += [] if binding_confirmed else ["confirm the binding"]
     ready, missing = materialise(df, names, binding, roles.get("unit", []))
     todo += [f"bind {n}" for n in missing]
     sample = None
     if not missing:
         one = lambda r: roles[r][0]
         others = [n for r, ns in roles.items() if r not in ("unit", "time", "treatment", "outcome") for n in ns]
-        sample = panel.sample_report(ready, one("unit"), one("time"), one("treatment"), one("outcome"), others).first().asDict()
-        problems = {"fewer than 10 valid rows": sample["n_valid"] < 10, "keys repeat": sample["duplicates"] > 0, "fewer than two units or periods": sample["n_units"] < 2 or sample["n_periods"] < 2}
-        if method_family == "policy_causal":
-            problems |= {"the treatment is not 0 or 1": not sample["binary_treatment"], "exposed and never exposed units are needed": bool(sample["binary_treatment"]) and not (sample["treated_units"] and sample["control_units"])}
-        varies = lambda r: F.coalesce(F.min(one(r)) < F.max(one(r)), F.lit(False)).alias(r)
-        spread = ready.dropna().agg(varies("treatment"), varies("outcome")).first()
-        problems |= {"the treatment does not vary": not spread["treatment"], "the outcome does not vary": not spread["outcome"]}
-        todo += [p for p, is_so in problems.items() if is_so]
-    return {"status": "not_ready" if todo else "ready", "missing": missing, "todo": todo, "sample": sample}
+        try:
+            sample = panel.sample_report(ready, one("unit"), one("time"), one("treatment"), one("outcome"), others).first().asDict()
+            todo += _problems(ready, sample, one("treatment"), one("outcome"), method_family)
+        except EngineError as e:
+            todo.append(e.message)
+    return {"status": "not_ready" if todo else "ready", "missing": missing, "bound": sorted(binding), "todo": todo, "sample": sample}
+
+
+def _problems(ready: DataFrame, sample: dict, treatment: str, outcome: str, method_family: str) -> list[str]:
+    problems = {"fewer than 10 valid rows": sample["n_valid"] < 10, "keys repeat": sample["duplicates"] > 0, "fewer than two units or periods": sample["n_units"] < 2 or sample["n_periods"] < 2}
+    if method_family == "policy_causal":
+        problems |= {"the treatment is not 0 or 1": not sample["binary_treatment"], "exposed and never exposed units are needed": bool(sample["binary_treatment"]) and not (sample["treated_units"] and sample["control_units"])}
+    varies = lambda c, name: F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(name)
+    spread = ready.dropna().agg(varies(treatment, "treatment"), varies(outcome, "outcome")).first()
+    problems |= {"the treatment does not vary": not spread["treatment"], "the outcome does not vary": not spread["outcome"]}
+    return [p for p, is_so in problems.items() if is_so]

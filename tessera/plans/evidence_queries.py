@@ -93,7 +93,7 @@ def record_merge_doi(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT *, min(pos) OVER b AS start, last_value(doi IGNORE NULLS) OVER b AS last FROM r WINDOW b AS (PARTITION BY k ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 h AS (SELECT doi, arg_min(CASE WHEN last IS NULL THEN coalesce(start, pos) ELSE pos END, pos) AS home FROM w WHERE doi IS NOT NULL GROUP BY doi),
 c AS (SELECT w.*, coalesce(h.home, start, pos) AS cluster FROM w LEFT JOIN h ON h.doi = coalesce(w.doi, w.last))
-SELECT cluster AS "position", arg_min(doi, pos) AS doi, arg_min(title, pos) AS title, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max(n_chars) AS cited_by, count(*)::BIGINT AS members FROM c GROUP BY cluster""".replace("\\p", "\p"))
+SELECT cluster AS "position", arg_min(doi, pos) AS doi, arg_min(title, pos) AS title, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, max(n_chars) AS cited_by, count(*)::BIGINT AS members FROM c GROUP BY cluster""")
 def record_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = records.merge(_records(spark, sf_dir, False))
     return m.select("position", "doi", "title", F.array_join("sources", ",").alias("sources"), "cited_by", "members")
@@ -168,15 +168,16 @@ def text_contains_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- gates -----------------------------------------------------------------------------------------
 
-_GRID = "coef, p, pretrend_p, n_checks, n_same_sign, permutation_p, consistent, method_family, real_assignment, semantics"
+def grid_sql(orders: str = "orders") -> str:
+    """A run for each customer with orders: an estimate from the priorities of the orders, its checks from
+    their states, the rest from the customer's number."""
+    return f"""SELECT CAST(o_custkey AS BIGINT) AS id, CAST(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE -1 END) AS DOUBLE) / count(*) AS coef, CAST(o_custkey % 20 AS DOUBLE) / 100 AS p, CAST(o_custkey % 7 AS DOUBLE) / 10 AS pretrend_p,
+ count(*) AS n_checks, sum(CASE WHEN o_orderstatus <> 'F' THEN 1 ELSE 0 END) AS n_same_sign, CAST(o_custkey % 11 AS DOUBLE) / 100 AS permutation_p, o_custkey % 5 <> 0 AS consistent, CASE WHEN o_custkey % 2 = 0 THEN 'policy_causal' ELSE 'panel_association' END AS method_family,
+ o_custkey % 3 = 0 AS real_assignment, CASE WHEN o_custkey % 3 = 0 THEN 'real_assignment' ELSE 'peer_exposure' END AS semantics FROM {orders} GROUP BY o_custkey"""
 
 
-def grid_sql() -> str:
-    """A grid of scenarios, one number for each."""
-    return """SELECT (row_number() OVER (ORDER BY coef, p, pretrend_p, n_checks, n_same_sign, permutation_p, consistent, method_family, real_assignment))::BIGINT AS id, * FROM
- (SELECT * FROM (VALUES (CAST(0.3 AS DOUBLE)), (CAST(-0.3 AS DOUBLE))) a(coef), (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.2 AS DOUBLE))) b(p), (VALUES (CAST(0.5 AS DOUBLE)), (CAST(0.01 AS DOUBLE))) c(pretrend_p),
-  (VALUES (CAST(4 AS BIGINT), CAST(4 AS BIGINT)), (4, 2), (0, 0)) d(n_checks, n_same_sign), (VALUES (CAST(0.01 AS DOUBLE)), (CAST(0.5 AS DOUBLE))) e(permutation_p), (VALUES (true), (false)) f(consistent),
-  (VALUES ('policy_causal'), ('panel_association')) g(method_family), (VALUES (true, 'real_assignment'), (false, 'peer_exposure')) h(real_assignment, semantics)) x"""
+def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(grid_sql("{orders}"), orders=table(spark, sf_dir, "orders"))
 
 
 @query(f"""WITH s AS ({grid_sql()}), v AS (SELECT *, CASE WHEN NOT consistent THEN 'insufficient' WHEN NOT (coef > 0 AND p < 0.05) THEN 'not_supportive'
@@ -184,7 +185,7 @@ def grid_sql() -> str:
 SELECT id, verdict, CASE verdict WHEN 'insufficient' THEN 'insufficient' WHEN 'not_supportive' THEN 'insufficient' WHEN 'mixed' THEN 'preliminary' ELSE
  CASE WHEN method_family = 'policy_causal' AND real_assignment AND semantics = 'real_assignment' THEN 'causal_cautious' ELSE 'associational' END END AS max_strength FROM v""")
 def claim_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.verdicts(spark.sql(grid_sql())).select("id", "verdict", "max_strength")
+    return gates.verdicts(grid(spark, sf_dir)).select("id", "verdict", "max_strength")
 
 
 @query(f"""WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' It was caused by this, and PROMOTES growth.' WHEN 1 THEN ' This does not imply causality.' ELSE ' The effect of x led to y.' END AS text FROM documents),
@@ -287,6 +288,22 @@ b AS (SELECT *, first_value(CASE WHEN status IN ('not_started', 'failed', 'await
 SELECT b.project_id, b.stage, a.stage AS blocker, a.status AS blocker_status FROM b JOIN a ON a.project_id = b.project_id AND a.seq = b.f WHERE b.status = 'not_started'"""
 
 
+_DERIVED = {"confirmed_version": "CAST((project_id + seq) % 3 AS INT)", "editing": "(project_id * 3 + seq) % 17 = 0", "local_stale": "(project_id + 5 * seq) % 13 = 0", "data_ok": "project_id % 2 = 0"}
+
+
+# stage after stage, by recursion
+@query(f"""WITH RECURSIVE s AS ({_STATE}), a AS (""" + " UNION ALL ".join(f"SELECT project_id, {i}::INT AS seq, '{k}' AS stage, {v} AS status FROM s" for i, (k, v) in enumerate(_STAGE_SQL.items())) + f"""),
+x AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _DERIVED.items())}, stage = 'data' AND project_id % 2 = 0 AS lenient, EXISTS (SELECT 1 FROM a l WHERE l.project_id = a.project_id AND l.seq > a.seq AND l.status <> 'not_started') AS later FROM a),
+r AS (SELECT project_id, -1 AS seq, '' AS stage, '' AS flow, true AS opened, false AS lenient FROM s UNION ALL
+ SELECT project_id, seq, stage, CASE WHEN editing THEN 'active' WHEN status = 'stale' OR local_stale THEN CASE WHEN passed THEN 'stale' ELSE 'locked' END
+  WHEN status = 'confirmed' OR ((status = 'completed' OR (lenient AND status = 'failed')) AND (confirmed_version > 0 OR later)) THEN 'confirmed' WHEN passed THEN 'active' ELSE 'locked' END AS flow, passed, lenient
+ FROM (SELECT x.*, r.opened AND r.flow <> 'locked' AND NOT (r.flow = 'active' AND NOT r.lenient) AS passed FROM r JOIN x ON x.project_id = r.project_id AND x.seq = r.seq + 1))
+SELECT project_id, seq::INT AS seq, stage, flow, (SELECT count(*) FROM r l WHERE l.project_id = r.project_id AND l.seq > r.seq AND l.flow IN ('confirmed', 'stale'))::BIGINT AS downstream FROM r WHERE seq >= 0""")
+def derived_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = _status(spark, sf_dir).withColumns({k: F.expr(v) for k, v in _DERIVED.items()})
+    return workflow.derive_flow(status)
+
+
 @query(_FLOW_SQL)
 def stage_locks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workflow.lock_reasons(_status(spark, sf_dir))

@@ -390,7 +390,7 @@ _REASONS = [("NOT usable", fv.NOT_REPRODUCED), ("usable AND (CASE WHEN n_checks
 
 @query(f"WITH s AS (SELECT *, consistent AS usable FROM ({evidence_queries.grid_sql()})) SELECT id, array_to_string(list_filter([{', '.join(f'''CASE WHEN {c} THEN '{r}' END''' for c, r in _REASONS)}], lambda x: x IS NOT NULL), '；') AS blockers FROM s")
 def claim_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.blockers(spark.sql(evidence_queries.grid_sql())).select("id", F.array_join("blockers", "；").alias("blockers"))
+    return gates.blockers(evidence_queries.grid(spark, sf_dir)).select("id", F.array_join("blockers", "；").alias("blockers"))
 
 
 @query("SELECT o_custkey AS run, count(*)::BIGINT AS n_checks, (count(*) FILTER (o_orderstatus <> 'F' AND o_totalprice > 150000))::BIGINT AS n_same_sign FROM orders GROUP BY o_custkey")
@@ -402,7 +402,7 @@ def same_sign_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH v AS ({evidence_queries.ORACLES['claim_verdicts']}), c AS (SELECT * FROM (VALUES ('main', 'main'), ('side', 'heterogeneity')) t(claim_id, type))
 SELECT id, claim_id, CASE WHEN type = 'main' THEN verdict ELSE 'insufficient' END AS verdict, CASE WHEN type = 'main' THEN max_strength ELSE 'insufficient' END AS max_strength FROM v, c""")
 def claims_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = gates.verdicts(spark.sql(evidence_queries.grid_sql()))
+    judged = gates.verdicts(evidence_queries.grid(spark, sf_dir))
     planned = judged.select("id", F.explode(F.array(F.struct(F.lit("main").alias("claim_id"), F.lit("main").alias("type")), F.struct(F.lit("side").alias("claim_id"), F.lit("heterogeneity").alias("type")))).alias("c")).select("id", "c.*")
     return gates.per_claim(judged, planned, "id")
 

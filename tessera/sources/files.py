@@ -204,23 +204,54 @@ RECORD_LINE = T.StructType(
 # Limits of a library.
 MOST_LIBRARY_LINES, MOST_LIBRARY_BYTES, MOST_PDFS, MOST_PDF_BYTES = 2_000, 10 * 1024**2, 200, 30 * 1024**2
 LONGEST_TITLE, LONGEST_TEXT, LONGEST_EXCERPT = 2_000, 100_000, 12_000
+#: Fields that may be absent but not null.
+REQUIRED_TEXT = ("title", "venue", "authors", "concepts")
 
 
-def read_library(lines: DataFrame) -> DataFrame:
+#: Texts that count as whole numbers.
+_WHOLE = r"^\s*[+-]?\d+(?:_\d+)*(?:\.0+)?\s*$"
+
+
+def read_library(lines: DataFrame, most_lines: int | None = None, most_bytes: int | None = None) -> DataFrame:
     """Records from lines (line, value) of JSON: the fields of RECORD_LINE, valid, and line. A line
     that is no object, has no text as title, or a field of another type, is kept as invalid and can
-    be reported."""
-    own = F.from_json(F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")), "map<string,string>")
-    parsed = lines.where(F.trim("value") != "").withColumn("r", F.from_json("value", RECORD_LINE, {"mode": "PERMISSIVE"})).withColumn("own", own)
-    raw = lambda f: F.get_json_object("value", f"$.{f}")
-    typed = F.col("own").isNotNull()
+    be reported. Whole numbers may be given as text or with zero decimals.
+
+    Lines are parsed to variants, whose own types decide. ``most_lines``: of lines, numbered from 0, the
+    first so many are read; ``most_bytes``: a larger library is an error."""
+    if most_bytes is not None:
+        size = lines.agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0
+        if size > most_bytes:
+            raise EngineError("library_too_large", f"{size} bytes, {most_bytes} at most")
+    if most_lines is not None:
+        lines = lines.where(F.col("line") < most_lines)
+    parsed = lines.where(F.trim("value") != "").withColumn("_v", F.try_parse_json("value"))
+    part = lambda name: F.try_variant_get("_v", f"$.{name}", "variant")
+    typed, fields = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False)), []
     for f in RECORD_LINE.fields:
-        there = raw(f.name).isNotNull()
-        quoted = F.col("value").rlike(rf'"{f.name}"\s*:\s*"')
-        good = raw(f.name).rlike(r"^-?\d+$") if isinstance(f.dataType, T.IntegerType) else quoted if isinstance(f.dataType, T.StringType) else raw(f.name).rlike(r'^\[\s*(?:"(?:[^"\\]|\\.)*+"\s*,?\s*)*+\]$')
-        typed = typed & (~there | good)
-    valid = typed & F.col("r.title").isNotNull() & (F.trim("r.title") != "")
-    return parsed.select("line", "r.*", F.coalesce(valid, F.lit(False)).alias("valid"))
+        kind = F.coalesce(F.schema_of_variant(part(f.name)), F.lit("ABSENT"))
+        text = F.try_variant_get("_v", f"$.{f.name}", "string")
+        absent = (kind == "ABSENT") | ((kind == "VOID") & F.lit(f.name not in REQUIRED_TEXT))
+        if isinstance(f.dataType, T.IntegerType):
+            good = kind.isin("BIGINT", "BOOLEAN") | ((kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "STRING")) & text.rlike(_WHOLE))
+            value = F.when(kind == "BOOLEAN", F.try_variant_get("_v", f"$.{f.name}", "boolean").cast("int")).otherwise(F.regexp_replace(F.trim(text), r"_|\.0+$", "").try_cast("int"))
+        elif isinstance(f.dataType, T.StringType):
+            good, value = kind == "STRING", text
+        else:
+            value = F.try_variant_get("_v", f"$.{f.name}", "array<string>")
+            good = kind.isin("ARRAY<STRING>", "ARRAY<VOID>") & F.coalesce(~F.exists(value, lambda x: x.isNull()), F.lit(False))
+        typed = typed & F.coalesce(absent | good, F.lit(False))
+        fields.append(F.when(absent | ~F.coalesce(good, F.lit(False)), F.lit(None)).otherwise(value).cast(f.dataType).alias(f.name))
+    read = parsed.select("line", *fields, typed.alias("_typed"))
+    valid = F.col("_typed") & F.col("title").isNotNull() & (F.trim("title") != "") & (F.length("title") <= LONGEST_TITLE)
+    return read.select("line", *RECORD_LINE.fieldNames(), F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
+def library_of(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The valid records of a library within its limits, and line, problem of what is left out."""
+    read = read_library(lines, MOST_LIBRARY_LINES, MOST_LIBRARY_BYTES)
+    beyond = lines.where(F.col("line") == MOST_LIBRARY_LINES).select("line", F.lit("beyond_limit").alias("problem"))
+    return read.where("valid").drop("valid"), bad_lines(read).unionByName(beyond)
 
 
 def bad_lines(library: DataFrame) -> DataFrame:

@@ -83,3 +83,44 @@ def test_effects_of_unbalanced_panels_by_both_ways(spark):
     want = n.T @ (n / n.sum(1, keepdims=True))
     for r in shared_cells(df, "unit", "time"):
         assert np.isclose(r.v, want[int(r.s), int(r.r)])
+
+
+def test_library_types_are_those_of_the_values(spark):
+    """Nested fields of a field's name, escaped quotes, and whole numbers given otherwise."""
+    good = {
+        '{"x": {"title": 7, "year": "no"}, "title": "A"}': None, '{"title": "say \\"year\\": \\"x\\"", "year": 1999}': 1999, '{"title": "A", "year": "2001"}': 2001, '{"title": "A", "year": 2002.0}': 2002,
+        '{"title": "A", "year": true}': 1, '{"title": "A", "authors": [], "doi": null, "extra": [1]}': None, '{"title": "a:b", "concepts": ["\\"title\\": 1"]}': None, '{"title": "' + "t" * 2000 + '"}': None,
+    }
+    bad = ['{"x": {"title": "A"}}', '{"title": null}', '{"title": ["A"]}', '{"title": "A", "venue": null}', '{"title": "A", "authors": ["x", null]}', '{"title": "A", "authors": [null]}', '{"title": "A", "authors": null}', '{"title": "A", "authors": ["x", 1]}', '{"title": "A", "year": "MM"}', '{"title": "A", "year": 1.5}', '{"title": "A", "doi": 10.1}', '{"title": "' + "t" * 2001 + '"}', '["title"]', '"title"', "null"]
+    lines = [*good, *bad]
+    read = files.read_library(spark.createDataFrame(list(enumerate(lines)), "line long, value string")).collect()
+    assert {r.line for r in read if r.valid} == set(range(len(good)))
+    assert [r.year for r in sorted(read, key=lambda r: r.line) if r.valid] == list(good.values())
+    quoted = next(r for r in read if r.line == 1)
+    assert quoted.title == 'say "year": "x"'
+
+
+def test_limits_of_a_library(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, "" if i == 5 else '{"title": "T"}') for i in range(2001)], "line long, value string")
+    records, problems = files.library_of(lines)
+    assert records.count() == 1999 and [tuple(r) for r in problems.collect()] == [(2000, "beyond_limit")]
+    assert files.library_of(lines.where("line < 2000"))[1].count() == 0
+    monkeypatch.setattr(files, "MOST_LIBRARY_BYTES", 2000)
+    with pytest.raises(EngineError, match="library_too_large"):
+        files.library_of(lines)
+
+
+def test_data_plan_says_what_is_to_be_done(spark):
+    from tessera.plans import cases
+
+    roles = {"unit": ["u"], "time": ["t"], "outcome": ["y"], "treatment": ["d"]}
+    rows = [(u, t, float(u + t * t), int(u < 3 and t >= 2)) for u in range(6) for t in range(4)]
+    df = spark.createDataFrame(rows, "u long, t long, y double, d int")
+    own = {k: k for k in "utyd"}
+    assert cases.readiness(df, roles, own, True, True)["status"] == "ready"
+    none = cases.readiness(df, roles, None, True, True, plan_stale=True)
+    assert (none["todo"], none["missing"], none["sample"]) == (["confirm the plan", "choose data and bind: u, t, y, d"], ["u", "t", "y", "d"], None)
+    part = cases.readiness(df, roles, own | {"y": "nothing + 1"}, False, False, plan_fits=False)
+    assert part["todo"] == ["revise the plan to fit its case", "confirm the plan", "confirm the binding", "bind y"] and part["bound"] == ["d", "t", "u", "y"]
+    flat = cases.readiness(df.withColumn("y", df["d"] * 0.0), roles, own, True, True)
+    assert flat["todo"] == ["the outcome does not vary"]
