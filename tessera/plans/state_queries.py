@@ -17,7 +17,7 @@ from tessera.plans import cases, evidence_queries, panels
 from tessera.plans.panels import CUSTOMER_YEAR
 from tessera.plans.spec import compile_spec, field_semantics
 from tessera.plans.sql_inference import with_reach
-from tessera.sources import files
+from tessera.sources import files, metadata
 from tessera.tables import table
 
 QUERIES: dict = {}
@@ -120,6 +120,20 @@ def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.merge_metadata(rows.where("version % 3 <> 0"), rows.where("version % 3 = 0"), "user_id", "version")
 
 
+@query("""WITH e AS (SELECT doc_id, source, n_chars AS version FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id, 'moved' AS source, n_chars + 1 AS version FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'late' AS source, n_chars AS version FROM documents WHERE doc_id % 5 = 0 AND doc_id % 2 <> 0 AND doc_id % 3 = 0)
+SELECT doc_id, arg_max(source, version) AS source, max(version) AS version FROM e GROUP BY doc_id""")
+def metadata_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three merges into a metadata table, each one commit, and what the last snapshot holds."""
+    path = shared_path(spark, "metadata")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.col("n_chars").alias("version"))
+    known = d.where("doc_id % 3 <> 0")
+    moved = d.where("doc_id % 2 = 0").select("doc_id", F.lit("moved").alias("source"), F.col("version") + 1)
+    late = d.where("doc_id % 5 = 0 and doc_id % 2 <> 0 and doc_id % 3 = 0").select("doc_id", F.lit("late").alias("source"), "version")
+    for rows in (known, moved.toDF("doc_id", "source", "version"), late):
+        metadata.merge_into(rows, path, "doc_id", "version")
+    return metadata.read_metadata(spark, path)
+
+
 _MARKDOWN = "'lead' || chr(10) || '## One' || chr(10) || 'a ' || page_id || chr(10) || '## Two' || chr(10) || ' b ' || chr(10) || '## Three' || chr(10) || 'c' || chr(10) || '## Four'"
 
 

@@ -124,3 +124,34 @@ def test_data_plan_says_what_is_to_be_done(spark):
     assert part["todo"] == ["revise the plan to fit its case", "confirm the plan", "confirm the binding", "bind y"] and part["bound"] == ["d", "t", "u", "y"]
     flat = cases.readiness(df.withColumn("y", df["d"] * 0.0), roles, own, True, True)
     assert flat["todo"] == ["the outcome does not vary"]
+
+
+def test_metadata_is_merged_as_one_commit(spark, tmp_path):
+    from tessera.sources import metadata as md
+
+    path = str(tmp_path / "table")
+    assert md.latest(path) == 0
+    with pytest.raises(Exception, match="metadata_empty"):
+        md.read_metadata(spark, path).collect()
+    rows = lambda *x: spark.createDataFrame(list(x), "id long, version long, name string").repartition(3)
+    assert md.merge_into(rows((1, 1, "a"), (2, 1, None)), path, "id", "version") == 1
+    held = md.read_metadata(spark, path)
+    assert md.merge_into(rows((2, 2, "b"), (3, 1, "c"), (1, 0, "old")), path, "id", "version") == 2
+    want = {(1, 1, "a"), (2, 2, "b"), (3, 1, "c")}
+    assert {tuple(r) for r in md.read_metadata(spark, path).collect()} == want
+    assert {tuple(r) for r in held.collect()} == {(1, 1, "a"), (2, 1, None)}  # the snapshot it was
+    assert md.read_metadata(spark, path).select("name").where("id = 3").first().name == "c"
+    # a writer that began from an older snapshot is refused, and leaves nothing
+    parts = set((tmp_path / "table/parts").iterdir())
+    with pytest.raises(Exception, match="metadata_conflict"):
+        md.merge_into(rows((9, 9, "late")), path, "id", "version", base=1)
+    assert md.latest(path) == 2 and set((tmp_path / "table/parts").iterdir()) == parts
+    # so does a write that fails in a task
+    from pyspark.sql import functions as F
+
+    broken = rows((4, 4, "x"), (5, 5, "y")).withColumn("name", F.when(F.col("id") == 5, F.raise_error(F.lit("no"))).otherwise(F.col("name")))
+    with pytest.raises(Exception, match="no"):
+        md.write_metadata(broken, path, 2)
+    assert md.latest(path) == 2 and {tuple(r) for r in md.read_metadata(spark, path).collect()} == want
+    md.write_metadata(rows().where("false"), path, 2)
+    assert md.read_metadata(spark, path).count() == 0 and md.latest(path) == 3
