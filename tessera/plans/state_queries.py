@@ -4,8 +4,14 @@ Documents, customers, orders and events stand in for evidence, projects, plans a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import distributions
 from tessera.functions import fixed_values as fv
@@ -61,6 +67,36 @@ def file_reload_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.reload(spark, path, coded.schema)
 
 
+@query("SELECT kind, c_custkey, c_name, c_acctbal FROM customer, (VALUES ('csv'), ('json'), ('orc'), ('parquet')) k(kind)")
+def file_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table in every format that Spark writes, read by the ending of its path."""
+    d = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    out = []
+    for kind in ("csv", "json", "orc", "parquet"):
+        path = shared_path(spark, f"customers.{kind}")
+        d.write.options(header=True, escape='"').format(kind).save(path)
+        read = files.read(spark, path, d.schema if kind == "csv" else None)
+        out.append(read.select(F.lit(kind).alias("kind"), "c_custkey", "c_name", "c_acctbal"))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("SELECT 'page-' || page_id || '.pdf' AS name, CASE WHEN page_id % 7 = 0 THEN 'too_large' WHEN page_id % 3 = 0 THEN 'not_a_pdf' END AS problem FROM pages")
+def folder_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder with a file for each page, some too large and some no PDF."""
+    path = shared_path(spark, "folder")
+
+    def put(rows: Iterator[Row]) -> None:
+        folder = path.removeprefix("file://")
+        os.makedirs(folder, exist_ok=True)
+        for r in rows:
+            with open(f"{folder}/page-{r.page_id}.pdf", "wb") as f:
+                f.write((b"<html" if r.page_id % 3 == 0 else b"%PDF-") + str(r.page_id).encode().ljust(2000 if r.page_id % 7 == 0 else 20))
+
+    table(spark, sf_dir, "pages").select("page_id").foreachPartition(put)
+    found = files.scan_folder(spark, path, most_files=None, most_bytes=1000)
+    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "problem")
+
+
 @query("SELECT 25::BIGINT AS n_lines, true AS known_size")
 def file_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "nations")
@@ -155,10 +191,18 @@ def formula_substituted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("p_partkey", F.round(formula(p, substitute("price - size / 2", {"price": "log1p(p_retailprice)", "size": "p_size"})), 9).alias("value"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, true), (2, true), (3, false)) t(id, same)")
+@F.pandas_udf(T.StringType())
+def _canonical(text: pd.Series) -> pd.Series:
+    return text.map(canonical)
+
+
+@query("SELECT p_partkey, p_partkey % 3 <> 2 AS same FROM part")
 def formula_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = [("a+b", "a  + b"), ("log( a )", "log(a)"), ("a-b", "b-a")]
-    return spark.createDataFrame([(i + 1, canonical(a) == canonical(b)) for i, (a, b) in enumerate(pairs)], "id long, same boolean")
+    """A formula for each part, and the same written otherwise, or with its terms exchanged."""
+    i = F.col("p_partkey")
+    one = F.format_string("log(x%d) + y * %d", i, i % 10)
+    other = F.when(i % 3 == 0, F.format_string("log( x%d )+y*%d", i, i % 10)).when(i % 3 == 1, F.format_string("log(x%d)  +  y  * %d ", i, i % 10)).otherwise(F.format_string("y * %d + log(x%d)", i % 10, i))
+    return table(spark, sf_dir, "part").select("p_partkey", (_canonical(one) == _canonical(other)).alias("same"))
 
 
 @query("SELECT round(CASE WHEN l_quantity > 0 THEN ln(l_quantity) END, 9) AS size, l_suppkey::DOUBLE AS firm, l_tax AS rate FROM lineitem")
@@ -182,9 +226,19 @@ def plan_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.check_plans(plans).select("id", F.array_join("problems", ",").alias("problems"))
 
 
-@query(f"WITH d AS (SELECT * FROM (VALUES (1::BIGINT), (2), (3), (10), (24), (29), (179), (1000)) v(nu)), {with_reach('d')[0]} SELECT nu AS df, round(tq, 8) AS reach FROM {with_reach('d')[1]}")
+@F.pandas_udf(T.DoubleType())
+def _reach(df: pd.Series) -> pd.Series:
+    return df.map(lambda n: distributions.t_ppf(0.975, n))
+
+
+_DF = "d AS (SELECT DISTINCT count(*)::BIGINT AS nu FROM orders GROUP BY o_custkey)"
+
+
+@query(f"WITH {_DF}, {with_reach('d')[0]} SELECT nu AS df, round(tq, 8) AS reach FROM {with_reach('d')[1]}")
 def t_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n, round(distributions.t_ppf(0.975, n), 8)) for n in (1, 2, 3, 10, 24, 29, 179, 1000)], "df long, reach double")
+    """Of all numbers of orders that customers have."""
+    sizes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("df")).select("df").distinct()
+    return sizes.select("df", F.round(_reach("df"), 8).alias("reach"))
 
 
 _CASE_ROWS = [("exclude_years", "exclude_years", "2020,2021"), ("drop_controls", "drop_controls", "log(total_assets),leverage,return_on_assets"), ("alt_outcome", "alt_outcome", "log1p(green_all_independent + green_all_joint)"), ("monotone_only", "monotone_only", "")]
@@ -198,10 +252,17 @@ def case_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "id string, kind string, args string")
 
 
-@query("SELECT * FROM (VALUES ('a', 'real_assignment'), ('b', 'peer_exposure'), ('a * b', 'peer_exposure'), ('log1p(a) + a', 'real_assignment'), ('a + c', 'unknown')) t(treatment, semantics)")
+@F.pandas_udf(T.StringType())
+def _semantics(treatment: pd.Series) -> pd.Series:
+    return treatment.map(lambda x: field_semantics(x, {"a": "real_assignment", "b": "peer_exposure"}))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'real_assignment' WHEN 1 THEN 'peer_exposure' WHEN 2 THEN 'peer_exposure' WHEN 3 THEN 'real_assignment' ELSE 'unknown' END AS semantics FROM supplier")
 def treatment_semantics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = {"a": "real_assignment", "b": "peer_exposure"}
-    return spark.createDataFrame([(x, field_semantics(x, known)) for x in ("a", "b", "a * b", "log1p(a) + a", "a + c")], "treatment string, semantics string")
+    """A treatment for each supplier, by formulas of an assignment a, an exposure b and others."""
+    i = F.col("s_suppkey")
+    text = F.when(i % 5 == 0, F.format_string("a * %d", i)).when(i % 5 == 1, F.format_string("b + %d", i)).when(i % 5 == 2, F.format_string("a * b + %d", i)).when(i % 5 == 3, F.format_string("log1p(a) + a / %d", i)).otherwise(F.format_string("a + c%d", i))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", _semantics(text).alias("semantics"))
 
 
 @query(f"""WITH {CUSTOMER_YEAR}, u AS (SELECT unit, max(d) AS ever FROM cy GROUP BY unit)

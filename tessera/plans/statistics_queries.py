@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.formula import formula
 from tessera.operators import analysis, panel, permutation
 from tessera.operators.fixed_effects import fit
-from tessera.plans import panels
+from tessera.plans import engine, panels
 from tessera.plans.panels import CUSTOMER_YEAR, NATION_YEAR, USER_DAY
 from tessera.plans.spec import Check, Spec
 from tessera.plans.sql_inference import fit_row, several, two_sided, unrolled, with_reach
@@ -427,3 +427,19 @@ def reproduction_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     finally:
         raw.unpersist()
     return _rows(spark, [r | {k: r[k] if r[k] is None else round(r[k], 7) for k in ("coef", "se")} for r in out["rows"]], "id string, status string, origin string, coef double, se double, n_obs long")
+
+
+_RUN = {i: (base, source, ["a" if x == "d" else x for x in xs]) for i, (base, source, xs) in _AGAIN.items()}
+_STEPS = ", ".join(f"('{x}')" for x in ("main", "event", "robustness", "permutation", "reproduction"))
+
+
+# the coefficients of the main model and of its checks; the other steps only say that they succeeded
+@query(f"WITH {NATION_YEAR}, " + ", ".join(f"{unrolled(source, 40, ('y', *xs), f'{i}z')}, {several(f'{i}z40', xs, f'{_TWO_K} + {len(xs) - 1}', name=i)}" for i, (_, source, xs) in _RUN.items()) + f" SELECT step, 'succeeded' AS status, CAST(NULL AS DOUBLE) AS coef FROM (VALUES {_STEPS}) s(step) WHERE step NOT IN ('main', 'robustness') UNION ALL " + " UNION ALL ".join(f"SELECT '{'main' if i == 'main' else 'robustness'}' AS step, 'succeeded' AS status, round(b0, 7) AS coef FROM {i}" for i in _RUN))
+def engine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of one run of a specification, with the coefficients of its main model and checks."""
+    spec = replace(_spec(treatment="a", permutation_n=19), robustness=(Check("r1", "exclude_years", {"years": [2001]}), Check("r2", "add_controls", {"controls": ["log1p(n)"]})))
+    out = engine.run(spec, panels.nation_year(spark, sf_dir))
+    rows = [("main", out["steps"]["main"]["status"], round(out["main"]["coef"], 7))]
+    rows += [("robustness", c["status"], c.get("coef") and round(c["coef"], 7)) for c in out["robustness"]]
+    rows += [(k, v["status"], None) for k, v in out["steps"].items() if k not in ("main", "robustness")]
+    return spark.createDataFrame(rows, "step string, status string, coef double")

@@ -259,13 +259,12 @@ def bad_lines(library: DataFrame) -> DataFrame:
     return library.where(~F.col("valid")).select("line", F.lit("invalid").alias("problem"))
 
 
-def scan_folder(spark: SparkSession, path: str, most_files: int = MOST_PDFS, most_bytes: int = MOST_PDF_BYTES) -> DataFrame:
+def scan_folder(spark: SparkSession, path: str, most_files: int | None = MOST_PDFS, most_bytes: int = MOST_PDF_BYTES) -> DataFrame:
     """path, length, content, problem of the PDF files below a folder, by name: the first
-    ``most_files``, without content where a file is too large or is none. Spark passes over files
+    ``most_files`` (None: all), without content where a file is too large or is none. Spark passes over files
     without bytes. Reading their text takes a parser, which is not part of this library."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][dD][fF]").load(path)
-    head = files.select("path").orderBy("path").limit(most_files)
-    kept = files.join(F.broadcast(head), "path", "left_semi")  # at most most_files rows
+    kept = files if most_files is None else files.join(files.select("path").orderBy("path").limit(most_files), "path", "left_semi")
     problem = F.when(F.col("length") > most_bytes, "too_large").when(F.substring(F.col("content"), 1, 4) != F.lit(b"%PDF"), "not_a_pdf")
     return kept.select("path", "length", F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("problem"))
 
