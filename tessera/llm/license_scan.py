@@ -257,3 +257,29 @@ def scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, text_col: s
 def license_digest(docs: DataFrame) -> DataFrame:
     """The columns of op11."""
     return scan(docs.select("doc_id", "text")).select("doc_id", *[f"licenses.{c}" for c in LICENSES.fieldNames() if c != "matches"])
+
+
+def _listed(words: Sequence[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def oracle(templates: Sequence[Template] = TEMPLATES) -> str:
+    """SQL for the same rows, which reads every place near a key phrase instead of looking up rare words."""
+    texts = [words_of(x.text) for x in templates]
+    keys = [(k, n, words_of(key), next(i for i in range(len(w)) if w[i : i + len(words_of(key))] == words_of(key))) for k, (x, w) in enumerate(zip(templates, texts, strict=True)) for n, key in enumerate(x.keys)]
+    return rf"""
+WITH t AS (SELECT * FROM (VALUES {', '.join(f"({k}, '{x.label}', {len(x.keys)}, {_listed(w)})" for k, (x, w) in enumerate(zip(templates, texts, strict=True)))}) v(k, label, n_keys, x)),
+ky AS (SELECT * FROM (VALUES {', '.join(f'({k}, {n}, {_listed(w)}, {at})' for k, n, w, at in keys)}) v(k, nth, p, pos)),
+bs AS (SELECT * FROM (VALUES {', '.join(f"('{label}', {_listed(words_of(phrase))})" for phrase, label in BASE.items())}) v(label, p)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+j AS MATERIALIZED (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
+b AS (SELECT doc_id, label, unnest(list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p)) AS place FROM j, bs WHERE contains(s, ' ' || array_to_string(p, ' ') || ' ')),
+bb AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS base FROM b GROUP BY doc_id),
+kp AS MATERIALIZED (SELECT doc_id, k, nth, pos, list_filter(range(0, len(w) - len(p) + 1), lambda i: w[i + 1:i + len(p)] = p) AS places FROM j, ky WHERE contains(s, ' ' || array_to_string(p, ' ') || ' ')),
+o AS (SELECT DISTINCT doc_id, k, place - pos + s.range AS o FROM (SELECT doc_id, k, pos, unnest(places) AS place FROM kp WHERE nth = 0), range({-SLACK}, {SLACK + 1}) s),
+ok AS (SELECT o.doc_id, o.k, o.o FROM o JOIN kp ON kp.doc_id = o.doc_id AND kp.k = o.k JOIN t ON t.k = o.k GROUP BY o.doc_id, o.k, o.o, n_keys HAVING count(*) = n_keys AND min(len(list_filter(places, lambda i: abs(i - pos - o.o) <= {SLACK}))) > 0),
+c AS (SELECT ok.doc_id, label, len(list_filter(range(0, len(x)), lambda q: list_contains(w[greatest(o + q + 1 - {SLACK}, 1):greatest(o + q + 1 + {SLACK}, 0)], x[q + 1])))::DOUBLE / len(x) AS coverage FROM ok JOIN j ON j.doc_id = ok.doc_id JOIN t ON t.k = ok.k),
+m AS (SELECT doc_id, max(coverage) AS best, list(DISTINCT label) AS found FROM c WHERE coverage >= {COVERAGE} GROUP BY doc_id)
+SELECT j.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ',') AS labels, greatest(coalesce(best, 0.0), CASE WHEN n_base > 0 THEN {MENTION} ELSE 0.0 END)::DOUBLE AS score
+FROM j LEFT JOIN bb ON bb.doc_id = j.doc_id LEFT JOIN m ON m.doc_id = j.doc_id"""

@@ -66,4 +66,4 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op1_sharding": op1_sharding, "op2_ngram_join": op2_ngram_join, "op3_projection_dedup": op3_projection_dedup, "op4_html_text": op4_html_text, "op5_suffix_dedup": op5_suffix_dedup, "op6_mixing": op6_mixing, "op7_decontamination": op7_decontamination, "op8_quality": op8_quality, "op9_language": op9_language, "op10_pii": op10_pii, "op11_license_scan": op11_license_scan, "op12_filter_audit": op12_filter_audit, "op13_collocations": op13_collocations}
 
 #: SQL that gives the same rows.
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op12_filter_audit": filter_audit.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op11_license_scan": license_scan.oracle(), "op12_filter_audit": filter_audit.ORACLE, "op13_collocations": collocations.ORACLE}
