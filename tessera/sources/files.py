@@ -143,14 +143,19 @@ def inspect_file(spark: SparkSession, path: str, sheet: str | None = None) -> Da
     return spark.createDataFrame(rows, "seq int, name string, type string, label string, format string, sheets array<string>")
 
 
-def read_selected(spark: SparkSession, path: str, columns: list[str], sheet: str | None = None, most_rows: int = MOST_ROWS) -> DataFrame:
-    """The columns, in the order asked for. An empty file or one of too many rows is an error."""
+def read_selected(spark: SparkSession, path: str, columns: list[str], sheet: str | None = None, most_rows: int | None = MOST_ROWS) -> DataFrame:
+    """The columns, in the order asked for. An empty file or one of over ``most_rows`` (None: any
+    number will do) is an error."""
     if not 1 <= len(columns) <= MOST_COLUMNS or len(set(columns)) != len(columns):
         raise EngineError("invalid_columns", f"1 to {MOST_COLUMNS} different columns")
     df = read(spark, path, sheet=sheet)
     if absent := [c for c in columns if c not in df.columns]:
         raise EngineError("import_failed", f"no columns {absent}")
     df = df.select(*columns)
+    if most_rows is None:
+        if df.isEmpty():
+            raise EngineError("invalid_rows", "no rows")
+        return df
     n = df.limit(most_rows + 1).count()
     if not 1 <= n <= most_rows:
         raise EngineError("invalid_rows", f"1 to {most_rows} rows")

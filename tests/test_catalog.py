@@ -9,6 +9,8 @@ from pathlib import Path
 import pytest
 
 from tessera import catalog
+from tessera.errors import EngineError
+from tessera.sources import files
 
 DATA = os.environ.get("TESSERA_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -71,3 +73,25 @@ def test_entry_and_catalog(spark):
     row = e.entry(spark).first()
     assert row.name == "x" and math.isfinite(row.coef) and row.se > 0
     assert set(catalog.queries()) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+
+
+def _differs_from_sql(spark, name, folder):
+    import duckdb
+
+    c = duckdb.connect()
+    for f in Path(folder).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    df = catalog.queries()[name](spark, str(folder))
+    want = c.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    return set(plain(df.collect(), df.columns)) ^ set(plain(want.fetchall(), names))
+
+
+def test_a_table_of_more_rows_than_an_import_may_have(spark, tmp_path):
+    import duckdb
+
+    duckdb.execute(f"COPY (SELECT range::BIGINT AS o_orderkey, (range % 7)::DOUBLE AS o_totalprice FROM range(2000001)) TO '{tmp_path}/orders.parquet'")
+    got = catalog.queries()["file_read_selected"](spark, str(tmp_path))
+    assert got.columns == ["o_totalprice", "o_orderkey"] and got.count() == 2_000_001
+    with pytest.raises(EngineError, match="invalid_rows"):  # as an import
+        files.read_selected(spark, f"{tmp_path}/orders.parquet", ["o_totalprice", "o_orderkey"])
