@@ -285,13 +285,15 @@ def merge_metadata(stored: DataFrame, incoming: DataFrame, key: str, version: st
 def document_record(texts: DataFrame) -> DataFrame:
     """path, title, doi, year, excerpt from texts (path, text, title of the file's metadata): the
     title falls back to the first line of over five characters, then to the file's name. The DOI
-    is looked for on the first page (first_page, or what comes before a form feed)."""
+    is looked for on the first page (first_page, or what comes before a form feed), the year in
+    imprint, if there is such a column, else in the first 5,000 characters, title included."""
     head = F.substring("text", 1, LONGEST_TEXT)
     line = F.get(F.filter(F.transform(F.split(head, r"\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 5), F.lit(0))
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), line, F.regexp_extract("path", r"([^/]+)$", 1))
     page = F.col("first_page") if "first_page" in texts.columns else F.substring_index("text", "\f", 1)
     doi = F.nullif(F.lower(F.regexp_replace(F.regexp_extract(page, r"(?i)(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1), "[.,;]+$", "")), F.lit(""))
-    year = F.nullif(F.regexp_extract(F.substring(head, 1, 5000), r"((?:19|20)\d{2})", 1), F.lit("")).cast("int")
+    dated = F.col("imprint") if "imprint" in texts.columns else F.substring(head, 1, 5000)
+    year = F.nullif(F.regexp_extract(dated, r"((?:19|20)\d{2})", 1), F.lit("")).cast("int")
     return texts.select("path", F.substring(title, 1, LONGEST_TITLE).alias("title"), doi.alias("doi"), year.alias("year"), F.substring(head, 1, LONGEST_EXCERPT).alias("excerpt"))
 
 

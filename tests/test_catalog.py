@@ -95,3 +95,10 @@ def test_a_table_of_more_rows_than_an_import_may_have(spark, tmp_path):
     assert got.columns == ["o_totalprice", "o_orderkey"] and got.count() == 2_000_001
     with pytest.raises(EngineError, match="invalid_rows"):  # as an import
         files.read_selected(spark, f"{tmp_path}/orders.parquet", ["o_totalprice", "o_orderkey"])
+
+
+def test_titles_whose_number_looks_like_a_year(spark, tmp_path):
+    import duckdb
+
+    duckdb.execute(f"COPY (SELECT unnest([7, 1905, 2010, 12000, 19991, 2147000])::BIGINT AS page_id) TO '{tmp_path}/pages.parquet'")
+    assert not _differs_from_sql(spark, "document_records", tmp_path)
