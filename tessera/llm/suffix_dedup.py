@@ -11,15 +11,16 @@ To spread the index over tasks, every string of ``size`` bytes (window) belongs
 smallest hash among its pieces of PIECE bytes, which equal windows have in common. Successive
 windows with one anchor form a segment. Anchors are counted first, with counts combined before the
 shuffle, and segments whose piece stands in one place of the corpus only are dropped in a join.
-Equal segments are one string with an earliest place, found by aggregation; all later places lose
-all windows. Strings go into the index at their earliest place, but for one that has its anchor to
-itself and once only, as no other window can equal one of its own; the strings of an anchor always
-meet in one index, with those of many other anchors. A block of texts sends each string once, so a
-hot passage brings few rows; no window function holds an anchor, and hot keys of the joins have one
-row on their other side, so adaptive execution can split them. Where one anchor has over HOT
+Equal segments are one string with an earliest place; all later places lose all windows. This, and how
+many strings an anchor has, is settled by windows in order of (anchor, string, place), where the join
+has put the segments, so that they move once. Strings go into the index at their earliest place, but for one that
+has its anchor to itself and once only, as no other window can equal one of its own; the strings of an
+anchor always meet in one index, with those of many other anchors. A block of texts sends each string
+once, so a hot passage brings few rows, and windows spill. Where one anchor has over HOT
 different strings, as the edges of a passage that very many documents quote, they are cut into
-single windows, and the earliest of equal windows stays. Nothing is capped. All joins are merge
-joins: lists of segments and spans grow with the corpus and are never broadcast.
+single windows, which meet by what they are, and the earliest of equal ones stays. Both come from one pass over
+the texts. Nothing is capped. All joins are merge joins: lists of segments and spans grow with the
+corpus and are never broadcast.
 
 Defined results: a null text has no bytes; texts shorter than ``size`` lose nothing; documents of
 equal id are not earlier than each other at the same place; a null id counts as smaller than all
@@ -34,7 +35,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textnum as t
@@ -71,7 +73,7 @@ def piece_hashes(data: np.ndarray) -> np.ndarray:
 
 IDENTITY = ["_id", "_none", "version"]
 SEGMENT = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, again boolean, later boolean"
-STRING = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, bytes binary"
+STRING = "_id long, _none boolean, version long, anchor long, string long, place long, windows int, bytes binary, unit long"
 SPAN = "_id long, _none boolean, version long, begin long, finish long"
 
 
@@ -186,9 +188,10 @@ def _segments(size: int):
     return run
 
 
-def _strings(size: int, single: bool):
-    """The segments of each document's list with their bytes, or, ``single``, their windows. Rows
-    come in order of identity; of rows that are the same only the first is taken."""
+def _strings(size: int):
+    """The segments of each document's list with their bytes, or, of hot anchors, their windows. unit: where
+    they meet, those of an anchor, or equal windows. Rows come in order of identity; of rows that are the same
+    only the first is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list = [None] * 3
@@ -203,21 +206,25 @@ def _strings(size: int, single: bool):
             last = [x[-1] for x in identity] if batch.num_rows else last
             for i, j, data, off in t.column_blocks(batch.column(3)):
                 own = np.repeat(fresh_row[i:j], np.diff(of[i : j + 1]))
-                row = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))[own]
-                anchor, string, place, windows = (flat[c][of[i] : of[j]][own] for c in ("anchor", "string", "place", "windows"))
-                if single:
-                    nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-                    row, anchor, place, windows = np.repeat(row, windows), np.repeat(anchor, windows), np.repeat(place, windows) + nth, np.ones(windows.sum(), np.int32)
-                start = off[row] + place
-                end = start + windows + size - 1
-                if single:
-                    string = t.string_hashes(data, start, end).view(np.int64)
-                whole = b"" if single else data.tobytes()
-                for c in range(0, len(row), 20_000):
-                    part = slice(c, c + 20_000)
-                    at = pa.array(row[part] + i)
-                    texts = pa.nulls(len(at), pa.binary()) if single else pa.array([whole[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], pa.array(anchor[part]), pa.array(string[part]), pa.array(place[part]), pa.array(windows[part].astype(np.int32)), texts], [*IDENTITY, "anchor", "string", "place", "windows", "bytes"])
+                rows = np.repeat(np.arange(j - i), np.diff(of[i : j + 1]))[own]
+                listed_here = [flat[c][of[i] : of[j]][own] for c in ("anchor", "string", "place", "windows")]
+                hot, whole = flat["hot"][of[i] : of[j]][own].astype(bool), data.tobytes()
+                for single in (False, True):
+                    row, anchor, string, place, windows = (x[hot == single] for x in (rows, *listed_here))
+                    if single:
+                        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+                        row, anchor, place, windows = np.repeat(row, windows), np.repeat(anchor, windows), np.repeat(place, windows) + nth, np.ones(windows.sum(), np.int32)
+                    start = off[row] + place
+                    end = start + windows + size - 1
+                    unit = anchor
+                    if single:
+                        string = t.string_hashes(data, start, end).view(np.int64)
+                        unit = t.mix(anchor.view(U) + string.view(U) * U(0xD1342543DE82EF95)).view(np.int64)
+                    for c in range(0, len(row), 20_000):
+                        part = slice(c, c + 20_000)
+                        at = pa.array(row[part] + i)
+                        texts = pa.nulls(len(at), pa.binary()) if single else pa.array([whole[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([*[batch.column(k).take(at) for k in range(3)], pa.array(anchor[part]), pa.array(string[part]), pa.array(place[part]), pa.array(windows[part].astype(np.int32)), texts, pa.array(unit[part])], [*IDENTITY, "anchor", "string", "place", "windows", "bytes", "unit"])
 
     return run
 
@@ -327,9 +334,13 @@ def earliest(strings: list[bytes], windows: np.ndarray, doc: np.ndarray, place:
 
 
 def _index(size: int):
-    """Spans that strings lose at their earliest place."""
+    """Spans that strings, and single windows, which have no bytes, lose at their earliest place."""
 
     def handle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        single = table.column("bytes").is_null()
+        if pc.any(single).as_py():
+            yield windows_of(table.filter(single))
+            table = table.filter(pc.invert(single))
         starts = run_starts(table.column("anchor").to_numpy())
         upto = np.r_[0, np.cumsum(table.column("windows").to_numpy() + size)][starts]
         a = 0
@@ -338,6 +349,17 @@ def _index(size: int):
             yield one(table.slice(starts[a], starts[b] - starts[a]))
             a = b
 
+    def windows_of(table: pa.Table) -> pa.RecordBatch:
+        ids, none, anchor, string, place = (table.column(c).to_numpy() for c in ("_id", "_none", "anchor", "string", "place"))
+        doc = np.where(none, 0, ids)
+        turn = np.lexsort((place, doc, ~none, string, anchor))
+        none, anchor, string, place, doc = (x[turn] for x in (none, anchor, string, place, doc))
+        new = np.r_[True, (anchor[1:] != anchor[:-1]) | (string[1:] != string[:-1])]
+        of = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))  # the earliest of equal ones
+        late = (doc != doc[of]) | (none != none[of]) | (place != place[of])
+        at = pa.array(turn[late])
+        return pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(at) for c in (*IDENTITY, "anchor", "string")], pa.array(place[late]), pa.array(place[late] + size)], [*IDENTITY, "anchor", "string", "begin", "finish"])
+
     def one(table: pa.Table) -> pa.RecordBatch:
         known = ~table.column("_none").to_numpy(zero_copy_only=False)
         ids = table.column("_id").to_numpy()
@@ -351,7 +373,7 @@ def _index(size: int):
         at = pa.array(string[later])
         return pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(at) for c in (*IDENTITY, "anchor", "string")], pa.array(begin[later]), pa.array((begin + n + size - 1)[later])], [*IDENTITY, "anchor", "string", "begin", "finish"])
 
-    return by_runs("anchor", handle, rows=INDEX_ROWS)
+    return by_runs("unit", handle, rows=INDEX_ROWS)
 
 
 def kept(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -393,41 +415,28 @@ def repeated_spans(texts: DataFrame, size: int = 100) -> DataFrame:
     rows = texts.mapInArrow(_segments(size), SEGMENT)
     counted = texts.mapInArrow(_anchors(size), "anchor long, several boolean").groupBy("anchor").agg(F.count("*").alias("n"), F.max("several").alias("several"))
     repeated = written(counted.where("n > 1 or several").select("anchor", F.lit(True).alias("hit")), "anchors")
-    found = written(rows.join(repeated.hint("merge"), "anchor", "left").where("later or hit").drop("hit"), "segments")
-    end = (F.col("place") + F.col("windows") + size - 1).alias("finish")
-    spans = found.where("later").select(*IDENTITY, F.col("place").alias("begin"), end)
-
     # of equal strings the earliest; of those that are equally early, any
-    found = found.where("not later").drop("later").withColumn("turn", F.struct(~F.col("_none"), F.when(F.col("_none"), 0).otherwise(F.col("_id")), "place"))
-    strings = written(found.groupBy("anchor", "string").agg(F.min("turn").alias("least"), F.min_by(F.struct(*IDENTITY), F.struct("turn", *IDENTITY)).alias("at"), F.first("windows").alias("windows"), F.max("again").alias("again")), "strings")
+    turn = F.struct((~F.col("_none")).alias("known"), F.when(F.col("_none"), 0).otherwise(F.col("_id")).alias("doc"), "place")
+    anchored = Window.partitionBy("later", "anchor")
+    ordered = Window.partitionBy("later", "anchor", "string").orderBy("turn", *IDENTITY)
+    met = rows.join(repeated.hint("merge"), "anchor", "left").where("later or hit").withColumn("turn", turn)
+    met = met.withColumn("chosen", F.row_number().over(ordered) == 1).withColumn("early", F.col("turn") == F.first("turn").over(ordered)).withColumn("tie", F.struct(*IDENTITY) != F.first(F.struct(*IDENTITY)).over(ordered))
+    n = F.count_if("chosen").over(anchored)
     # the only string of an anchor whose piece it has once shares no window with anything
-    indexed = written(strings.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor", (F.col("n") > HOT).alias("hot")), "indexed")
-    joined = found.join(strings.select("anchor", "string", "least", "at").hint("merge"), ["anchor", "string"])
-    early = F.col("turn") == F.col("least")
-    spans = spans.unionByName(joined.where(~early).select(*IDENTITY, F.col("place").alias("begin"), end))
-    ties = written(joined.where(early & (F.struct(*IDENTITY) != F.col("at"))).select(*IDENTITY, "anchor", "string", "place", "windows").distinct(), "ties")
-    tied = not ties.isEmpty()
-
-    def with_bytes(segments: DataFrame, single: bool) -> DataFrame:
-        listed = segments.groupBy(*IDENTITY).agg(F.collect_list(F.struct("anchor", "string", "place", "windows")).alias("segments"))
-        full = texts.join(listed.hint("merge"), IDENTITY).select(*IDENTITY, "text", "segments")
-        return full.mapInArrow(_strings(size, single), STRING)
-
-    chosen = strings.join(indexed.hint("merge"), "anchor").select("at.*", "anchor", "string", F.col("least.place").alias("place"), "windows", "hot")
-    plain = with_bytes(chosen.where("not hot"), False).repartition("anchor").sortWithinPartitions("anchor")
-    lost = plain.mapInArrow(_index(size), SPAN.replace("begin", "anchor long, string long, begin"))
-    if tied:
+    met = met.withColumn("indexed", (n > 1) | F.max("again").over(anchored)).withColumn("hot", n > HOT)
+    found = written(met.select(*IDENTITY, "anchor", "string", "place", "windows", (F.col("later") | ~F.col("early")).alias("lost"), "chosen", (F.col("early") & F.col("tie")).alias("tie"), "indexed", "hot").where("lost or indexed or tie"), "segments")
+    end = (F.col("place") + F.col("windows") + size - 1).alias("finish")
+    spans = found.where("lost").select(*IDENTITY, F.col("place").alias("begin"), end)
+
+    kept_here = found.where("not lost and indexed and (chosen or (hot and tie))")
+    listed = kept_here.groupBy(*IDENTITY).agg(F.collect_list(F.struct("anchor", "string", "place", "windows", "hot")).alias("segments"))
+    full = texts.join(listed.hint("merge"), IDENTITY).select(*IDENTITY, "text", "segments").mapInArrow(_strings(size), STRING)
+    lost = full.repartition("unit").sortWithinPartitions("unit").mapInArrow(_index(size), SPAN.replace("begin", "anchor long, string long, begin"))
+    ties = found.where("not lost and indexed and tie and not hot").select(*IDENTITY, "anchor", "string")
+    if not ties.isEmpty():
         lost = written(lost, "lost")
-        spans = spans.unionByName(ties.drop("place", "windows").join(lost.drop(*IDENTITY), ["anchor", "string"]).drop("anchor", "string"))
+        spans = spans.unionByName(ties.join(lost.drop(*IDENTITY).hint("merge"), ["anchor", "string"]).drop("anchor", "string"))
     spans = spans.unionByName(lost.drop("anchor", "string"))
-    if not indexed.where("hot").isEmpty():
-        hot = chosen.where("hot").drop("hot")
-        if tied:
-            hot = hot.unionByName(ties.join(indexed.where("hot").drop("hot"), "anchor"))
-        single = written(with_bytes(hot, True).drop("bytes", "windows"), "windows").withColumn("turn", F.struct(~F.col("_none"), F.when(F.col("_none"), 0).otherwise(F.col("_id")), "place"))
-        least = single.groupBy("anchor", "string").agg(F.min("turn").alias("least"))
-        late = single.join(least, ["anchor", "string"]).where(F.col("turn") != F.col("least"))
-        spans = spans.unionByName(late.select(*IDENTITY, F.col("place").alias("begin"), (F.col("place") + size).alias("finish")))
     return spans.groupBy(*IDENTITY).agg(F.collect_set(F.struct("begin", "finish")).alias("spans"))
 
 

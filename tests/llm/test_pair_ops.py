@@ -229,3 +229,18 @@ def test_components(spark):
     nodes = {x for e in edges for x in e}
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {n: c for n, c in groups(nodes, edges).items() if n in linked}
+
+
+def test_hot_anchors_move_no_text_again(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    quoted = "".join(rng.choice(list("abcdefgh"), 150))
+    rows = [(i, "".join(rng.choice(list("stuvwxyz"), 90)) + quoted + "".join(rng.choice(list("stuvwxyz"), 90))) for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df, plans, got = spark.read.parquet(str(tmp_path / "docs")), [], []
+    for hot in (2, 2000):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        d = suffix_dedup.dedup_digest(df)
+        plans.append(d._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        got.append(sorted(repr(tuple(r)) for r in d.collect()))
+    assert plans[0] == plans[1]
+    assert got[0] == got[1] == brute(rows, 100)
