@@ -35,7 +35,7 @@ CHUNK, BLOCK = 64, 1 << 20
 #: Entries that are worked on at once.
 PORTION = 1 << 21
 SUMS = "draw long, k int, v double"
-CELL = "s int, i int, j int, kind int, data binary"
+CELL = "s int, i int, j int, kind int, draw long, data binary"
 OBSERVED = -1
 
 
@@ -140,24 +140,48 @@ def listed_orders(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]
 
 
 def _entries(block: int, orders: Callable):
-    """Rows of CELL: the draw, unit and path of each entry that an order takes in a cell."""
+    """Rows of CELL: the draw, and unit and path of each entry that an order takes in a cell, made for one
+    block of units at a time, so that beside an order itself nothing grows with the number of units. As a
+    draw leaves 1 / n of a block's entries in each of its n cells, n chunks make up a group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ints = lambda x: pa.array(np.asarray(x, np.int32))
         for batch in batches:
             for s, draw, donors in orders(batch):
-                unit = np.arange(len(donors))
-                cell = unit // block * (len(donors) // block + 1) + donors // block
-                turn = np.argsort(cell, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(cell[turn]) != 0, True])
-                data = np.stack([np.full(len(donors), draw), unit % block, donors % block], 1)[turn].astype(np.int64)
-                at = turn[cuts[:-1]]
-                rows = [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                ints = lambda x: pa.array(np.asarray(x, np.int32))
-                yield pa.RecordBatch.from_arrays([ints(np.full(len(rows), s)), ints(unit[at] // block), ints(donors[at] // block), ints(np.full(len(rows), 2)), pa.array(rows, pa.binary())], ["s", "i", "j", "kind", "data"])
+                group = s if draw == OBSERVED else s // -(-len(donors) // block)
+                for i in range(0, len(donors), block):
+                    part = donors[i : i + block]
+                    cell = part // block
+                    turn = np.argsort(cell, kind="stable")
+                    cuts = np.flatnonzero(np.r_[True, np.diff(cell[turn]) != 0, True])
+                    data = np.stack([turn, part[turn] % block], 1).astype(np.int32)
+                    rows = [data[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                    n = len(rows)
+                    yield pa.RecordBatch.from_arrays([ints(np.full(n, group)), ints(np.full(n, i // block)), ints(cell[turn[cuts[:-1]]]), ints(np.full(n, 2)), pa.array(np.full(n, draw, np.int64)), pa.array(rows, pa.binary())], ["s", "i", "j", "kind", "draw", "data"])
 
     return run
 
 
+def _portions(parts: list[pa.Buffer], draw: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Draw, unit and path of the entries, in order, about ``most`` at once."""
+    held, n = [], 0
+    for k, part in enumerate(parts):
+        entries = np.frombuffer(part, np.int32).reshape(-1, 2)
+        for c in range(0, len(entries), most):
+            held.append((draw[k], entries[c : c + most]))
+            n += len(held[-1][1])
+            if n >= most:
+                yield _joined(held)
+                held, n = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    both = np.concatenate([e for _, e in held])
+    return np.repeat([d for d, _ in held], [len(e) for _, e in held]), both[:, 0], both[:, 1]
+
+
 def _products(periods: int, block: int, moderated: bool, unit_effects: bool, time_effects: bool):
     """Rows of SUMS of a cell. Of the path d and its product z with the moderator, k counts: products with
     the freed y (and moderator), products among them, sums by period."""
@@ -165,12 +189,11 @@ def _products(periods: int, block: int, moderated: bool, unit_effects: bool, tim
     def run(table: pa.Table) -> pa.Table:
         kind, data = table.column("kind").to_numpy(), table.column("data")
         matrices = {int(k): np.frombuffer(data[int(r)].as_buffer(), np.float64).reshape(-1, block, periods) for r, k in enumerate(kind) if k < 2}
-        taken = np.concatenate([np.frombuffer(data[int(r)].as_buffer(), np.int64).reshape(-1, 3) for r in np.flatnonzero(kind == 2)] or [np.zeros((0, 3), np.int64)])
-        taken = taken[np.argsort(taken[:, 0], kind="stable")]
-        draws, sums = np.unique(taken[:, 0]), None
-        step = max(1, PORTION // periods)
-        for c in range(0, len(taken), step):
-            draw, u, v = taken[c : c + step].T
+        rows_of = np.flatnonzero(kind == 2)
+        rows_of = rows_of[np.argsort(table.column("draw").to_numpy()[rows_of], kind="stable")]
+        draw_of = table.column("draw").to_numpy()[rows_of].astype(np.int64)
+        draws, sums = np.unique(draw_of), None
+        for draw, u, v in _portions([data[int(r)].as_buffer() for r in rows_of], draw_of, max(1, PORTION // periods)):
             own = matrices[0][:, u]
             there = ~np.isnan(own[0])
             n = np.maximum(there.sum(1), 1)[:, None]
@@ -232,8 +255,8 @@ def coefficients(sample: Sample, chunks: DataFrame, orders: Callable) -> DataFra
     n = -(-sample.units // sample.block)
     entries = written(chunks.mapInArrow(_entries(sample.block, orders), CELL), "entries")
     cells = entries.select("s", "i", "j").distinct()
-    own = cells.join(sample.own, F.col("i") == F.col("block")).select("s", "i", "j", F.lit(0).alias("kind"), "data")
-    paths = cells.join(sample.paths, F.col("j") == F.col("block")).select("s", "i", "j", F.lit(1).alias("kind"), "data")
+    own = cells.join(sample.own, F.col("i") == F.col("block")).select("s", "i", "j", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("draw"), "data")
+    paths = cells.join(sample.paths, F.col("j") == F.col("block")).select("s", "i", "j", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("draw"), "data")
     moderated, times = sample.fixed is not None, sample.solve.shape[0] > 1 or sample.periods == 1
     grouped = entries.unionByName(own).unionByName(paths).repartition(max(n * n, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "s", "i", "j").groupBy("s", "i", "j")
     sums = grouped.applyInArrow(_products(sample.periods, sample.block, moderated, sample.unit_effects, times), SUMS)

@@ -134,3 +134,18 @@ def test_places_in_long_groups(spark):
     spread = got.where("g = 'a'").select("place").distinct().count()
     assert spread == 900
     assert ranked(d.where("false"), [], [F.col("i")], "place").count() == 0
+
+
+def test_entries_of_an_order_are_made_block_by_block():
+    import pyarrow as pa
+
+    order = np.random.default_rng(5).permutation(1000)
+    got = list(permutation._entries(100, lambda batch: iter([(7, 450, order)]))([pa.RecordBatch.from_pydict({"x": [1]})]))
+    assert len(got) == 10 and all(sum(map(len, b.column(5).to_pylist())) <= 100 * 8 for b in got)
+    found = {}
+    for b in got:
+        for r in b.to_pylist():
+            assert r["s"] == 0 and r["draw"] == 450  # ten blocks: chunks of ten times as many draws
+            for u, v in np.frombuffer(r["data"], np.int32).reshape(-1, 2):
+                found[r["i"] * 100 + u] = r["j"] * 100 + v
+    assert [found[k] for k in range(1000)] == order.tolist()
