@@ -41,11 +41,8 @@ def cascade(events: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.join(hit, ["project_id", "table"], "left").withColumn("stale", F.col("stale") | F.coalesce("_hit", F.lit(False))).drop("_hit").select(*entities.columns)
 
 
-def stage_status(p: DataFrame) -> DataFrame:
-    """project_id, stage, status from one row for each project of what its latest entities are:
-    direction, n_included, search_status, set_status, set_stale, selected, selected_stale,
-    plan_status, plan_stale, run_status, run_stale, step_failed, binding_confirmed, proposal,
-    proposal_stale, proposal_confirmed, active (kinds of running jobs)."""
+def _stages() -> Column:
+    """seq, stage, status of a project's stages, from the columns of its row."""
     is_ = lambda c, v: F.coalesce(F.col(c) == v, F.lit(False))
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     active = lambda *kinds: F.coalesce(F.arrays_overlap("active", F.array(*[F.lit(k) for k in kinds])), F.lit(False))
@@ -58,8 +55,25 @@ def stage_status(p: DataFrame) -> DataFrame:
         "data": F.when(yes("run_stale"), "stale").when(active("analysis", "dataset"), "running").when(is_("run_status", "failed") | yes("step_failed"), "failed").when(is_("run_status", "succeeded"), "completed").when(yes("binding_confirmed"), "ready"),
         "proposal": F.when(active("proposal"), "running").when(yes("proposal_stale"), "stale").when(yes("proposal_confirmed"), "confirmed").when(yes("proposal"), "completed"),
     }
-    rows = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(s).alias("stage"), F.coalesce(states[s], F.lit("not_started")).alias("status")) for i, s in enumerate(STAGES)])
-    return p.select("project_id", F.explode(rows).alias("r")).select("project_id", "r.*")
+    return F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(s).alias("stage"), F.coalesce(states[s], F.lit("not_started")).alias("status")) for i, s in enumerate(STAGES)])
+
+
+def stage_status(p: DataFrame) -> DataFrame:
+    """project_id, stage, status from one row for each project of what its latest entities are:
+    direction, n_included, search_status, set_status, set_stale, selected, selected_stale,
+    plan_status, plan_stale, run_status, run_stale, step_failed, binding_confirmed, proposal,
+    proposal_stale, proposal_confirmed, active (kinds of running jobs)."""
+    return p.select("project_id", F.explode(_stages()).alias("r")).select("project_id", "r.*")
+
+
+def project_flow(p: DataFrame) -> DataFrame:
+    """What ``flow`` gives of the ``stage_status`` of the projects. Stages are counted in the row that
+    they are made of, so three numbers a row are dealt by project."""
+    each = p.select("project_id", _stages().alias("r"))
+    done = F.size(F.filter("r", lambda x: x["status"].isin("completed", "confirmed")))
+    first = F.get(F.filter("r", lambda x: x["status"].isin(OPEN)), F.lit(0))["seq"]
+    dealt = each.select("project_id", done.cast("long").alias("_n"), first.alias("_f")).repartition("project_id")
+    return dealt.groupBy("project_id").agg(F.sum("_n").alias("n_done"), F.min("_f").alias("_f")).select("project_id", "n_done", F.get(F.array(*[F.lit(s) for s in STAGES]), F.col("_f")).alias("next_stage"))
 
 
 def flow(status: DataFrame) -> DataFrame:

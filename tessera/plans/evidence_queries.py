@@ -261,10 +261,13 @@ _STAGE_SQL = {
 }
 
 
-def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "customer").createOrReplaceTempView("tessera_customer")
-    state = spark.sql(_STATE.replace("FROM customer", "FROM tessera_customer")).withColumn("active", F.array("job"))
-    return workflow.stage_status(state)
+    return spark.sql(_STATE.replace("FROM customer", "FROM tessera_customer")).withColumn("active", F.array("job"))
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workflow.stage_status(_projects(spark, sf_dir))
 
 
 @query(f"WITH s AS ({_STATE}) " + " UNION ALL ".join(f"SELECT project_id, {i}::INT AS seq, '{k}' AS stage, {v} AS status FROM s" for i, (k, v) in enumerate(_STAGE_SQL.items())))
@@ -274,7 +277,7 @@ def stage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH s AS ({_STATE}), a AS (" + " UNION ALL ".join(f"SELECT project_id, {i} AS seq, '{k}' AS stage, {v} AS status FROM s" for i, (k, v) in enumerate(_STAGE_SQL.items())) + "), b AS (SELECT *, status IN ('completed', 'confirmed') AS done FROM a) SELECT project_id, (count(*) FILTER (done))::BIGINT AS n_done, arg_min(stage, seq) FILTER (status IN ('not_started', 'awaiting_selection', 'draft', 'stale', 'failed', 'ready')) AS next_stage FROM b GROUP BY project_id")
 def stage_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workflow.flow(_status(spark, sf_dir))
+    return workflow.project_flow(_projects(spark, sf_dir))
 
 
 @query("SELECT event_type, count(*)::BIGINT AS n_calls, sum(event_id % 100)::BIGINT AS input_tokens, sum(user_id % 50)::BIGINT AS output_tokens FROM events GROUP BY event_type")

@@ -102,3 +102,12 @@ def test_titles_whose_number_looks_like_a_year(spark, tmp_path):
 
     duckdb.execute(f"COPY (SELECT unnest([7, 1905, 2010, 12000, 19991, 2147000])::BIGINT AS page_id) TO '{tmp_path}/pages.parquet'")
     assert not _differs_from_sql(spark, "document_records", tmp_path)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stages_are_counted_before_they_are_dealt(spark):
+    plan = plan_of(catalog.queries()["stage_flow"](spark, DATA))
+    assert "Generate" not in plan and "SortAggregate" not in plan

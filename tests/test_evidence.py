@@ -257,3 +257,8 @@ def test_case_and_readiness(spark):
     out = cases.readiness(d, roles, binding | {"o": "nope"}, False, True)
     assert out["missing"] == ["o"] and out["todo"] == ["confirm the plan", "bind o"]
     assert "the treatment is not 0 or 1" in cases.readiness(d, roles, binding | {"x": "year"}, True, True)["todo"]
+
+
+def test_flow_of_projects_equals_that_of_their_stages(spark):
+    rows = spark.range(400).selectExpr("id % 390 AS project_id", "if(id % 7 = 0, ' ', 'x') AS direction", "int(id % 4) AS n_included", "'failed' AS search_status", "if(id % 5 = 0, null, 'ready') AS set_status", "id % 13 = 0 AS set_stale", "id % 2 = 0 AS selected", "id % 17 = 0 AS selected_stale", "if(id % 4 = 0, 'confirmed', null) AS plan_status", "id % 11 = 0 AS plan_stale", "if(id % 6 = 0, 'succeeded', null) AS run_status", "id % 19 = 0 AS run_stale", "id % 23 = 0 AS step_failed", "id % 3 = 1 AS binding_confirmed", "id % 5 = 1 AS proposal", "id % 10 = 1 AS proposal_stale", "id % 2 = 1 AS proposal_confirmed", "array('none') AS active")
+    assert sorted(workflow.project_flow(rows).collect()) == sorted(workflow.flow(workflow.stage_status(rows)).collect())
