@@ -113,10 +113,17 @@ def resolve(df: DataFrame, text: str) -> Column:
     return numeric(df, text) if text in df.columns else formula(df, text)
 
 
+def _shape(n: ast.AST | list | object) -> str:
+    """What ast.dump tells of a tree, without names of fields; contexts follow from where a name stands."""
+    if isinstance(n, ast.AST):
+        return f"{type(n).__name__}({','.join([_shape(getattr(n, f, None)) for f in n._fields if f != 'ctx'])})"
+    return f"[{','.join(map(_shape, n))}]" if isinstance(n, list) else repr(n)
+
+
 def canonical(text: str) -> str:
     """Text that is equal for formulas of equal structure; white space doesn't count."""
     try:
-        return ast.dump(ast.parse(text, mode="eval"))
+        return _shape(ast.parse(text, mode="eval").body)
     except (SyntaxError, RecursionError, ValueError) as e:
         raise EngineError("robustness_args", "the formula can't be parsed") from e
 

@@ -108,6 +108,11 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_formulas_are_spread_before_they_are_parsed(spark):
+    plan = plan_of(catalog.queries()["formula_canonical"](spark, DATA))
+    assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM") < plan.index("Scan parquet")
+
+
 def test_stages_are_counted_before_they_are_dealt(spark):
     plan = plan_of(catalog.queries()["stage_flow"](spark, DATA))
     assert "Generate" not in plan and "SortAggregate" not in plan

@@ -51,3 +51,12 @@ def test_numeric_coercion(spark):
     assert [r[0] for r in d.select(numeric(d, "s")).collect()] == [1.0, None, None, -5.0, None, None]
     b = spark.createDataFrame([(True,)], "b boolean")
     assert b.select(numeric(b, "b")).first()[0] == 1.0 and b.select(F.lit(1)).count() == 1
+
+
+def test_canonical_texts_differ_as_trees_do():
+    import ast
+
+    texts = ["a+b", " a + b", "b+a", "a+b*2", "(a+b)*2", "a+(b*2)", "1", "1.0", "-1", "+1", "f(a)", "f(a, b)", "f(a, k=b)", "f(*a)", "'1'", "b'1'", "u'1'", "a.b", "a[1]", "a < b < c", "lambda x: x", "[a, b]", "(a, b)", "{1: a}", "True", "None", "x if y else z"]
+    trees = [ast.dump(ast.parse(t.strip(), mode="eval")) for t in texts]
+    shapes = [canonical(t.strip()) for t in texts]
+    assert [[a == b for b in trees] for a in trees] == [[a == b for b in shapes] for a in shapes]
