@@ -37,10 +37,27 @@ def strip_tags(col: Column) -> Column:
     return F.regexp_replace(col, "<[^>]+>", " ")
 
 
+def inverted_index(words: Column) -> Column:
+    """Map from the words of an array to their positions, from 0. Words are sorted with their positions, and
+    runs of equal ones cut, within the row: no word leaves it. NULL for NULL."""
+    placed = F.sort_array(F.transform(words, lambda w, p: F.struct(w.alias("w"), p.alias("p"))))
+    # bound once: what a lambda takes is computed for it, not for each use
+    cut = F.transform(F.array(placed), lambda s: F.struct(s.alias("s"), F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1)["w"] != F.get(s, i - 2)["w"])).alias("at")))
+
+    def entry(x: Column) -> Column:
+        def one(i: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(x["at"], k + 1), F.size(x["s"]) + 1)
+            return F.struct(F.get(x["s"], i - 1)["w"].alias("key"), F.transform(F.slice(x["s"], i, end - i), lambda y: y["p"]).alias("value"))
+
+        return F.map_from_entries(F.transform(x["at"], one))
+
+    return F.when(F.size(words) > 0, F.get(F.transform(cut, entry), F.lit(0))).when(words.isNotNull(), F.create_map().cast("map<string,array<int>>"))
+
+
 def abstract_of(index: Column) -> Column:
     """Text of a map from words to their positions; NULL if there are none."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    return F.nullif(F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "), F.lit(""))
+    return F.nullif(F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " "), F.lit(""))
 
 
 def query_terms(col: Column) -> Column:

@@ -47,10 +47,9 @@ def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, nullif(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''), ' '), '') AS text FROM documents")
 def inverted_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word -> positions and back again."""
-    places = F.expr("filter(split(text, '\\\\s+'), w -> w <> '')")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(places).alias("p", "w"))
-    index = d.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.filter(F.collect_list(F.struct("w", "ps")), lambda e: e["w"].isNotNull())).alias("index"))
+    """Word -> positions and back again, row by row."""
+    words = F.expr("filter(split(text, '\\\\s+'), w -> w <> '')")
+    index = table(spark, sf_dir, "documents").select("doc_id", tx.inverted_index(words).alias("index"))
     return index.select("doc_id", tx.abstract_of(F.col("index")).alias("text"))
 
 

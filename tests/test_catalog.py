@@ -108,6 +108,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_words_of_documents_are_not_shuffled(spark, tmp_path):
+    import duckdb
+
+    long = " ".join(f"w{i % 700}" for i in range(5000))
+    duckdb.execute(f"COPY (SELECT * FROM (VALUES (1, 'b a  b' || chr(10) || 'c a'), (1, 'another under one id'), (2, NULL), (3, '  '), (4, ''), (5, '{long}'), (NULL, 'é É e')) d(doc_id, text)) TO '{tmp_path}/documents.parquet'")
+    assert not _differs_from_sql(spark, "inverted_index_roundtrip", tmp_path)
+    assert "Exchange" not in plan_of(catalog.queries()["inverted_index_roundtrip"](spark, str(tmp_path)))
+
+
 def test_formulas_are_spread_before_they_are_parsed(spark):
     plan = plan_of(catalog.queries()["formula_canonical"](spark, DATA))
     assert plan.index("ArrowEvalPython") < plan.index("REPARTITION_BY_NUM") < plan.index("Scan parquet")
