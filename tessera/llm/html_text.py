@@ -1,4 +1,4 @@
-"""Main text of web pages: page structure first, a suffix array over each host where it is silent.
+"""Main text of web pages: a suffix array over each host, checked by page structure.
 
 A page is read as a stream of tags and text with a stack of open elements. Elements that are not
 main text by name (menus, site headers, footers, scripts, styles, hidden parts) are left out; forms and
@@ -12,15 +12,23 @@ Articles are it if the largest holds at least half of the text of all articles a
 is; without main, articles are it if they hold at least half of the text of the page. Articles
 beside the largest whose text is a link for four fifths are cards and left out.
 
-Other pages give their remaining blocks to the host suffix array: token streams of a
-host's pages, joined with marks between them, are sorted by suffix; runs of at least RUN tokens that
-distinct pages share are boilerplate, and what they cover is removed; unique runs stay. A host may
-hold a third of all pages, so its streams are cut where they can't miss a repeat: every window of
-RUN tokens belongs to its smallest hash of PIECE tokens, windows in a row with one such anchor form
-a segment, equal segments are one string with its smallest and largest page, and the strings of an
+All pages go to the host suffix array, in two streams: marked main text, and the blocks besides it,
+which of a page without marks are all. Token streams of a kind and host, joined with marks between
+them, are sorted by suffix; runs of at least RUN tokens that distinct pages share are proposed as
+boilerplate. Then page structure is the check. On pages without marks the proposed runs are removed and
+unique ones stay; what pages that do mark their main text have besides it is evidence there. In marked
+main text the proposal is refused, as an article on two pages is still the article: nothing is removed,
+and ``n_shared`` counts the words of the text that it named.
+
+A host may hold a third of all pages, so its streams are cut where they can't miss a repeat: every
+window of RUN tokens belongs to its smallest hash of PIECE tokens, windows in a row with one such anchor
+form a segment, equal segments are one string with its smallest and largest page, and the strings of an
 anchor meet in one array. Where an anchor has over HOT different strings, they are cut into
-single windows, which split further by content. On hosts with such pages, what pages that do mark
-their main text have besides it is evidence, too; nothing is removed from those pages.
+single windows, which split further by content. A segment alone with its anchor shares nothing, so pages
+are cut twice: once to see which anchors repeat and which of them have different strings, packed to eight
+bytes a segment; and once to keep the segments of the former, with tokens for the latter, as equal strings
+need no array. What the second cut is told are bits of hashes, so it may keep too much, never too little,
+but for strings of an anchor that differ and are equal in 36 bits, which are judged one by one.
 
 Defined results: null or empty html gives an empty text; character references are decoded once;
 white space in a block becomes one space; unclosed elements end with their parent; a page without
@@ -32,9 +40,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +55,10 @@ from tessera.llm.shared import by_runs
 from tessera.operators.tables import written
 
 RUN, PIECE, HOT = 10, 4, 2000
+OUTSIDE, INSIDE = "0", "1"
+#: Buckets of hashes by their first BITS bits, bits of a bucket's table, and words that are packed at a time.
+BITS, MOST_BITS, PACKED = 10, 1 << 19, 1 << 20
+MOST_SEEN = 500_000
 U = np.uint64
 
 MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
@@ -265,18 +278,24 @@ def split(html: str) -> tuple[list[str] | None, list[str]]:
     return [b for p, b in found if keep(*p[:2])], [b for p, b in found if not keep(*p[:2])]
 
 
-PARSED = "page_id long, url string, version long, host string, text string, blocks array<string>"
-
-
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The marked main text of each page, null if it marks none, and its other blocks."""
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, int, list[str]]]:
+    """Name, host, page, blocks of the streams of each page (host, page, html): OUTSIDE and INSIDE of marked
+    main text, which never share an anchor."""
     for batch in batches:
         for c in range(0, batch.num_rows, 500):
             part = batch.slice(c, 500)
-            got = [split(h) if h else ([], []) for h in part.column(2).to_pylist()]
-            texts = pa.array([None if main is None else "\n".join(main) for main, _ in got], pa.string())
-            rest = pa.array([r for _, r in got], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), part.column(4), texts, rest], ["page_id", "url", "version", "host", "text", "blocks"])
+            for host, page, html in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+                main, rest = split(html) if html else ([], [])
+                if rest:
+                    yield OUTSIDE, OUTSIDE + host, page, rest
+                if main:
+                    yield INSIDE, INSIDE + host, page, main
+
+
+def _given(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, int, list[str]]]:
+    for batch in batches:
+        for host, page, found in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            yield host, host, page, found
 
 
 def _tokens(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -288,30 +307,169 @@ def _tokens(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return t.word_hashes(data, start, end) if len(data) else np.zeros(0, U), np.repeat(np.arange(len(raw)), np.diff(first))
 
 
-def _page_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, page (hash of id and html), anchor, string, place, windows, tokens."""
+class _Segments:
+    """Segments of some streams: stream (its number), anchor (with its host), string, first token and end of
+    the windows of each. ``token``: of all streams, which begin at ``base``."""
+
+    def __init__(self, streams: list[tuple[str, str, int, list[str]]]):
+        self.token, block = _tokens([b for s in streams for b in s[3]])
+        self.base = np.searchsorted(block, np.r_[0, np.cumsum([len(s[3]) for s in streams])])
+        token, n = self.token, len(self.token)
+        if n < RUN:
+            self.stream = self.start = self.end = np.zeros(0, np.int64)
+            self.anchor = self.string = np.zeros(0, U)
+            return
+        piece = token[: n - PIECE + 1].copy()
+        for k in range(1, PIECE):
+            piece = piece * U(0xD1342543DE82EF95) + token[k : n - PIECE + 1 + k]
+        low = np.lib.stride_tricks.sliding_window_view(t.mix(piece), RUN - PIECE + 1).min(1)
+        of = np.repeat(np.arange(len(streams)), np.diff(self.base))[: len(low)]
+        beyond = self.base[of + 1] - RUN + 1  # windows do not cross streams
+        new = np.r_[True, (low[1:] != low[:-1]) | (of[1:] != of[:-1])] & (np.arange(len(low)) < beyond)
+        self.start = np.flatnonzero(new)
+        self.stream = of[self.start]
+        self.end = np.minimum(np.r_[self.start[1:], len(low)], beyond[self.start])
+        # sums of mixed tokens times 1, 3, 5, .. from the start of the segment
+        mixed = t.mix(token)
+        plain = np.r_[U(0), np.cumsum(mixed)]
+        weighted = np.r_[U(0), np.cumsum(mixed * (2 * np.arange(n, dtype=U) + U(1)))]
+        last = self.end + RUN - 1
+        self.string = t.mix(weighted[last] - weighted[self.start] - U(2) * self.start.astype(U) * (plain[last] - plain[self.start]))
+        host = {h: hash_of(h) for h in {s[1] for s in streams}}
+        self.anchor = t.mix(low[self.start] + np.array([host[s[1]] for s in streams], U)[self.stream])
+
+
+def _together(streams: Iterator[tuple[str, str, int, list[str]]]) -> Iterator[list[tuple[str, str, int, list[str]]]]:
+    """Streams in lists of about a million characters."""
+    held, size = [], 0
+    for s in streams:
+        held.append(s)
+        size += sum(map(len, s[3]))
+        if size >= 1 << 20:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _packed(words: np.ndarray, of: np.ndarray) -> pa.RecordBatch:
+    """Words in BUCKETS by the first bits of their hashes."""
+    order = np.argsort(of >> U(64 - BITS), kind="stable")
+    bucket = (of >> U(64 - BITS))[order].astype(np.int32)
+    first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+    parts = np.split(words[order], first[1:])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array([x.tobytes() for x in parts], pa.binary())], ["bucket", "words"])
+
+
+def _anchor_words(read: Callable) -> Callable:
+    """An anchor and its string as a word, once for a stream."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for streams in _together(read(batches)):
+            g = _Segments(streams)
+            order = np.lexsort((g.string, g.anchor, g.stream))
+            own = np.stack([g.stream.astype(U), g.anchor, g.string])[:, order]
+            held.append(own[1:, np.r_[True, (own[:, 1:] != own[:, :-1]).any(0)][: own.shape[1]]])
+            size += held[-1].shape[1]
+            if size >= PACKED:
+                yield _packed(*_words_of(held))
+                held, size = [], 0
+        if size:
+            yield _packed(*_words_of(held))
+
+    return words
+
+
+def _words_of(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    anchor, string = np.concatenate(held, 1)
+    return (anchor << U(36)) | (string >> U(28)), anchor
+
+
+def _page_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: list[list] = [[] for _ in range(7)]
-        for host, page, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            token, _ = _tokens(found)
-            if len(token) < RUN:
-                continue
-            piece = token[: len(token) - PIECE + 1].copy()
-            for k in range(1, PIECE):
-                piece = piece * U(0xD1342543DE82EF95) + token[k : len(token) - PIECE + 1 + k]
-            low = np.lib.stride_tricks.sliding_window_view(t.mix(piece), RUN - PIECE + 1).min(1)
-            start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-            for s, e in zip(start.tolist(), np.r_[start[1:], len(low)].tolist(), strict=True):
-                text = token[s : e + RUN - 1]
-                h = t.mix((t.mix(text) * (2 * np.arange(len(text), dtype=U) + U(1))).sum(keepdims=True)).view(np.int64)[0]
-                for o, v in zip(out, (host, page, low[s].view(np.int64), h, s, e - s, text.tobytes()), strict=True):
-                    o.append(v)
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], ["host", "page", "anchor", "string", "place", "windows", "tokens"])
+        if batch.num_rows:
+            page = batch.column(0).to_numpy().view(U)
+            yield _packed(page << U(36), page)
+
+
+class Marks:
+    """Which hashes were met: bits for each bucket, in two tables."""
+
+    def __init__(self, rows: list):
+        self.at = np.zeros((2, 1 << BITS), np.int64)
+        self.mask = np.zeros((2, 1 << BITS), np.int64)
+        parts, size = [np.zeros(1, np.uint8)], 1  # a bucket without bits: the first
+        for r in rows:
+            for k, x in enumerate((r["met"], r["differ"])):
+                if x:
+                    self.at[k, r["bucket"]], self.mask[k, r["bucket"]] = size, 8 * len(x) - 1
+                    parts.append(np.frombuffer(x, np.uint8))
+                    size += len(x)
+        self.bits = np.concatenate(parts)
+
+    def of(self, hashes: np.ndarray, table: int = 0) -> np.ndarray:
+        bucket = (hashes >> U(64 - BITS)).astype(np.int64)
+        k = (hashes & U((1 << 28) - 1)).astype(np.int64) & self.mask[table, bucket]
+        return (self.bits[self.at[table, bucket] + (k >> 3)] >> (k & 7).astype(np.uint8)) & 1 > 0
+
+
+def _bits(keys: np.ndarray) -> bytes:
+    """A table of bits with at least 64 for each key, up to MOST_BITS."""
+    if not len(keys):
+        return b""
+    size = min(MOST_BITS, 1 << int(64 * len(keys) - 1).bit_length())
+    table = np.zeros(size, bool)
+    table[keys.astype(np.int64) & (size - 1)] = True
+    return np.packbits(table, bitorder="little").tobytes()
+
+
+def marks(packed: DataFrame, least: int) -> Marks:
+    """Hashes that ``least`` words have, and those that different words have; at most 2 * MOST_BITS
+    bits a bucket, more hashes only make them denser."""
+
+    def bucket(table: pa.Table) -> pa.Table:
+        word = np.sort(np.concatenate([np.frombuffer(x, U) for x in table.column("words").to_pylist()]))
+        key = word >> U(36)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()], pa.int32()), "met": pa.array([_bits(key[first[size >= least]])], pa.binary()), "differ": pa.array([_bits(key[first[word[first] != word[first + size - 1]]])], pa.binary())})
+
+    # written, so that Spark drops the shuffle when it is made
+    return Marks(written(packed.groupBy("bucket").applyInArrow(bucket, "bucket int, met binary, differ binary"), "marks").collect())
+
+
+SEGMENT = "host string, page long, anchor long, string long, place int, windows int, differ boolean, tokens binary"
+
+
+def _segments(read: Callable, known) -> Callable:
+    """Name (as host), page, anchor, string, place, windows of segments whose anchor repeats; whether its strings
+    differ, and then tokens, once for MOST_SEEN strings of a task."""
+
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for streams in _together(read(batches)):
+            g = _Segments(streams)
+            kept = np.flatnonzero(known.value.of(g.anchor))
+            of, start, end = g.stream[kept], g.start[kept], g.end[kept]
+            differ = known.value.of(g.anchor[kept], 1)
+            tokens: list[bytes | None] = [None] * len(kept)
+            for k in np.flatnonzero(differ).tolist():
+                key = int(g.string[kept[k]] ^ g.anchor[kept[k]])
+                if key not in seen:
+                    seen.add(key)
+                    tokens[k] = g.token[start[k] : end[k] + RUN - 1].tobytes()
+            if len(seen) > MOST_SEEN:
+                seen.clear()
+            name, page = pa.array([s[0] for s in streams], pa.string()), pa.array([s[2] for s in streams], pa.int64())
+            at, place = pa.array(of), (start - g.base[of]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([name.take(at), page.take(at), pa.array(g.anchor[kept].view(np.int64)), pa.array(g.string[kept].view(np.int64)), pa.array(place), pa.array((end - start).astype(np.int32)), pa.array(differ), pa.array(tokens, pa.binary())], ["host", "page", "anchor", "string", "place", "windows", "differ", "tokens"])
+
+    return segments
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Strings of hot anchors as their windows."""
+    """Strings (anchor, string, windows, tokens) of hot anchors as their windows, by place."""
     for batch in batches:
         out = []
         for r in batch.to_pylist():
@@ -319,8 +477,8 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             for k in range(r["windows"]):
                 text = token[k : k + RUN]
                 h = int(t.mix((t.mix(text) * (2 * np.arange(RUN, dtype=U) + U(1))).sum(keepdims=True)).view(np.int64)[0])
-                out.append(r | {"string": h, "place": r["place"] + k, "windows": 1, "tokens": text.tobytes()})
-        yield pa.RecordBatch.from_pylist(out, batch.schema)
+                out.append({"anchor": r["anchor"], "string": r["string"], "skip": k, "window": h, "text": text.tobytes()})
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("anchor", pa.int64()), ("string", pa.int64()), ("skip", pa.int32()), ("window", pa.int64()), ("text", pa.binary())]))
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -373,13 +531,12 @@ def shared_runs(strings: list[np.ndarray], windows: np.ndarray, low: np.ndarray,
 
 
 def _array_of_unit(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    strings = [np.frombuffer(x, U) for x in table.column("tokens").to_pylist()]
-    # symbols of different hosts must differ
-    host = np.array([hash_of(h) for h in table.column("host").to_pylist()], U)
-    strings = [s ^ h for s, h in zip(strings, host, strict=True)]
+    # symbols of different hosts must differ, so anchors, which hold the host, are mixed in
+    anchors = table.column("anchor").to_numpy().view(U)
+    strings = [np.frombuffer(x, U) ^ a for x, a in zip(table.column("tokens").to_pylist(), anchors, strict=True)]
     string, first, n = shared_runs(strings, table.column("windows").to_numpy().astype(np.int64), table.column("low").to_numpy(), table.column("high").to_numpy())
     at = pa.array(string)
-    yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(at) for c in ("host", "anchor", "string")], pa.array(first), pa.array(n)], ["host", "anchor", "string", "skip", "n"])
+    yield pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks().take(at) for c in ("anchor", "string")], pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "string", "skip", "n"])
 
 
 def hash_of(text: str) -> np.uint64:
@@ -387,56 +544,121 @@ def hash_of(text: str) -> np.uint64:
     return t.word_hashes(data, np.zeros(1, np.int64), np.full(1, len(data)))[0]
 
 
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _without(found: list[str], spans: list[dict]) -> list[str]:
+    _, block = _tokens(found)
+    gone = _covered(spans, len(block))
+    words, at = [], 0
+    for k, b in enumerate(found):
+        n = int((block == k).sum())
+        words.append(" ".join(w for w, g in zip(b.split(" "), gone[at : at + n], strict=False) if not g))
+        at += n
+    return [w for w in words if w]
+
+
+def _covered(spans: list[dict], n: int) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    for s in spans:
+        edge[s["begin"]] += 1
+        edge[s["finish"]] -= 1
+    return np.cumsum(edge)[:-1] > 0
+
+
+TEXTS = "page_id long, url string, text string, n_chars long, n_shared long"
+
+
+def _checked(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Texts of pages (page_id, url, html, spans outside of marked main text, words shared inside): what the array
+    proposes goes from a page without marks, and is counted in marked main text."""
+    while held := list(islice(rows, 500)):
+        texts, shared = [], []
+        for _, _, html, outside, inside in held:
+            main, rest = split(html) if html else ([], [])
+            if main is None:
+                main, n = _without(rest, outside) if outside else rest, 0
+            else:
+                n = inside or 0
+            texts.append("\n".join(main))
+            shared.append(n)
+        columns = [pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.string()), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array(shared, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars", "n_shared"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
-        texts = []
-        for found, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if spans:
-                _, block = _tokens(found)
-                gone = np.zeros(len(block) + 1, np.int64)
-                for s in spans:
-                    gone[s["begin"]] += 1
-                    gone[s["finish"]] -= 1
-                gone = np.cumsum(gone)[:-1] > 0
-                words, at = [], 0
-                for b in found:
-                    own = b.split(" ")
-                    n = int((block == len(words)).sum())
-                    kept = [w for w, g in zip(own, gone[at : at + n], strict=False) if not g]
-                    at += n
-                    words.append(" ".join(kept))
-                found = [w for w in words if w]
-            texts.append("\n".join(found))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-
-def host_spans(plain: DataFrame) -> DataFrame:
+        for c in range(0, batch.num_rows, 500):
+            yield from zip(*(x.to_pylist() for x in batch.slice(c, 500).columns), strict=True)
+
+
+def _unshared(known) -> Callable:
+    """Texts of pages without proposals."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = (b.filter(pa.array(~known.value.of(b.column(0).to_numpy().view(U)))) for b in batches)
+        return _checked((page_id, url, html, None, None) for _, page_id, url, html in _rows(own))
+
+    return texts
+
+
+def _maybe_shared(known) -> Callable:
+    def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(known.value.of(b.column(0).to_numpy().view(U))))
+
+    return pages
+
+
+def _merged(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """host, page, spans from host, page, begin, n of whole pages in order."""
+    out: list[tuple[str, int, list[dict]]] = []
+    for host, page, begin, n in zip(*(table.column(c).to_pylist() for c in ("host", "page", "begin", "n")), strict=True):
+        if not out or (host, page) != out[-1][:2]:
+            out.append((host, page, []))
+        own = out[-1][2]
+        if own and begin <= own[-1]["finish"]:
+            own[-1]["finish"] = max(own[-1]["finish"], begin + n + RUN - 1)
+        else:
+            own.append({"begin": begin, "finish": begin + n + RUN - 1})
+    host, page, spans = zip(*out, strict=True)
+    span = pa.list_(pa.struct([("begin", pa.int64()), ("finish", pa.int64())]))
+    yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(spans, span)], ["host", "page", "spans"])
+
+
+def host_spans(pages: DataFrame, read: Callable = _given) -> DataFrame:
     """host, page, spans (begin, finish in tokens of the page) that distinct pages share, from
-    (host, page, blocks), one row for each page."""
-    segments = written(plain.select("host", "page", "blocks").mapInArrow(_page_segments, "host string, page long, anchor long, string long, place long, windows int, tokens binary"), "segments")
-    keys = ["host", "anchor"]
-    hot = segments.groupBy(*keys, "string").agg(F.lit(1).alias("_")).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select(*keys, F.lit(True).alias("hot"))
-    marked = segments.join(hot, keys, "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    cut = marked.where("not hot").unionByName(marked.where("hot").mapInArrow(_single_windows, marked.schema))
-    one = cut.groupBy(*keys, "string").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.first("windows").alias("windows"), F.first("tokens").alias("tokens"), F.first("hot").alias("hot"))
-    one = one.withColumn("unit", F.when(F.col("hot"), F.xxhash64("host", "anchor", "string")).otherwise(F.xxhash64("host", "anchor"))).drop("hot")
-    runs = one.repartition("unit").sortWithinPartitions("unit").mapInArrow(by_runs("unit", _array_of_unit), "host string, anchor long, string long, skip long, n long")
-    hits = cut.select(*keys, "string", "page", "place").join(runs, [*keys, "string"])
-    span = F.struct((F.col("place") + F.col("skip")).alias("begin"), (F.col("place") + F.col("skip") + F.col("n") + RUN - 1).alias("finish"))
-    return hits.groupBy("host", "page").agg(F.collect_set(span).alias("spans"))
+    (host, page, blocks), or what ``read`` makes streams of."""
+    spark = pages.sparkSession
+    known = spark.sparkContext.broadcast(marks(pages.mapInArrow(_anchor_words(read), "bucket int, words binary"), 2))
+    segments = written(pages.mapInArrow(_segments(read, known), SEGMENT), "segments")
+    keys = ["anchor", "string"]
+    ends = segments.groupBy(*keys).agg(F.min("page").alias("low"), F.max("page").alias("high"), F.first("windows").alias("windows"), F.first("differ").alias("differ"))
+    texts = segments.where("tokens is not null").groupBy(*keys).agg(F.first("tokens").alias("tokens"))
+    strings = written(ends.where("differ or low <> high").join(texts, keys, "left"), "strings")
+    whole = strings.where("not differ").select(*keys, F.lit(0).alias("skip"), F.col("windows").alias("n"))
+    strings = strings.where("differ").drop("differ")
+    hot = written(strings.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot")  # known to be small
+    arrays = strings.join(hot, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
+    runs = arrays.mapInArrow(by_runs("anchor", _array_of_unit), "anchor long, string long, skip int, n int")
+    single = strings.join(hot, "anchor", "left_semi")
+    windows = single.select(*keys, "windows", "tokens").mapInArrow(_single_windows, "anchor long, string long, skip int, window long, text binary").join(single.select(*keys, "low", "high"), keys)
+    alike = windows.groupBy("anchor", "window", "text").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+    hot_runs = windows.select(*keys, "skip", "window", "text").join(alike.drop("low", "high"), ["anchor", "window", "text"]).select(*keys, "skip", F.lit(1).alias("n"))
+    hits = segments.select("host", *keys, "page", "place").join(whole.unionByName(runs).unionByName(hot_runs), keys)
+    hits = hits.select("host", "page", (F.col("place") + F.col("skip")).alias("begin"), "n")
+    return hits.repartition("page").sortWithinPartitions("page", "host", "begin").mapInArrow(by_runs("page", _merged), "host string, page long, spans array<struct<begin: long, finish: long>>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each row of ``pages`` (page_id, url, html)."""
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"))
+    """page_id, url, text, n_chars and n_shared (words of the text in runs that other pages of the host have
+    in their main text, too) for each row of ``pages`` (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    parsed = written(source.withColumn("version", F.xxhash64("page_id", "html")).withColumn("host", host).mapInArrow(_parsed, PARSED), "parsed")
-    texts = parsed.where("text is not null").select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
-    bare = parsed.where("text is null")
-    if bare.isEmpty():
-        return texts
-    plain = parsed.where("text is null or size(blocks) > 0").withColumnRenamed("version", "page")
-    pages_of = plain.join(bare.select("host").distinct(), "host", "left_semi")
-    spans = host_spans(pages_of.dropDuplicates(["host", "page"]))
-    rest = plain.where("text is null").join(spans, ["host", "page"], "left").select("page_id", "url", "blocks", "spans").mapInArrow(_without, "page_id long, url string, text string, n_chars long")
-    return texts.unionByName(rest)
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), host.alias("host"))
+    source = source.withColumn("page", F.xxhash64("page_id", "html", "host"))
+    spans = host_spans(source.select("host", "page", "html"), _streams)
+    is_inside = F.col("host") == INSIDE
+    words = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["finish"] - x["begin"])
+    proposed = written(spans.groupBy("page").agg(F.first(F.when(~is_inside, F.col("spans")), True).alias("outside"), F.max(F.when(is_inside, words)).alias("inside")), "proposed")
+    known = pages.sparkSession.sparkContext.broadcast(marks(proposed.select("page").mapInArrow(_page_words, "bucket int, words binary"), 1))
+    source = source.select("page", "page_id", "url", "html")
+    # only pages that may have proposals move to meet them
+    shared = source.mapInArrow(_maybe_shared(known), source.schema).join(proposed, "page", "left").drop("page")
+    return source.mapInArrow(_unshared(known), TEXTS).unionByName(shared.mapInArrow(lambda batches: _checked(_rows(batches)), TEXTS))

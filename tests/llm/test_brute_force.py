@@ -93,6 +93,35 @@ def test_host_repeats_equal_brute_force(spark, monkeypatch, hot):
     assert gone
 
 
+@pytest.mark.parametrize("hot", [2000, 3])
+def test_marked_pages_pass_through_the_array(spark, monkeypatch, hot):
+    """Runs that pages of a host share in their marked main text are counted, and page structure keeps them."""
+    monkeypatch.setattr(html_text, "HOT", hot)
+    rnd, run = random.Random(15), html_text.RUN
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    common = [[word() for _ in range(rnd.randint(run - 1, 30))] for _ in range(5)]
+    rows, own = [], {}
+    for page in range(60):
+        words = []
+        for _ in range(rnd.randint(1, 5)):
+            words += rnd.choice(common)[rnd.randint(0, 2) :] if rnd.random() < 0.5 else [word() for _ in range(rnd.randint(1, 25))]
+        host = rnd.choice(["g.org", "h.org"])
+        own[page] = host, words
+        rows.append((page, f"http://{host}/{page}", f"<nav>Menu</nav><p>Beside {' '.join(common[0])}</p><article><p>{' '.join(words)}</p></article>"))
+    rows += [rows[0], (90, "http://h.org/90", f"<p>Own {' '.join(common[0])}</p>"), (91, "http://h.org/91", None)]
+    where = {}
+    for page, (host, words) in own.items():
+        for i in range(len(words) - run + 1):
+            where.setdefault((host, *words[i : i + run]), set()).add(page)
+    want = {90: ("Own", 0), 91: ("", 0)}
+    for page, (host, words) in own.items():
+        hits = [i for i in range(len(words) - run + 1) if len(where[(host, *words[i : i + run])]) > 1]
+        want[page] = " ".join(words), len({k for i in hits for k in range(i, i + run)})
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 63 and sum(n for _, n in want.values()) > 500
+    assert {r.page_id: (r.text, r.n_shared) for r in got} == want
+
+
 def test_pages_without_article_marks_keep_unique_text(spark):
     """The array decides: of pages that mark nothing, template lines go and own lines stay."""
     rnd = random.Random(14)
